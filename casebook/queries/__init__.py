@@ -14,8 +14,8 @@ _MODULES = (
     "merging",
     "splits",
     "scaling",
-    #"tests_stat",
-    #"selection",
+    "tests_stat",
+    "selection",
     #"scores",
     #"results",
     #"models",
