@@ -78,7 +78,7 @@ def relieff_scores(df: DataFrame, spec: MatrixSpec, neighbors=RELIEFF_NEIGHBORS)
     return sums.unpivot([], list(spec.features), "feature", "score")
 
 
-def rfe_ranks(df: DataFrame, spec: MatrixSpec, keep: int, share=RFE_SHARE, c=1.0, max_iter=30) -> list[dict]:
+def rfe_ranks(df: DataFrame, spec: MatrixSpec, keep: int, share=RFE_SHARE, c=1.0, max_iter=12) -> list[dict]:
     """Recursive elimination with a linear SVM: rank 1 for the kept features, larger for earlier losers.
 
     Each round drops the weakest ``share`` of the original feature count (at least one).
@@ -95,7 +95,7 @@ def rfe_ranks(df: DataFrame, spec: MatrixSpec, keep: int, share=RFE_SHARE, c=1.0
     while len(left) > keep:
         sliced = VectorSlicer(inputCol="all_v", outputCol="v", indices=left).transform(data)
         model = LinearSVC(
-            featuresCol="v", labelCol="y", regParam=1.0 / (c * n), maxIter=max_iter, standardization=False
+            featuresCol="v", labelCol="y", regParam=1.0 / (c * n), maxIter=max_iter, tol=1e-3, standardization=False
         ).fit(sliced)
         weight = model.coefficients.toArray() ** 2
         order = np.argsort(weight, kind="stable")

@@ -16,8 +16,8 @@ _MODULES = (
     "scaling",
     "tests_stat",
     "selection",
-    #"scores",
-    #"results",
+    "scores",
+    "results",
     #"models",
     #"survival",
 )
