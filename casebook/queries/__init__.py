@@ -18,7 +18,7 @@ _MODULES = (
     "selection",
     "scores",
     "results",
-    #"models",
+    "models",
     #"survival",
 )
 
