@@ -19,7 +19,7 @@ _MODULES = (
     "scores",
     "results",
     "models",
-    #"survival",
+    "survival",
 )
 
 

@@ -39,5 +39,6 @@ def local_session(cores: str | int = "*", partitions: int = 8, name="casebook")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
