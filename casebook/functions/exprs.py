@@ -57,6 +57,11 @@ def ratio(num, den) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(num / den)
 
 
+def over(num, den) -> Column:
+    """Division that yields NULL where the denominator is 0."""
+    return F.try_divide(num, den)
+
+
 def assembled(df: DataFrame, features, out="features_vec") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error").transform(df)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casebook.functions import tails
-from casebook.functions.exprs import col, ratio
+from casebook.functions.exprs import col, over, ratio
 from casebook.operators.firstorder import group_quantiles
 from casebook.operators.prefix import bucket_count, range_splits, running_totals
 from casebook.spec import MatrixSpec
@@ -60,8 +60,8 @@ def pr_points(scores: DataFrame, group: list[str]) -> DataFrame:
 
 def _placements() -> tuple[Column, Column]:
     """Share of negatives below a positive, and of positives above a negative; ties count half."""
-    a = (F.col("before_n") + _d("n") / 2) / F.col("total_n")
-    b = (F.col("total_p") - F.col("before_p") - _d("p") / 2) / F.col("total_p")
+    a = over(F.col("before_n") + _d("n") / 2, _d("total_n"))
+    b = over(F.col("total_p") - F.col("before_p") - _d("p") / 2, _d("total_p"))
     return a, b
 
 
@@ -76,7 +76,7 @@ def _curve_aggregates() -> list[Column]:
     return [
         F.max("total_p").alias("pos"),
         F.max("total_n").alias("neg"),
-        (F.sum(p * a) / F.max(tp_all)).alias("auc"),
+        over(F.sum(p * a), F.max(tp_all)).alias("auc"),
         F.sum(p * a * a).alias("_aa"),
         F.sum(p * a).alias("_a"),
         F.sum(n * b * b).alias("_bb"),
@@ -90,7 +90,7 @@ def _with_delong(df: DataFrame) -> DataFrame:
     """Standard deviation and interval of the AUC from sums of squared placements."""
 
     def sample_var(ss, s, n):
-        return F.greatest((ss - s * s / n) / (n - 1), F.lit(0.0)) / n
+        return over(F.greatest(over(ss - over(s * s, n), n - 1), F.lit(0.0)), n)
 
     var = sample_var(F.col("_aa"), F.col("_a"), _d("pos")) + sample_var(F.col("_bb"), F.col("_b"), _d("neg"))
     sure = F.col("std") < SMALL_STD
@@ -244,14 +244,15 @@ def compare_models(pairs: DataFrame, group: list[str] = (), a="pred_a", b="pred_
     m = F.col("m")
 
     def cov(ss, x1, x2):
-        return (F.col(ss) - m * F.col(x1) * F.col(x2)) / (m - 1) / m
+        return over(F.col(ss) - m * F.col(x1) * F.col(x2), (m - 1) * m)
 
     parts = per.groupBy(*group).agg(
         F.max(F.when(F.col("_y"), F.col("ma"))).alias("auc_a"),
         F.max(F.when(F.col("_y"), F.col("mb"))).alias("auc_b"),
         F.sum(cov("aa", "ma", "ma") + cov("bb", "mb", "mb") - 2 * cov("ab", "ma", "mb")).alias("_v"),
     )
-    z = F.abs(F.col("auc_a") - F.col("auc_b")) / F.sqrt("_v")
+    # rounding can leave a tiny negative variance when the two models rank alike
+    z = over(F.abs(F.col("auc_a") - F.col("auc_b")), F.sqrt(F.greatest("_v", F.lit(0.0))))
     return (
         parts.withColumn("z", z)
         .withColumn("p", tails.normal_two_sided_p(F.col("z")))
@@ -330,7 +331,7 @@ def standardised_histogram(df: DataFrame, spec: MatrixSpec, bins=10) -> DataFram
     ).unpivot([spec.label], usable, "feature", "z")
     ends = z.groupBy("feature", spec.label).agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
     b = F.least(
-        F.lit(bins - 1), F.floor((F.col("z") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins)
+        F.lit(bins - 1), F.floor(over(F.col("z") - F.col("lo"), F.col("hi") - F.col("lo")) * bins)
     )
     return (
         z.join(ends, ["feature", spec.label])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.functions.exprs import rounded
+from casebook.functions.exprs import over, rounded
 from casebook.operators.prefix import range_splits, bucket_count, running_totals
 
 GROUP = ["case_id", "series"]
@@ -61,8 +61,8 @@ def first_order(df: DataFrame) -> DataFrame:
         F.avg(v).alias("mean"),
         F.sqrt(F.avg(v * v)).alias("root_mean_square"),
         F.var_pop(v).alias("variance"),
-        F.coalesce(F.skewness(v), F.lit(0.0)).alias("skewness"),
-        F.coalesce(F.kurtosis(v) + 3, F.lit(0.0)).alias("kurtosis"),
+        F.skewness(v).alias("skewness"),
+        (F.kurtosis(v) + 3).alias("kurtosis"),
     )
     base = base.withColumns(
         {
@@ -108,7 +108,7 @@ def histogram_features(df: DataFrame, bin_count: int | None = 16, bin_width: flo
         bin_no = F.floor(v / bin_width) - F.floor(lo / bin_width)
     else:
         bin_no = F.coalesce(
-            F.least(F.lit(bin_count - 1), F.floor((v - lo) / F.nullif(hi - lo, F.lit(0.0)) * bin_count)), F.lit(0)
+            F.least(F.lit(bin_count - 1), F.floor(over(v - lo, hi - lo) * bin_count)), F.lit(0)
         )
     bins = df.join(ends, GROUP).groupBy(*GROUP, bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # sum p log p = (sum n log n) / N - log N, so one aggregate over the bins is enough

@@ -153,14 +153,14 @@ def lasso_logistic(df: DataFrame, spec: MatrixSpec, c=1.0, tol=3e-4, max_iter=10
     return LinearScore("LRLasso", spec.features, tuple(map(float, m.coefficients)), float(m.intercept))
 
 
-def linear_svm(df: DataFrame, spec: MatrixSpec, c=1.0, max_iter=50) -> LinearScore:
+def linear_svm(df: DataFrame, spec: MatrixSpec, c=1.0, max_iter=25) -> LinearScore:
     """Linear SVM with a logistic map of the margin, fitted on a held-out third of the cases."""
     data = _training(df, spec).withColumn("_u", hash_uniform(0, spec.case_id))
     n = data.count()
 
     def fit(part, size):
         return LinearSVC(
-            featuresCol="_v", labelCol="y", regParam=1.0 / (c * max(size, 1)), maxIter=max_iter, tol=1e-4
+            featuresCol="_v", labelCol="y", regParam=1.0 / (c * max(size, 1)), maxIter=max_iter, tol=1e-3
         ).fit(part)
 
     first = fit(data.filter(F.col("_u") >= CALIBRATION_SHARE), n * (1 - CALIBRATION_SHARE))
@@ -182,8 +182,29 @@ def linear_svm(df: DataFrame, spec: MatrixSpec, c=1.0, max_iter=50) -> LinearSco
     )
 
 
-def _class_state(df: DataFrame, spec: MatrixSpec) -> dict:
-    """Class sizes, means and population variances: one aggregate."""
+@dataclass(frozen=True)
+class ClassMoments:
+    """Class sizes, means, variances and the pooled within-class covariance of a table.
+
+    Discriminant and Bayes models of any feature subset follow from these without
+    touching the cases again.
+    """
+
+    features: tuple[str, ...]
+    n: tuple[int, int]
+    mean: np.ndarray  # 2 x p
+    var: np.ndarray  # 2 x p, population
+    overall: np.ndarray  # p
+    pooled: np.ndarray | None  # p x p, divided by n - 2
+
+    def sub(self, features) -> "ClassMoments":
+        i = [self.features.index(f) for f in features]
+        pooled = None if self.pooled is None else self.pooled[np.ix_(i, i)]
+        return ClassMoments(tuple(features), self.n, self.mean[:, i], self.var[:, i], self.overall[i], pooled)
+
+
+def class_moments(df: DataFrame, spec: MatrixSpec, covariance=True) -> ClassMoments:
+    """One aggregate, and one correlation pass when the covariance is wanted."""
     y = col(spec.label) == 1
     rows = per_feature(
         df,
@@ -199,21 +220,40 @@ def _class_state(df: DataFrame, spec: MatrixSpec) -> dict:
         },
     ).collect()
     by = {r.feature: r for r in rows}
-    pick = lambda k: np.array([by[f][k] for f in spec.features], dtype=float)
-    one = by[spec.features[0]]
-    return {"n": (one.n0, one.n1), "mean": (pick("m0"), pick("m1")), "var": (pick("v0"), pick("v1")), "all": pick("v")}
+    pick = lambda *keys: np.array([[by[f][k] for f in spec.features] for k in keys], dtype=float)
+    n0, n1 = by[spec.features[0]].n0, by[spec.features[0]].n1
+    mean, var = pick("m0", "m1"), pick("v0", "v1")
+    pooled = None
+    if covariance:
+        centred = df.select(
+            *[
+                (col(f).cast("double") - F.when(y, F.lit(float(b))).otherwise(F.lit(float(a)))).alias(f)
+                for f, a, b in zip(spec.features, *mean)
+            ]
+        )
+        sd = np.sqrt((n0 * var[0] + n1 * var[1]) / (n0 + n1 - 2))
+        pooled = _corr(centred, spec.features) * np.outer(sd, sd)
+    return ClassMoments(spec.features, (n0, n1), mean, var, pick("v")[0], pooled)
+
+
+def bayes_from(m: ClassMoments) -> BayesScore:
+    eps = VAR_SMOOTHING * float(m.overall.max())
+    pair = lambda a: (tuple(a[0].tolist()), tuple(a[1].tolist()))
+    return BayesScore("NB", m.features, math.log(m.n[1] / m.n[0]), pair(m.mean), pair(m.var + eps))
 
 
 def gaussian_bayes(df: DataFrame, spec: MatrixSpec) -> BayesScore:
-    s = _class_state(df, spec)
-    eps = VAR_SMOOTHING * float(s["all"].max())
-    return BayesScore(
-        "NB",
-        spec.features,
-        math.log(s["n"][1] / s["n"][0]),
-        (tuple(s["mean"][0].tolist()), tuple(s["mean"][1].tolist())),
-        (tuple((s["var"][0] + eps).tolist()), tuple((s["var"][1] + eps).tolist())),
-    )
+    return bayes_from(class_moments(df, spec, covariance=False))
+
+
+def _discriminant(m: ClassMoments, cov: np.ndarray) -> LinearScore:
+    coef = np.linalg.lstsq(cov, m.mean[1] - m.mean[0], rcond=None)[0]
+    intercept = -0.5 * float((m.mean[1] + m.mean[0]) @ coef) + math.log(m.n[1] / m.n[0])
+    return LinearScore("LDA", m.features, tuple(coef.tolist()), intercept)
+
+
+def discriminant_from(m: ClassMoments) -> LinearScore:
+    return _discriminant(m, m.pooled)
 
 
 def _corr(df: DataFrame, features) -> np.ndarray:
@@ -246,29 +286,15 @@ def discriminant(df: DataFrame, spec: MatrixSpec, shrinkage: str | None = None)
     With ``shrinkage='auto'`` each class's covariance is shrunk (Ledoit-Wolf on the
     standardised features) and the classes are averaged by size.
     """
-    s = _class_state(df, spec)
-    n0, n1 = s["n"]
-    n = n0 + n1
-    cov = np.zeros((len(spec.features),) * 2)
     if shrinkage is None:
-        mean = F.when(col(spec.label) == 1, 1).otherwise(0)
-        centred = df.select(
-            *[
-                (col(f).cast("double") - F.when(mean == 1, F.lit(float(b))).otherwise(F.lit(float(a)))).alias(f)
-                for f, a, b in zip(spec.features, *s["mean"])
-            ]
-        )
-        pooled = (n0 * s["var"][0] + n1 * s["var"][1]) / (n - 2)
-        cov = _corr(centred, spec.features) * np.outer(np.sqrt(pooled), np.sqrt(pooled))
-    else:
-        for k, size in enumerate((n0, n1)):
-            part = df.filter(col(spec.label) == k)
-            sd = np.sqrt(s["var"][k])
-            cov += size / n * _shrunk_corr(part, spec.features, s["mean"][k], s["var"][k]) * np.outer(sd, sd)
-    diff = s["mean"][1] - s["mean"][0]
-    coef = np.linalg.lstsq(cov, diff, rcond=None)[0]
-    intercept = -0.5 * float((s["mean"][1] + s["mean"][0]) @ coef) + math.log(n1 / n0)
-    return LinearScore("LDA", spec.features, tuple(coef.tolist()), intercept)
+        return discriminant_from(class_moments(df, spec))
+    m = class_moments(df, spec, covariance=False)
+    cov = np.zeros((len(spec.features),) * 2)
+    for k, size in enumerate(m.n):
+        part = df.filter(col(spec.label) == k)
+        sd = np.sqrt(m.var[k])
+        cov += size / sum(m.n) * _shrunk_corr(part, spec.features, m.mean[k], m.var[k]) * np.outer(sd, sd)
+    return _discriminant(m, cov)
 
 
 def _spark_classifier(name: str, estimator) -> Callable:
@@ -361,6 +387,8 @@ CLASSIFIERS: dict[str, Callable] = {
     "AB": ada_boost,
 }
 
+FROM_MOMENTS: dict[str, Callable] = {"LDA": discriminant_from, "NB": bayes_from}
+
 # Option lists per classifier; a list of dicts is the union of their cross products.
 GRIDS: dict[str, list[dict]] = {
     "LR": [{"tol": [0.0001, 0.001, 0.003], "max_iter": [500, 1000]}],

@@ -14,6 +14,7 @@ literals, so a recomputed task always puts a row in the same bucket.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -40,15 +41,25 @@ def range_splits(df: DataFrame, key: str, buckets: int, isolate=False) -> list[f
     """
     if buckets <= 1:
         return []
-    probs = [i / buckets for i in range(1, buckets)]
+    return splits_of(df, [key], buckets, isolate)[key]
+
+
+def splits_of(df: DataFrame, keys: list[str], buckets: int, isolate=False) -> dict[str, list[float]]:
+    """Cut points of several keys from one pass."""
+    if buckets <= 1:
+        return {k: [] for k in keys}
+    probs = F.lit([i / buckets for i in range(1, buckets)])
     row = df.agg(
-        F.percentile_approx(col(key).cast("double"), F.lit(probs), F.lit(100 * buckets)).alias("q")
+        *[F.percentile_approx(col(k).cast("double"), probs, F.lit(100 * buckets)).alias(f"q{i}") for i, k in enumerate(keys)]
     ).head()
-    q = [v for v in (row.q or []) if v is not None and math.isfinite(v)]
-    cuts = set(q)
-    if isolate:
-        cuts |= {float(np.nextafter(v, np.inf)) for v in q if q.count(v) > 1}
-    return sorted(cuts)
+    out = {}
+    for i, k in enumerate(keys):
+        q = [v for v in (row[f"q{i}"] or []) if v is not None and math.isfinite(v)]
+        cuts = set(q)
+        if isolate:
+            cuts |= {float(np.nextafter(v, np.inf)) for v, n in Counter(q).items() if n > 1}
+        out[k] = sorted(cuts)
+    return out
 
 
 def text_splits(df: DataFrame, key: str, buckets: int) -> list[str]:
@@ -157,14 +168,15 @@ def shuffled_order(df: DataFrame, group: list[str], order_hash: str, tie: str, o
     )
 
 
-def min_rank(df: DataFrame, group: list[str], key: str, out="rank_no") -> DataFrame:
+def min_rank(df: DataFrame, group: list[str], key: str, out="rank_no", splits: list | None = None) -> DataFrame:
     """Rank with ties equal: one more than the number of rows with a smaller key.
 
     A value common enough to fill a bucket of its own is salted over all tasks:
     within such a bucket every row ranks first, so the salt does not change the rank.
+    Given ``splits`` must come from ``range_splits`` with ``isolate``.
     """
     n = bucket_count(df)
-    cuts = range_splits(df, key, n, isolate=True)
+    cuts = range_splits(df, key, n, isolate=True) if splits is None else splits
     lone = [i + 1 for i in range(len(cuts) - 1) if np.nextafter(cuts[i], np.inf) == cuts[i + 1]]
     b = with_bucket(df, key, cuts)
     salt = F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(n))

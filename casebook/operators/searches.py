@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebook.functions import tails
-from casebook.functions.exprs import col
+from casebook.functions.exprs import col, over
 from casebook.operators.gram import cluster_features, feature_gram, representatives
 from casebook.operators.merging import attach_clinical
 from casebook.operators.prefix import bucket_count, range_splits, running_totals
@@ -65,10 +65,10 @@ def seeded_tests(df: DataFrame, spec: MatrixSpec, sides: DataFrame, kinds: dict[
     m, k = F.col("m"), F.col("k")
     n = m + k
     u = F.col("rank_sum") - m * (m + 1) / 2
-    sd = F.sqrt(m * k / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    sd = F.sqrt(m * k / 12 * ((n + 1) - over(F.col("ties"), n * (n - 1))))
     z = F.when(sd > 0, F.greatest((F.abs(u - m * k / 2) - 0.5) / sd, F.lit(0.0)))
-    pooled = (m * F.col("var1") + k * F.col("var0")) / (n - 2)
-    se = F.sqrt(pooled * (1 / m + 1 / k))
+    pooled = over(m * F.col("var1") + k * F.col("var0"), n - 2)
+    se = F.sqrt(pooled * (over(F.lit(1.0), m) + over(F.lit(1.0), k)))
     t = F.when(se > 0, (F.col("mean1") - F.col("mean0")) / se)
     p_num = F.when(F.col("feature").isin(normal), tails.t_p(t, n - 2)).otherwise(
         F.least(F.lit(1.0), tails.normal_two_sided_p(z))
@@ -92,7 +92,7 @@ def seeded_tests(df: DataFrame, spec: MatrixSpec, sides: DataFrame, kinds: dict[
     gap = F.abs(F.col("o1") - e1)
     gap = F.when(F.col("dof") == 1, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
     stat = c.groupBy("seed", "feature").agg(
-        F.sum(gap * gap / e1 + gap * gap / e0).alias("chi2"), F.max("dof").alias("dof")
+        F.sum(gap * gap * (over(F.lit(1.0), e1) + over(F.lit(1.0), e0))).alias("chi2"), F.max("dof").alias("dof")
     )
     p_cat = F.when(F.col("dof") > 0, tails.chi2_p(F.col("chi2"), F.greatest("dof", F.lit(1)))).otherwise(1.0)
     return out.unionByName(stat.select("seed", "feature", p_cat.alias("p")))

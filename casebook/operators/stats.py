@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook.functions import tails
-from casebook.functions.exprs import col
+from casebook.functions.exprs import col, over
 from casebook.operators.firstorder import group_quantiles
 from casebook.operators.prefix import bucket_count, range_splits, running_totals
 from casebook.spec import MatrixSpec
@@ -97,6 +97,7 @@ def rank_sums(counts: DataFrame) -> DataFrame:
     midrank = F.col("before_n") + (F.col("n") + 1) / 2
     e1 = _d("n") * F.col("total_n1") / F.col("total_n")
     e0 = _d("n") * F.col("total_n0") / F.col("total_n")
+    weight = over(F.lit(1.0), e1) + over(F.lit(1.0), e0)
     gap = F.abs(_d("n1") - e1)
     soft = gap - F.least(F.lit(0.5), gap)
     return counts.groupBy("feature").agg(
@@ -105,8 +106,8 @@ def rank_sums(counts: DataFrame) -> DataFrame:
         F.max("total_n0").cast("double").alias("m0"),
         F.sum(_d("n1") * midrank).alias("rank_sum"),
         F.sum(_d("n") * _d("n") * _d("n") - _d("n")).alias("ties"),
-        F.sum(gap * gap / e1 + gap * gap / e0).alias("chi2_plain"),
-        F.sum(soft * soft / e1 + soft * soft / e0).alias("chi2_yates"),
+        F.sum(gap * gap * weight).alias("chi2_plain"),
+        F.sum(soft * soft * weight).alias("chi2_yates"),
     )
 
 
@@ -115,7 +116,7 @@ def mann_whitney(sums: DataFrame) -> DataFrame:
     m, k = F.col("m1"), F.col("m0")
     n = m + k
     u = F.col("rank_sum") - m * (m + 1) / 2
-    sd = F.sqrt(m * k / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    sd = F.sqrt(m * k / 12 * ((n + 1) - over(F.col("ties"), n * (n - 1))))
     z = F.when(sd > 0, (F.abs(u - m * k / 2) - 0.5) / sd)
     return sums.withColumn("u", u).withColumn("z", z).withColumn(
         "p_mw", F.least(F.lit(1.0), tails.normal_two_sided_p(F.greatest(F.col("z"), F.lit(0.0))))
@@ -128,8 +129,8 @@ def kruskal_wallis(sums: DataFrame) -> DataFrame:
     n = m + k
     r1 = F.col("rank_sum")
     r0 = n * (n + 1) / 2 - r1
-    h = 12 / (n * (n + 1)) * (r1 * r1 / m + r0 * r0 / k) - 3 * (n + 1)
-    fix = 1 - F.col("ties") / (n * n * n - n)
+    h = 12 / (n * (n + 1)) * (over(r1 * r1, m) + over(r0 * r0, k)) - 3 * (n + 1)
+    fix = 1 - over(F.col("ties"), n * n * n - n)
     return sums.withColumn("h", F.when(fix > 0, h / fix)).withColumn("p_kw", tails.chi2_p(F.col("h"), F.lit(1.0)))
 
 
@@ -164,8 +165,8 @@ def _class_moments(df: DataFrame, spec: MatrixSpec, side: Column) -> DataFrame:
 def t_test(df: DataFrame, spec: MatrixSpec, side: Column) -> DataFrame:
     """Pooled two-sample t: feature, t, p_t."""
     n1, n0 = F.col("n1"), F.col("n0")
-    pooled = (n1 * F.col("var1") + n0 * F.col("var0")) / (n1 + n0 - 2)
-    se = F.sqrt(pooled * (1 / n1 + 1 / n0))
+    pooled = over(n1 * F.col("var1") + n0 * F.col("var0"), n1 + n0 - 2)
+    se = F.sqrt(pooled * (over(F.lit(1.0), n1) + over(F.lit(1.0), n0)))
     m = _class_moments(df, spec, side)
     return m.withColumn("t", F.when(se > 0, (F.col("mean1") - F.col("mean0")) / se)).withColumn(
         "p_t", tails.t_p(F.col("t"), n1 + n0 - 2)
@@ -178,7 +179,7 @@ def anova_f(df: DataFrame, spec: MatrixSpec) -> DataFrame:
     m = _class_moments(df, spec, col(spec.label) == 1)
     between = n1 * n0 / (n1 + n0) * (F.col("mean1") - F.col("mean0")) ** 2
     within = n1 * F.col("var1") + n0 * F.col("var0")
-    f = F.when(within > 0, between / (within / (n1 + n0 - 2)))
+    f = F.when(within > 0, over(between * (n1 + n0 - 2), within))
     return m.withColumn("f", f).withColumn("p_f", tails.f_p(F.col("f"), F.lit(1.0), n1 + n0 - 2))
 
 
@@ -197,16 +198,19 @@ def distribution_type(df: DataFrame, spec: MatrixSpec) -> DataFrame:
 
 
 def normality_statistic(n: Column, g: Column, b: Column) -> Column:
-    """D'Agostino-Pearson K2 from the population skewness and (not excess) kurtosis."""
+    """D'Agostino-Pearson K2 from the population skewness and (not excess) kurtosis; needs n > 3."""
+    n = F.when(n > 3, n)
     y = g * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
     beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
     w = F.sqrt(2 * (beta - 1)) - 1
-    zs = F.asinh(y / F.sqrt(2 / (w - 1))) / F.sqrt(F.log(w) / 2)
-    x = (b - 3 * (n - 1) / (n + 1)) / F.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)))
+    zs = over(F.asinh(over(y, F.sqrt(over(F.lit(2.0), w - 1)))), F.sqrt(F.log(w) / 2))
+    x = over(
+        b - 3 * (n - 1) / (n + 1), F.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)))
+    )
     s = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
     a = 6 + 8 / s * (2 / s + F.sqrt(1 + 4 / (s * s)))
     d = 1 + x * F.sqrt(2 / (a - 4))
-    zk = (1 - 2 / (9 * a) - F.signum(d) * F.cbrt((1 - 2 / a) / F.abs(d))) / F.sqrt(2 / (9 * a))
+    zk = (1 - 2 / (9 * a) - F.signum(d) * F.cbrt(over(1 - 2 / a, F.abs(d)))) / F.sqrt(2 / (9 * a))
     return zs * zs + zk * zk
 
 
@@ -271,13 +275,13 @@ def icc(a: DataFrame, b: DataFrame, spec: MatrixSpec) -> DataFrame:
     n = F.col("n")
     ss_within = n * F.col("gap2") / 2
     ss_raters = n * F.col("gap") * F.col("gap") / 2
-    msb = 2 * n * F.col("between") / (n - 1)
+    msb = over(2 * n * F.col("between"), n - 1)
     msw = ss_within / n
     msj = ss_raters
-    mse = (ss_within - ss_raters) / (n - 1)
+    mse = over(ss_within - ss_raters, n - 1)
 
     def safe(num, den):
-        return F.when((den == 0) | den.isNull() | F.isnan(den), F.lit(1.0)).otherwise(num / den)
+        return F.coalesce(over(num, den), F.lit(1.0))
 
     return m.select(
         "feature",

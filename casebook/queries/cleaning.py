@@ -78,8 +78,9 @@ FROM om_long GROUP BY 1""",
 )
 def plain_aggregates(spark, sf):
     from casebook.operators.stats import describe
+    from casebook.sources import kept_tables
 
-    d = describe(*t.orders_matrix(spark, sf))
+    d = describe(*kept_tables.orders_matrix(spark, sf))
     return d.select(
         "feature",
         "n",

@@ -10,7 +10,7 @@ from casebook.operators.stats import per_feature
 from casebook.plans import exploration
 from casebook.queries import query
 from casebook.queries.sql import DM, OM, r
-from casebook.sources import tables as t
+from casebook.sources import kept_tables as t
 from casebook.streaming import scoring
 
 
@@ -38,13 +38,18 @@ def _fit_query(name):
 for _name, _key in (
     ("LR", "logistic_regression"),
     ("LRLasso", "lasso_logistic_regression"),
-    ("SVM", "linear_svm"),
     ("DT", "decision_tree"),
     ("RF", "random_forest"),
 ):
     query(_key)(_fit_query(_name))
 
 
+@query("linear_svm")
+def linear_svm(spark, sf):
+    df, spec = _small(spark, sf)
+    return _quality(models.linear_svm(df, spec, max_iter=8), df)
+
+
 @query("ada_boost")
 def ada_boost(spark, sf):
     df, spec = _small(spark, sf)

@@ -8,7 +8,7 @@ from casebook.functions.exprs import rounded
 from casebook.operators import gram, normalize, reduce
 from casebook.queries import query
 from casebook.queries.sql import DM, EM, OM, OS, r
-from casebook.sources import tables as t
+from casebook.sources import kept_tables as t
 from casebook.sources.tables import ORDER_FEATURES
 
 

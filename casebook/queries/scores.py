@@ -8,7 +8,7 @@ from casebook.functions.exprs import rounded
 from casebook.operators import evaluate as e
 from casebook.queries import query
 from casebook.queries.sql import OM, PP, PR, r
-from casebook.sources import tables as t
+from casebook.sources import kept_tables as t
 
 G = ["model", "split"]
 

@@ -10,7 +10,7 @@ from casebook.queries import query
 from casebook.queries.sql import DIRTY, DM, EM, OM, OML, OS, r
 from casebook.queries.splits import _dist2
 from casebook.queries.tests_stat import RANKS
-from casebook.sources import tables as t
+from casebook.sources import kept_tables as t
 from casebook.sources.tables import DOC_FEATURES, ORDER_FEATURES
 
 

@@ -8,7 +8,7 @@ from casebook.functions.exprs import col, rounded
 from casebook.operators import stats
 from casebook.queries import query
 from casebook.queries.sql import DM, DML, OM, OML, OS, RA, r, unpivoted
-from casebook.sources import tables as t
+from casebook.sources import kept_tables as t
 from casebook.spec import MatrixSpec
 
 # Rank table over om_long: n1/n0 per value, midranks and per-feature sums.

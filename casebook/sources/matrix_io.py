@@ -14,7 +14,7 @@ CSV_ENCODINGS = ("UTF-8", "GBK")
 
 def csv_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless some line fails to decode, then GBK; stops at the first bad line."""
-    broken = spark.read.text(path).filter(F.col("value").contains("�")).limit(1)
+    broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
     return CSV_ENCODINGS[1] if broken.head() else CSV_ENCODINGS[0]
 
 
