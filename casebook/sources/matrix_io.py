@@ -22,7 +22,10 @@ def read_frame(spark: SparkSession, path: str, *, schema=None, raw=False) -> Dat
     """A CSV (header line) or parquet table. ``raw`` reads every CSV cell as text."""
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
-    reader = spark.read.option("header", True).option("encoding", csv_encoding(spark, path))
+    encoding = csv_encoding(spark, path)
+    if encoding != CSV_ENCODINGS[0]:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # lets the reader use charsets beyond the Unicode ones
+    reader = spark.read.option("header", True).option("encoding", encoding)
     if schema is not None:
         return reader.schema(schema).csv(path)
     return reader.option("inferSchema", not raw).csv(path)
