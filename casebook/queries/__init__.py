@@ -10,6 +10,7 @@ ORACLES: dict[str, str] = {}
 
 _MODULES = (
     "matrices",
+    "storage",
     "cleaning",
     "merging",
     "splits",

@@ -64,6 +64,19 @@ def key_difference(spark, sf):
     return m.key_difference(o, li)
 
 
+@query(
+    "train_and_test_features_agree",
+    f"WITH {OM} SELECT true AS same_features, false AS same_after_drop, count(*) AS cases FROM om",
+)
+def train_and_test_features_agree(spark, sf):
+    df, spec = t.orders_matrix(spark, sf)
+    other = MatrixSpec.infer(df.select(*reversed(df.columns)))
+    checks = (m.same_features(spec, other), m.same_features(spec, other.only(other.features[1:])))
+    return df.agg(
+        F.lit(checks[0]).alias("same_features"), F.lit(checks[1]).alias("same_after_drop"), F.count(F.lit(1)).alias("cases")
+    )
+
+
 _REF = "SELECT o_orderkey::VARCHAR AS case_id FROM orders WHERE o_orderstatus = 'P'"
 
 
@@ -131,4 +144,4 @@ def interpolated_lookup(spark, sf):
     ends = p.agg(F.min("time").alias("lo"), F.max("time").alias("hi")).head()
     grid = [ends.lo + (ends.hi - ends.lo) * i / 19 for i in range(20)]
     out = interpolate_on_grid(p, ["case_id"], "time", "value", grid)
-    return out.select("case_id", rounded("time", 3).alias("time"), rounded("value").alias("value"))
+    return out.select("case_id", rounded("time", 3).alias("time"), rounded("value", 6).alias("value"))

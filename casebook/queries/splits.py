@@ -9,6 +9,7 @@ from casebook.operators import balance, searches, splitting
 from casebook.queries import query
 from casebook.queries.sql import DM, OM, OS, r
 from casebook.sources import kept_tables as t
+from casebook.sources import tables
 from casebook.sources.tables import DOC_FEATURES
 
 
@@ -19,7 +20,7 @@ from casebook.sources.tables import DOC_FEATURES
     "SELECT case_id, label, CASE WHEN row_no <= round_even(n * 0.3::DOUBLE, 0) THEN 'test' ELSE 'train' END AS side FROM k",
 )
 def stratified_holdout(spark, sf):
-    df, spec = t.orders_matrix(spark, sf)
+    df, spec = tables.orders_matrix(spark, sf)
     return splitting.stratified_holdout(df.select(*spec.keys), spec, 0.3, seed=None)
 
 
@@ -30,7 +31,7 @@ def stratified_holdout(spark, sf):
     "SELECT label, 'train', n - round_even(n * 0.3::DOUBLE, 0)::BIGINT FROM c",
 )
 def random_holdout_counts(spark, sf):
-    df, spec = t.orders_matrix(spark, sf)
+    df, spec = tables.orders_matrix(spark, sf)
     s = splitting.stratified_holdout(df.select(*spec.keys), spec, 0.3, seed=7)
     return s.groupBy("label", "side").agg(F.count(F.lit(1)).alias("n"))
 
@@ -42,14 +43,14 @@ def random_holdout_counts(spark, sf):
     "SELECT case_id, event, CASE WHEN row_no <= round_even(n * 0.2::DOUBLE, 0) THEN 'test' ELSE 'train' END AS side FROM k",
 )
 def survival_holdout(spark, sf):
-    df, spec = t.orders_survival(spark, sf)
+    df, spec = tables.orders_survival(spark, sf)
     return splitting.stratified_holdout(df.select("case_id", "event"), spec, 0.2, seed=None)
 
 
 @query("candidate_holdouts")
 def candidate_holdouts(spark, sf):
     """Sizes of several candidate holdouts drawn in one job."""
-    df, spec = t.orders_matrix(spark, sf)
+    df, spec = tables.orders_matrix(spark, sf)
     sides = splitting.seeded_sides(df, spec, 0.3, list(range(5)))
     return sides.groupBy("seed", "side").agg(F.count(F.lit(1)).alias("n"))
 
@@ -68,7 +69,7 @@ k AS (SELECT case_id, label, row_number() OVER (PARTITION BY label ORDER BY case
 SELECT k.case_id, k.label, min(e.f)::INT AS fold FROM k JOIN e ON k.label = e.label AND k.row_no <= e.last_no GROUP BY 1, 2""",
 )
 def stratified_folds(spark, sf):
-    df, spec = t.orders_matrix(spark, sf)
+    df, spec = tables.orders_matrix(spark, sf)
     return splitting.stratified_folds(df.select(*spec.keys), spec, _FOLD)
 
 
@@ -87,13 +88,13 @@ def leave_one_out(spark, sf):
     "SELECT case_id, event, ((pos - 1) % 5 + 1)::INT AS fold FROM k",
 )
 def survival_folds(spark, sf):
-    df, spec = t.orders_survival(spark, sf)
+    df, spec = tables.orders_survival(spark, sf)
     return splitting.survival_folds(df.select("case_id", "event"), spec, 5, seed=None)
 
 
 @query("survival_folds_random")
 def survival_folds_random(spark, sf):
-    df, spec = t.orders_survival(spark, sf)
+    df, spec = tables.orders_survival(spark, sf)
     f = splitting.survival_folds(df.select("case_id", "event"), spec, 5, seed=0)
     return f.groupBy("fold", "event").agg(F.count(F.lit(1)).alias("n"))
 
@@ -114,7 +115,7 @@ def up_sampling_counts(spark, sf):
     "SELECT label, c.n FROM (SELECT DISTINCT label FROM om), c",
 )
 def down_sampling_counts(spark, sf):
-    df, spec = t.orders_matrix(spark, sf)
+    df, spec = tables.orders_matrix(spark, sf)
     return balance.down_sample(df, spec).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
