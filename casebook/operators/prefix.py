@@ -82,12 +82,14 @@ def with_bucket(df: DataFrame, key: str, splits: list, out="_bucket") -> DataFra
         def locate(s: pd.Series) -> pd.Series:
             return pd.Series(np.searchsorted(cuts, s.to_numpy(dtype=object), side="right"), dtype="int32")
 
-        return df.withColumn(out, locate(col(key)))
+        return df.withColumn(out, F.coalesce(locate(col(key)), F.lit(0)))
     b = Bucketizer(
         splits=[-math.inf, *splits, math.inf], inputCol="_key", outputCol=out, handleInvalid="keep"
     )
+    # Declared not null: otherwise a null filter is pushed below one of the two readers of the
+    # bucketed table, and they no longer share its shuffle.
     return b.transform(df.withColumn("_key", col(key).cast("double"))).drop("_key").withColumn(
-        out, F.col(out).cast("int")
+        out, F.coalesce(F.col(out).cast("int"), F.lit(0))
     )
 
 
