@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebook.functions.exprs import over, rounded
-from casebook.operators.prefix import range_splits, bucket_count, running_totals
+from casebook.operators.prefix import bucket_count, range_splits, running_totals
+from casebook.session import kept
 
 GROUP = ["case_id", "series"]
 QUANTILES = {
@@ -70,7 +71,8 @@ def first_order(df: DataFrame) -> DataFrame:
             "kurtosis": F.when(F.col("variance") > 0, F.col("kurtosis")).otherwise(0.0),
         }
     )
-    base = base.join(group_quantiles(df, GROUP, "value", QUANTILES), GROUP)
+    # one row per group, read by the second and third pass
+    base = kept(base.join(group_quantiles(df, GROUP, "value", QUANTILES), GROUP))
     inside = v.between(F.col("percentile10"), F.col("percentile90"))
     centred = df.join(base.select(*GROUP, "mean", "percentile10", "percentile90"), GROUP)
     second = centred.groupBy(*GROUP).agg(

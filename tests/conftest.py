@@ -10,7 +10,7 @@ from casebook.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(8, partitions=8, name="tests")
+    s = local_session(8, partitions=4, name="tests")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
