@@ -66,15 +66,31 @@ def load_mixed_types(spark, sf):
     return matrix_io.read_frame(spark, path, raw=True)
 
 
+_ONLY = {
+    "orders": ("left", ["o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"]),
+    "customer": ("right", ["c_acctbal", "c_custkey", "c_mktsegment", "c_name", "c_nationkey"]),
+}
+
+
 @query(
     "column_difference",
-    "SELECT side, name FROM (VALUES ('left', 'o_custkey'), ('left', 'o_orderdate'), ('left', 'o_orderkey'), "
-    "('left', 'o_orderpriority'), ('left', 'o_orderstatus'), ('left', 'o_totalprice'), ('right', 'c_acctbal'), "
-    "('right', 'c_custkey'), ('right', 'c_mktsegment'), ('right', 'c_name'), ('right', 'c_nationkey')) v(side, name)",
+    " UNION ALL ".join(
+        f"SELECT '{side}' AS side, '{c}' AS name, count({c}) AS filled FROM {table}"
+        for table, (side, cols) in _ONLY.items()
+        for c in cols
+    ),
 )
 def column_difference(spark, sf):
-    diff = merging.column_difference(t.table(spark, sf, "orders"), t.table(spark, sf, "customer"))
-    return normalize.state_table(spark, [{"side": s, "name": n} for s, names in diff.items() for n in names])
+    """Columns found on one side only, with how many of their cells are filled."""
+    left, right = t.table(spark, sf, "orders"), t.table(spark, sf, "customer")
+    diff = merging.column_difference(left, right)
+    parts = [
+        table.agg(*[F.count(c).alias(c) for c in diff[side]])
+        .unpivot([], diff[side], "name", "filled")
+        .select(F.lit(side).alias("side"), "name", "filled")
+        for side, table in (("left", left), ("right", right))
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 @query(
