@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import packing, tokenstore
+from casebook.llm import exact, licenses, packing, tokenstore
 from casebook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,19 @@ def op2_packing(spark, sf_dir):
         "sequence_id",
         F.col("offset").cast("long").alias("offset"),
     )
+
+
+@query(
+    "op4_exact_dedup",
+    r"WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS size, "
+    r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS clean FROM documents), "
+    "g AS (SELECT clean, first(doc_id ORDER BY size DESC, doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY clean) "
+    "SELECT t.doc_id, keep_id, group_size, t.doc_id = keep_id AS kept, sha256(t.clean) AS text_sha256 FROM t JOIN g USING (clean)",
+)
+def op4_exact_dedup(spark, sf_dir):
+    return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op9_license_scan", licenses.oracle_sql())
+def op9_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
