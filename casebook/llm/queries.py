@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import exact, licenses, packing, tokenstore
+from casebook.llm import exact, licenses, packing, simhash, tokenstore
 from casebook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def op4_exact_dedup(spark, sf_dir):
 @query("op9_license_scan", licenses.oracle_sql())
 def op9_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op3_simhash_near_dedup")
+def op3_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
