@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import exact, licenses, packing, simhash, tokenstore
+from casebook.llm import bpe, exact, licenses, packing, simhash, tokenstore
 from casebook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,15 @@ def op9_license_scan(spark, sf_dir):
 @query("op3_simhash_near_dedup")
 def op3_simhash_near_dedup(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op6_bpe")
+def op6_bpe(spark, sf_dir):
+    vocabulary = tokenizer_json("word_bpe_49k.json")
+    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
