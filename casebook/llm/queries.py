@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import bpe, exact, licenses, neighbours, packing, simhash, tokenstore
+from casebook.llm import bpe, exact, language, licenses, neighbours, packing, simhash, tokenstore, toxicity
 from casebook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,13 @@ def op6_bpe(spark, sf_dir):
 @query("op5_kmeans_tree")
 def op5_kmeans_tree(spark, sf_dir):
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_language")
+def op10_language(spark, sf_dir):
+    return language.languages(table(spark, sf_dir, "documents"))
