@@ -25,6 +25,7 @@ TERMS = 1_024  # hashed terms in the model, at most
 BUCKETS = 1 << 20
 BEGINNINGS = (4, 5, 6)
 LEAST_Z = 4.0  # how surely a term must tell the classes apart
+LEAST_SHARE = 0.02  # of the rows of the class that it speaks for, and 2 rows
 THRESHOLD = 0.7
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -46,12 +47,13 @@ class Machine:
 
     @classmethod
     def fit(cls, buckets: np.ndarray, rows: list[np.ndarray], toxic: np.ndarray, factors: int = 4, rounds: int = 400, seed: int = 11) -> Machine:
-        """Logistic loss with classes of equal weight, by full-batch Adam; ``rows`` hold positions in ``buckets``."""
+        """Logistic loss by full-batch Adam; ``rows`` hold positions in ``buckets``."""
         x = np.zeros((len(rows), len(buckets)), np.float32)
         for i, row in enumerate(rows):
             x[i, row] = 1
         y = toxic.astype(np.float32)
-        each = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())).astype(np.float32)
+        each = np.where(y == 1, (1 - y).sum() ** 0.5, y.sum() ** 0.5).astype(np.float32)  # the rarer class counts by the root of the odds
+        each /= each.sum()
         rng = np.random.default_rng(seed)
         theta = [np.zeros(1, np.float32), np.zeros(len(buckets), np.float32), rng.normal(0, 0.02, (len(buckets), factors)).astype(np.float32)]
         first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
@@ -61,7 +63,7 @@ class Machine:
             z = bias + x @ w + 0.5 * ((sums**2).sum(axis=1) - x @ (v**2).sum(axis=1))
             error = each * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
             pull = x.T @ error
-            slopes = [error.sum(keepdims=True), pull + 1e-4 * w, x.T @ (error[:, None] * sums) - pull[:, None] * v + 1e-3 * v]
+            slopes = [error.sum(keepdims=True), pull + 2e-5 * w, x.T @ (error[:, None] * sums) - pull[:, None] * v + 2e-4 * v]
             for i, slope in enumerate(slopes):
                 first[i] += 0.1 * (slope - first[i])
                 second[i] += 0.001 * (slope**2 - second[i])
@@ -125,7 +127,9 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
         counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
         share = F.col("n") / (bad + good)
         z = (F.col("a") / bad - (F.col("n") - F.col("a")) / good) / F.sqrt(share * (1 - share) * (1 / bad + 1 / good))
-        chosen = counts.filter(share < 1).withColumn("z", F.abs(z)).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(terms)
+        often = F.when(z > 0, F.col("a") >= max(2, LEAST_SHARE * bad)).otherwise(F.col("n") - F.col("a") >= max(2, LEAST_SHARE * good))
+        chosen = counts.filter(share < 1).filter(often).withColumn("z", F.abs(z)).filter(F.col("z") >= LEAST_Z)
+        chosen = chosen.orderBy(F.desc("z"), "term").limit(terms)
         buckets = np.sort(np.array([r["term"] for r in chosen.collect()], np.int64))
         known = F.array(*[F.lit(int(b)) for b in buckets]).cast("array<int>")
         small = rows.select("toxic", F.array_intersect("terms", known).alias("terms")).toArrow()
