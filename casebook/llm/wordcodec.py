@@ -24,7 +24,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: Letters of the first Latin blocks, and marks that are neither letters, digits nor quotes.
 LATIN = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 MARKS = r".,;:!?&$*#%\-()"
-RUNS = re.compile(f"\\n(?=[^{SPACE}])|[{SPACE}]*[{LATIN}]+(?=[{MARKS}])|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+RUNS = re.compile(f"\\n(?=[^{SPACE}])|[{SPACE}]*+[{LATIN}]++(?=[{SPACE}{MARKS}]|\\Z)|[{SPACE}]*+[^{SPACE}]++|[{SPACE}]++")
 #: Runs that may share one library call: a line feed between them stays a token of its own.
 PLAIN = re.compile(f" ?[^{SPACE}]+")
 TOGETHER = 256
@@ -43,28 +43,30 @@ class RunEncoder:
     def __init__(self, tokenizer_json: str, most: int = 600_000):
         self.tokenizer = load(tokenizer_json)
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids of a run, four bytes each
         self.most = most
 
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new(self, runs: list[str]) -> dict[str, list[int]]:
+    def _new(self, runs: list[str]) -> dict[str, bytes]:
         whole = PLAIN.fullmatch
         plain = [run for run in runs if whole(run)] if len(self.feed) == 1 else []
-        out: dict[str, list[int]] = {}
-        for i in range(0, len(plain), 64 * TOGETHER):
-            groups = [plain[k : k + TOGETHER] for k in range(i, min(i + 64 * TOGETHER, len(plain)), TOGETHER)]
-            for group, ids in zip(groups, self._library(["\n".join(g) for g in groups])):
-                ends = [k for k, x in enumerate(ids) if x == self.feed[0]] + [len(ids)]
+        out: dict[str, bytes] = {}
+        groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+        for i in range(0, len(groups), 64):
+            part = groups[i : i + 64]
+            for group, ids in zip(part, self._library(["\n".join(g) for g in part])):
+                ends = np.append(np.flatnonzero(ids == self.feed[0]), len(ids)) * 4
                 if len(ends) == len(group):
-                    out.update((run, ids[a:b]) for run, a, b in zip(group, [0, *(k + 1 for k in ends)], ends))
+                    raw, opens = ids.tobytes(), np.append(0, ends[:-1] + 4)
+                    out.update(zip(group, [raw[a:b] for a, b in zip(opens.tolist(), ends.tolist())]))
         rest = [run for run in runs if run not in out]
         for i in range(0, len(rest), 4096):
-            out.update(zip(rest[i : i + 4096], self._library(rest[i : i + 4096])))
+            out.update(zip(rest[i : i + 4096], [ids.tobytes() for ids in self._library(rest[i : i + 4096])]))
         return out
 
-    def _ids_of(self, runs: list[str]) -> list[list[int]]:
+    def _ids_of(self, runs: list[str]) -> list[bytes]:
         found = list(map(self.known.get, runs))
         if None in found:
             fresh = self._new(list({run for run, ids in zip(runs, found) if ids is None}))
@@ -81,9 +83,8 @@ class RunEncoder:
         found = self._ids_of(list(chain.from_iterable(runs)))
         out, at = [], 0
         for own in runs:
-            part = found[at : at + len(own)]
+            out.append(np.frombuffer(b"".join(found[at : at + len(own)]), np.uint32))
             at += len(own)
-            out.append(np.fromiter(chain.from_iterable(part), np.uint32))
         return out
 
 
