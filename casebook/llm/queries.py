@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import bpe, exact, language, licenses, neighbours, packing, simhash, tokenstore, toxicity
+from casebook.llm import bpe, exact, language, licenses, neighbours, packing, simhash, tokencount, tokenstore, toxicity
 from casebook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,11 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op8_token_counts")
+def op8_token_counts(spark, sf_dir):
+    return tokencount.section_tokens(table(spark, sf_dir, "documents"), tokenizer_json("byte_bpe_50k.json"))
+
+
 @query("op10_language")
 def op10_language(spark, sf_dir):
     return language.languages(table(spark, sf_dir, "documents"))
