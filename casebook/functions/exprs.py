@@ -26,9 +26,13 @@ def snapped(c, digits: int = 4) -> Column:
     return F.floor(col(c) * k + 0.5) / k
 
 
+#: What a cell of text may look like: Spark's cast alone would also take a type letter, as in 5f or 5d.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def as_number(c) -> Column:
     """The cell as a finite double, or NULL when it is not a valid number."""
-    v = col(c).try_cast("double")
+    v = F.when(col(c).cast("string").rlike(NUMBER), col(c).try_cast("double"))
     return F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
 

@@ -44,8 +44,8 @@ def drop_text_columns(df: DataFrame, spec: MatrixSpec):
 def near_constant(df: DataFrame, spec: MatrixSpec, share=NEAR_CONSTANT_SHARE) -> list[str]:
     """Features whose commonest value holds at least ``share`` (> 0.5) of the cases.
 
-    Such a value fills the middle of the sorted column, so even a rough median
-    finds it. Two passes with one number per feature replace a count of every
+    Missing counts as a value. Any other such value fills the middle of the sorted
+    column, so even a rough median finds it. Two passes with one number per feature replace a count of every
     distinct (feature, value).
     """
     if share <= 0.5:
@@ -54,9 +54,10 @@ def near_constant(df: DataFrame, spec: MatrixSpec, share=NEAR_CONSTANT_SHARE) ->
     mid = df.agg(*[F.percentile_approx(col(f).cast("double"), 0.5, accuracy).alias(f) for f in spec.features]).head()
     hits = df.agg(
         F.count(F.lit(1)).alias("_n"),
-        *[F.count_if(col(f).cast("double") == F.lit(mid[f])).alias(f) for f in spec.features],
+        *[F.count_if(col(f).cast("double").eqNullSafe(F.lit(mid[f]).cast("double"))).alias(f) for f in spec.features],
+        *[F.count_if(col(f).isNull()).alias(f"_null_{f}") for f in spec.features],
     ).head()
-    return [f for f in spec.features if hits["_n"] and mid[f] is not None and hits[f] / hits["_n"] >= share]
+    return [f for f in spec.features if hits["_n"] and max(hits[f], hits[f"_null_{f}"]) / hits["_n"] >= share]
 
 
 def drop_near_constant(df: DataFrame, spec: MatrixSpec, share=NEAR_CONSTANT_SHARE):
@@ -152,20 +153,24 @@ def summary(df: DataFrame, spec: MatrixSpec) -> DataFrame:
 def one_hot(df: DataFrame, columns, keep_original=False) -> DataFrame:
     """A 0/1 column ``<column>_<value>`` for each value of each named column.
 
-    Category values become column names, so their number is bounded by the schema
-    a table can have; a column with more values is refused.
+    Every value becomes a column, so this suits as many values as a table can have columns;
+    ``one_hot_long`` holds any number of them.
     """
-    limit = 2000
     out = df
     for c in columns:
-        values = sorted(str(r[0]) for r in df.select(col(c)).distinct().filter(col(c).isNotNull()).limit(limit + 1).collect())
-        if len(values) > limit:
-            raise ValueError(f"{c} has more than {limit} values and cannot become columns")
+        values = sorted(str(r[0]) for r in df.select(col(c)).distinct().filter(col(c).isNotNull()).collect())
         hot = {f"{c}_{v}": F.coalesce((col(c).cast("string") == v), F.lit(False)).cast("int") for v in values}
         out = out.withColumns(hot)
     return out if keep_original else out.drop(*columns)
 
 
+def one_hot_long(df: DataFrame, case_id: str, columns) -> DataFrame:
+    """The cells of the same table that are 1: case_id, and ``feature`` as ``<column>_<value>``."""
+    long = df.unpivot([col(case_id)], [col(c).cast("string").alias(c) for c in columns], "_column", "_value")
+    named = F.concat_ws("_", "_column", "_value").alias("feature")
+    return long.filter("_value IS NOT NULL").select(case_id, named)
+
+
 def prefixed(df: DataFrame, spec: MatrixSpec, prefix: str):
     names = {f: f"{prefix}_{f}" for f in spec.features}
     return df.withColumnsRenamed(names), spec.only(names.values())

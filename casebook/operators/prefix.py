@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,13 +26,19 @@ from pyspark.sql import types as T
 
 from casebook.functions.exprs import col
 
-MAX_BUCKETS = 2048
+SAMPLE_A_BUCKET = 100
 
 
 def bucket_count(df: DataFrame) -> int:
-    """As many buckets as the session has shuffle partitions, within a fixed bound."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(n, MAX_BUCKETS))
+    """As many buckets as the session has shuffle partitions: the cluster's own measure of a task's share."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _sampled(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """About ``SAMPLE_A_BUCKET`` rows a bucket. Cut points need no more: they only balance the buckets."""
+    own = df.select(*[col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    want, rows = SAMPLE_A_BUCKET * buckets, own.count()
+    return own if rows <= want else own.sample(want / rows, seed=17)
 
 
 def range_splits(df: DataFrame, key: str, buckets: int, isolate=False) -> list[float]:
@@ -48,13 +55,13 @@ def splits_of(df: DataFrame, keys: list[str], buckets: int, isolate=False) -> di
     """Cut points of several keys from one pass."""
     if buckets <= 1:
         return {k: [] for k in keys}
-    probs = F.lit([i / buckets for i in range(1, buckets)])
-    row = df.agg(
-        *[F.percentile_approx(col(k).cast("double"), probs, F.lit(100 * buckets)).alias(f"q{i}") for i, k in enumerate(keys)]
-    ).head()
+    sample = _sampled(df, keys, buckets)
+    sample = sample.select(*[col(c).cast("double").alias(c) for c in sample.columns]).toPandas()
     out = {}
     for i, k in enumerate(keys):
-        q = [v for v in (row[f"q{i}"] or []) if v is not None and math.isfinite(v)]
+        seen = np.sort(sample[f"k{i}"].dropna().to_numpy(np.float64))
+        q = [float(seen[len(seen) * j // buckets]) for j in range(1, buckets)] if len(seen) else []
+        q = [v for v in q if math.isfinite(v)]
         cuts = set(q)
         if isolate:
             cuts |= {float(np.nextafter(v, np.inf)) for v, n in Counter(q).items() if n > 1}
@@ -63,11 +70,10 @@ def splits_of(df: DataFrame, keys: list[str], buckets: int, isolate=False) -> di
 
 
 def text_splits(df: DataFrame, key: str, buckets: int) -> list[str]:
-    """Cut points of a unique text key from a bounded hash sample."""
+    """Cut points of a unique text key from a bounded sample."""
     if buckets <= 1:
         return []
-    sample = df.select(col(key).alias("k")).orderBy(F.xxhash64("k")).limit(20 * buckets)
-    ids = sorted(r.k for r in sample.collect())
+    ids = sorted(r.k0 for r in _sampled(df, [key], buckets).collect() if r.k0 is not None)
     return sorted({ids[len(ids) * i // buckets] for i in range(1, buckets)}) if ids else []
 
 
@@ -107,6 +113,13 @@ def _offsets(bucketed: DataFrame, group: list[str], sums: dict, bucket: str) ->
     )
 
 
+def _with_offsets(local: DataFrame, off: DataFrame, keys: list[str]) -> DataFrame:
+    """Join the offsets of each cell; a null group is a group like any other."""
+    named = off.select(*[col(k).alias(f"_k_{k}") for k in keys], *[c for c in off.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [col(k).eqNullSafe(col(f"_k_{k}")) for k in keys])
+    return local.join(named, same)
+
+
 def running_totals(
     df: DataFrame,
     group: list[str],
@@ -129,7 +142,7 @@ def running_totals(
     off = _offsets(df, group, {c: F.sum(c) for c in sums}, bucket)
     inner = Window.partitionBy(*group, bucket).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     local = df.select("*", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"_l_{c}") for c in sums])
-    out = local.join(off, [*group, bucket]).select(
+    out = _with_offsets(local, off, [*group, bucket]).select(
         *[c for c in df.columns],
         *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"before_{c}") for c in sums],
         *[f"total_{c}" for c in sums],
@@ -148,11 +161,8 @@ def numbered(df: DataFrame, group: list[str], key: str, out="row_no", ties: list
     b = with_bucket(df, key, cuts)
     off = _offsets(b, group, {"n": F.count(F.lit(1))}, "_bucket")
     w = Window.partitionBy(*group, "_bucket").orderBy(key, *ties)
-    return (
-        b.withColumn("_r", F.row_number().over(w))
-        .join(off, [*group, "_bucket"])
-        .select(*df.columns, (F.col("_r") + F.col("_o_n")).alias(out), F.col("total_n").alias("group_n"))
-    )
+    ranked = _with_offsets(b.withColumn("_r", F.row_number().over(w)), off, [*group, "_bucket"])
+    return ranked.select(*df.columns, (F.col("_r") + F.col("_o_n")).alias(out), F.col("total_n").alias("group_n"))
 
 
 def shuffled_order(df: DataFrame, group: list[str], order_hash: str, tie: str, out="row_no") -> DataFrame:
@@ -163,11 +173,8 @@ def shuffled_order(df: DataFrame, group: list[str], order_hash: str, tie: str, o
     b = df.withColumn("_bucket", F.shiftright(order_hash, 64 - bits) if bits else F.lit(0).cast("long"))
     off = _offsets(b, group, {"n": F.count(F.lit(1))}, "_bucket")
     w = Window.partitionBy(*group, "_bucket").orderBy(order_hash, tie)
-    return (
-        b.withColumn("_r", F.row_number().over(w))
-        .join(off, [*group, "_bucket"])
-        .select(*df.columns, (F.col("_r") + F.col("_o_n")).alias(out), F.col("total_n").alias("group_n"))
-    )
+    ranked = _with_offsets(b.withColumn("_r", F.row_number().over(w)), off, [*group, "_bucket"])
+    return ranked.select(*df.columns, (F.col("_r") + F.col("_o_n")).alias(out), F.col("total_n").alias("group_n"))
 
 
 def min_rank(df: DataFrame, group: list[str], key: str, out="rank_no", splits: list | None = None) -> DataFrame:
@@ -185,8 +192,5 @@ def min_rank(df: DataFrame, group: list[str], key: str, out="rank_no", splits: l
     b = b.withColumn("_salt", F.when(F.col("_bucket").isin(lone), salt).otherwise(0) if lone else F.lit(0))
     off = _offsets(b, group, {"n": F.count(F.lit(1))}, "_bucket")
     w = Window.partitionBy(*group, "_bucket", "_salt").orderBy(key)
-    return (
-        b.withColumn("_r", F.rank().over(w))
-        .join(off, [*group, "_bucket"])
-        .select(*df.columns, (F.col("_r") + F.col("_o_n")).alias(out))
-    )
+    ranked = _with_offsets(b.withColumn("_r", F.rank().over(w)), off, [*group, "_bucket"])
+    return ranked.select(*df.columns, (F.col("_r") + F.col("_o_n")).alias(out))

@@ -15,7 +15,6 @@ from casebook.operators.firstorder import group_quantiles
 from casebook.operators.prefix import bucket_count, range_splits, running_totals
 from casebook.spec import MatrixSpec
 
-WIDE_LIMIT = 250  # features per aggregate before the long form is cheaper to plan
 CATEGORY_LIMIT = 9
 NORMAL_P = 0.05
 
@@ -23,19 +22,17 @@ NORMAL_P = 0.05
 def per_feature(df: DataFrame, spec: MatrixSpec, makers: dict, by: list[str] = ()) -> DataFrame:
     """``makers`` maps an output name to ``fn(column) -> aggregate``; result: by..., feature, outputs.
 
-    Up to ``WIDE_LIMIT`` features share one aggregate row; wider tables go through the long form.
+    Cases are unfolded to (feature number, value) next to their other columns, which the makers may
+    read, and summed per feature before they are shuffled: one form for any number of features.
     """
+    if not spec.features:
+        raise ValueError("no feature to aggregate")
     by = list(by)
-    if len(spec.features) > WIDE_LIMIT:
-        long = df.unpivot(
-            [F.col(c) for c in by], [col(f).cast("double").alias(f) for f in spec.features], "feature", "value"
-        )
-        return long.groupBy(*by, "feature").agg(*[fn(F.col("value")).alias(n) for n, fn in makers.items()])
-    row = df.groupBy(*by).agg(
-        *[F.struct(*[fn(col(f)).alias(n) for n, fn in makers.items()]).alias(f) for f in spec.features]
-    )
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), *[F.col(f"`{f}`.{n}").alias(n) for n in makers]) for f in spec.features])
-    return row.select(*by, F.inline(cells))
+    others = [col(c) for c in df.columns if c not in spec.features]
+    cells = F.posexplode(F.array(*[col(f).cast("double") for f in spec.features])).alias("_no", "_cell")
+    sums = df.select(*others, cells).groupBy(*by, "_no").agg(*[fn(F.col("_cell")).alias(n) for n, fn in makers.items()])
+    name = F.element_at(F.array(*[F.lit(f) for f in spec.features]), F.col("_no") + 1).alias("feature")
+    return sums.select(*by, name, *makers)
 
 
 def describe(df: DataFrame, spec: MatrixSpec) -> DataFrame:
@@ -75,10 +72,13 @@ def few_valued(df: DataFrame, spec: MatrixSpec, limit: int = CATEGORY_LIMIT) ->
 
 
 def two_side_counts(df: DataFrame, spec: MatrixSpec, side: Column, ranks=True) -> DataFrame:
-    """Distinct-value table: feature, value, n1 (side true), n0, n, and running totals when ``ranks``."""
+    """Distinct-value table: feature, value, n1 (side true), n0, n, and running totals when ``ranks``.
+
+    Missing values, and cases on neither side, are not counted: sizes are those of the cells there are.
+    """
     long = df.withColumn("_side", side.cast("boolean")).unpivot(
         ["_side"], [col(f).cast("double").alias(f) for f in spec.features], "feature", "value"
-    )
+    ).filter("value IS NOT NULL AND _side IS NOT NULL")
     counts = long.groupBy("feature", "value").agg(
         F.count_if("_side").alias("n1"), F.count_if(~F.col("_side")).alias("n0"), F.count(F.lit(1)).alias("n")
     )

@@ -9,22 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch folder only where none is set (local tests)."""
+    """The cluster's shared checkpoint folder; a scratch folder only where none is set and all runs in one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
     folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    folder = folder or tempfile.mkdtemp(prefix="casebook-checkpoint-")
+    if not folder:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="casebook-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def kept(df: DataFrame) -> DataFrame:
     """Reuse across passes; spills to disk and is recomputed when an executor is lost."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -53,3 +53,19 @@ def test_numbering_by_text_and_by_hash(spark):
     for _, part in h.groupby("g"):
         part = part.sort_values("h")
         assert part.row_no.tolist() == list(range(1, len(part) + 1))
+
+
+def test_rows_of_a_null_group_are_kept(spark):
+    rows = [("a" if i % 3 else None, i % 7, f"k{i:02d}") for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, v int, k string")
+    counts = df.groupBy("g", "v").count()
+    totals = prefix.running_totals(counts, ["g"], "v", ["count"]).collect()
+    assert len(totals) == counts.count()
+    for r in totals:
+        assert r.before_count == sum(1 for g, v, _ in rows if g == r.g and v < r.v)
+    for out in (prefix.numbered(df, ["g"], "k"), prefix.min_rank(df, ["g"], "v", out="row_no")):
+        assert out.count() == 40 and out.filter("row_no IS NULL").count() == 0
+    numbers = {r.k: r.row_no for r in prefix.numbered(df, ["g"], "k").collect()}
+    for g in ("a", None):
+        own = sorted(k for h, _, k in rows if h == g)
+        assert [numbers[k] for k in own] == list(range(1, len(own) + 1))

@@ -41,13 +41,41 @@ def test_kruskal_is_squared_rank_z(spark):
         assert r.h == pytest.approx(((r.u - r.m1 * r.m0 / 2) / sd) ** 2, rel=1e-9)
 
 
-def test_wide_and_long_paths_agree(spark, monkeypatch):
-    df, spec, _ = matrix(spark, p=4)
-    makers = {"m": F.avg, "s": F.stddev_pop}
-    wide = stats.per_feature(df, spec, makers).toPandas().sort_values("feature", ignore_index=True)
-    monkeypatch.setattr(stats, "WIDE_LIMIT", 2)
-    long = stats.per_feature(df, spec, makers).toPandas().sort_values("feature", ignore_index=True)
-    pd.testing.assert_frame_equal(wide, long)
+@pytest.mark.parametrize("p", [5, 300])
+def test_every_caller_works_at_any_width(spark, p):
+    from casebook.operators import models, normalize
+
+    df, spec, pdf = matrix(spark, n=60, p=p)
+    feats = list(spec.features)
+    mean = stats.per_feature(df, spec, {"m": F.avg}).toPandas().set_index("feature").m
+    assert np.allclose(mean[feats], pdf[feats].mean())
+    by = stats.per_feature(df, spec, {"m": F.avg}, by=["label"]).toPandas().set_index(["label", "feature"]).m
+    assert np.allclose(by[1][feats], pdf[pdf.label == 1][feats].mean())
+    r = stats.label_correlation(df, spec).toPandas().set_index("feature").r
+    assert np.allclose(r[feats], pdf[feats].corrwith(pdf.label).abs())
+    a, b = (pdf[pdf.label == y][feats] for y in (1, 0))
+    t = stats.t_test(df, spec, F.col("label") == 1).toPandas().set_index("feature").t
+    pooled = ((len(a) - 1) * a.var() + (len(b) - 1) * b.var()) / (len(pdf) - 2)
+    want = (a.mean() - b.mean()) / np.sqrt(pooled * (1 / len(a) + 1 / len(b)))
+    assert np.allclose(t[feats], want)
+    f = stats.anova_f(df, spec).toPandas().set_index("feature").f
+    assert np.allclose(f[feats], want**2)
+    assert stats.distribution_type(df, spec).count() == p
+    assert normalize.fit_normalizer(df, spec, "Zscore")
+    assert models.class_moments(df, spec).mean.shape == (2, p)
+
+
+def test_missing_cells_and_sides_are_not_ranked(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 12, 60).astype(float)
+    side = np.arange(60) % 3
+    rows = [(f"c{i}", None if side[i] == 2 else bool(side[i]), None if i % 5 == 0 else float(x[i])) for i in range(60)]
+    df = spark.createDataFrame(rows, "case_id string, label boolean, f0 double")
+    got = stats.rank_sums(stats.two_side_counts(df, MatrixSpec(("f0",)), F.col("label"))).head()
+    seen = pd.DataFrame([(s, v) for _, s, v in rows if s is not None and v is not None], columns=["s", "v"])
+    ranks = seen.v.rank()
+    assert (got.m1, got.m0) == ((seen.s).sum(), (~seen.s.astype(bool)).sum())
+    assert got.rank_sum == ranks[seen.s.astype(bool)].sum() and got.n_values == seen.v.nunique()
 
 
 def test_few_valued_is_exact(spark):
