@@ -153,7 +153,7 @@ def lasso_logistic(df: DataFrame, spec: MatrixSpec, c=1.0, tol=3e-4, max_iter=10
     return LinearScore("LRLasso", spec.features, tuple(map(float, m.coefficients)), float(m.intercept))
 
 
-def linear_svm(df: DataFrame, spec: MatrixSpec, c=1.0, max_iter=25) -> LinearScore:
+def linear_svm(df: DataFrame, spec: MatrixSpec, c=1.0, max_iter=100) -> LinearScore:
     """Linear SVM with a logistic map of the margin, fitted on a held-out third of the cases."""
     data = _training(df, spec).withColumn("_u", hash_uniform(0, spec.case_id))
     n = data.count()
@@ -316,7 +316,7 @@ def decision_tree(df, spec, max_depth=30, criterion="gini"):
     )(df, spec)
 
 
-def random_forest(df, spec, trees=10, max_depth=12, criterion="gini"):
+def random_forest(df, spec, trees=10, max_depth=30, criterion="gini"):
     return _spark_classifier(
         "RF",
         lambda s: RandomForestClassifier(

@@ -78,7 +78,7 @@ def relieff_scores(df: DataFrame, spec: MatrixSpec, neighbors=RELIEFF_NEIGHBORS)
     return sums.unpivot([], list(spec.features), "feature", "score")
 
 
-def rfe_ranks(df: DataFrame, spec: MatrixSpec, keep: int, share=RFE_SHARE, c=1.0, max_iter=12) -> list[dict]:
+def rfe_ranks(df: DataFrame, spec: MatrixSpec, keep: int, share=RFE_SHARE, c=1.0, max_iter=100) -> list[dict]:
     """Recursive elimination with a linear SVM: rank 1 for the kept features, larger for earlier losers.
 
     Each round drops the weakest ``share`` of the original feature count (at least one).

@@ -6,6 +6,8 @@ mergeable aggregates or through distinct-value counts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,22 +97,26 @@ def _d(name: str) -> Column:
 def rank_sums(counts: DataFrame) -> DataFrame:
     """Per feature: sizes, rank sum of side 1, tie term and chi-square pieces from ``two_side_counts``."""
     midrank = F.col("before_n") + (F.col("n") + 1) / 2
-    e1 = _d("n") * F.col("total_n1") / F.col("total_n")
-    e0 = _d("n") * F.col("total_n0") / F.col("total_n")
-    weight = over(F.lit(1.0), e1) + over(F.lit(1.0), e0)
-    gap = F.abs(_d("n1") - e1)
-    soft = gap - F.least(F.lit(0.5), gap)
     return counts.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n_values"),
         F.max("total_n1").cast("double").alias("m1"),
         F.max("total_n0").cast("double").alias("m0"),
         F.sum(_d("n1") * midrank).alias("rank_sum"),
         F.sum(_d("n") * _d("n") * _d("n") - _d("n")).alias("ties"),
-        F.sum(gap * gap * weight).alias("chi2_plain"),
-        F.sum(soft * soft * weight).alias("chi2_yates"),
+        *_chi_pieces(),
     )
 
 
+def _chi_pieces() -> list[Column]:
+    """Sums over distinct values for the contingency chi-square, without and with continuity correction."""
+    e1 = _d("n") * F.col("total_n1") / F.col("total_n")
+    e0 = _d("n") * F.col("total_n0") / F.col("total_n")
+    weight = over(F.lit(1.0), e1) + over(F.lit(1.0), e0)
+    gap = F.abs(_d("n1") - e1)
+    soft = gap - F.least(F.lit(0.5), gap)
+    return [F.sum(gap * gap * weight).alias("chi2_plain"), F.sum(soft * soft * weight).alias("chi2_yates")]
+
+
 def mann_whitney(sums: DataFrame) -> DataFrame:
     """U of side 1, z with continuity and tie correction, two-sided normal p."""
     m, k = F.col("m1"), F.col("m0")
@@ -217,9 +223,44 @@ def normality_statistic(n: Column, g: Column, b: Column) -> Column:
 def compare_features(df: DataFrame, spec: MatrixSpec, side: Column, names=("side1", "side0")) -> DataFrame:
     """Feature-by-feature comparison of two sets of cases.
 
-    At most nine distinct values: chi-square with ``value: count`` texts; otherwise
-    Mann-Whitney with ``mean+-std`` texts.
+    Text, and numbers of at most nine distinct values: chi-square with ``value: count`` texts;
+    otherwise Mann-Whitney with ``mean+-std`` texts. A text feature of more values says how many.
     """
+    kinds = dict(df.dtypes)
+    texts = spec.only(f for f in spec.features if kinds[f] == "string")
+    numbers = spec.only(f for f in spec.features if kinds[f] != "string")
+    parts = [make(df, own, side, names) for make, own in ((_compare_numbers, numbers), (_compare_texts, texts)) if own.features]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _compare_texts(df: DataFrame, spec: MatrixSpec, side: Column, names) -> DataFrame:
+    long = df.withColumn("_side", side.cast("boolean")).unpivot(["_side"], [col(f) for f in spec.features], "feature", "value")
+    counts = long.filter("value IS NOT NULL AND _side IS NOT NULL").groupBy("feature", "value").agg(
+        F.count_if("_side").alias("n1"), F.count_if(~F.col("_side")).alias("n0"), F.count(F.lit(1)).alias("n")
+    )
+    totals = counts.groupBy("feature").agg(
+        F.sum("n").alias("total_n"), F.sum("n1").alias("total_n1"), F.sum("n0").alias("total_n0"), F.count(F.lit(1)).alias("n_values")
+    )
+    pieces = counts.join(totals, "feature").groupBy("feature").agg(F.max("n_values").alias("n_values"), *_chi_pieces())
+    res = chi_square(pieces)
+    few = counts.join(totals.filter(F.col("n_values") <= CATEGORY_LIMIT).select("feature"), "feature")
+    cells = few.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("value", "n1", "n0"))).alias("cells"))
+
+    def text(n):
+        listed = F.array_join(F.transform("cells", lambda c: F.format_string("%s: %d", c["value"], c[n])), ", ")
+        return F.coalesce(listed, F.format_string("%d values", F.col("n_values")))
+
+    return res.join(cells, "feature", "left").select(
+        "feature",
+        text("n1").alias(names[0]),
+        text("n0").alias(names[1]),
+        F.col("p_chi2").alias("p"),
+        F.lit("Chi-Square").alias("method"),
+        F.col("chi2").alias("statistic"),
+    )
+
+
+def _compare_numbers(df: DataFrame, spec: MatrixSpec, side: Column, names) -> DataFrame:
     few = few_valued(df, spec)
     counts = two_side_counts(df, spec, side)
     res = chi_square(mann_whitney(rank_sums(counts)))

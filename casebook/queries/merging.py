@@ -40,14 +40,11 @@ def merge_cases(spark, sf):
 
 @query(
     "attach_clinical",
-    f"WITH {DM} SELECT case_id, label, words, n_chars, CASE WHEN lang <> 'de' THEN lang END AS lang, "
-    "CASE WHEN lang <> 'de' THEN source END AS source FROM dm",
+    f"WITH {DM} SELECT case_id, label, words, n_chars, lang, source FROM dm",
 )
 def attach_clinical(spark, sf):
     df, spec = t.docs_matrix(spark, sf)
-    side = t.docs_clinical(spark, sf).filter(F.col("lang") != "de").select(
-        "case_id", "lang", "source", F.col("toxic").alias("Label")
-    )
+    side = t.docs_clinical(spark, sf).select("case_id", "lang", "source", F.col("toxic").alias("Label"))
     spec = spec.only(["n_chars", "words"])
     return m.attach_clinical(spec.project(df), side, spec)
 

@@ -47,19 +47,19 @@ for _name, _key in (
 @query("linear_svm")
 def linear_svm(spark, sf):
     df, spec = _small(spark, sf)
-    return _quality(models.linear_svm(df, spec, max_iter=8), df)
+    return _quality(models.linear_svm(df, spec), df)
 
 
 @query("ada_boost")
 def ada_boost(spark, sf):
     df, spec = _small(spark, sf)
-    return _quality(models.ada_boost(df, spec, rounds=8), df)
+    return _quality(models.ada_boost(df, spec), df)
 
 
 @query("perceptron")
 def perceptron(spark, sf):
     df, spec = _small(spark, sf)
-    return _quality(models.perceptron(df, spec, hidden=(30,), max_iter=40), df)
+    return _quality(models.perceptron(df, spec), df)
 
 
 _LDA = f"""{OM},
@@ -168,7 +168,7 @@ def grid_search_spark_estimator(spark, sf):
 
     df, spec = _small(spark, sf)
     est = LogisticRegression(featuresCol="_v", labelCol="y", maxIter=20)
-    cv = models.spark_grid_search(df, spec, est, [{"regParam": [0.0, 0.1]}], folds=3)
+    cv = models.spark_grid_search(df, spec, est, [{"regParam": [0.0, 0.1]}])
     return normalize.state_table(spark, [{"option": i, "accuracy": float(a)} for i, a in enumerate(cv.avgMetrics)])
 
 

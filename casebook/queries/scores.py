@@ -205,9 +205,9 @@ def density_rows(spark, sf):
     return rnd(e.density_rows(t.predictions(spark, sf), ["model"]), G)
 
 
-@query("waterfall", f"WITH {PR} SELECT case_id, label, {r('pred - 0.5')} AS height FROM pr WHERE split = 'F'")
+@query("waterfall", f"WITH {PR} SELECT case_id, label, {r('pred - 0.5')} AS height FROM pr")
 def waterfall(spark, sf):
-    return rnd(e.waterfall(t.predictions(spark, sf).filter("split = 'F'"), 0.5), G)
+    return rnd(e.waterfall(t.predictions(spark, sf), 0.5), G)
 
 
 _HF = ("lines", "total")

@@ -80,7 +80,7 @@ def relief_part_of_cases(spark, sf):
 @query(
     "relieff_scores",
     f"""WITH {DM}, near AS MATERIALIZED (SELECT a.case_id AS a, b.case_id AS b FROM dm a JOIN dm b ON a.case_id <> b.case_id
- QUALIFY row_number() OVER (PARTITION BY a.case_id ORDER BY {_dist2('a', 'b', DOC_FEATURES)}, b.case_id) <= 10) """
+ QUALIFY row_number() OVER (PARTITION BY a.case_id ORDER BY {_dist2('a', 'b', DOC_FEATURES)}, b.case_id) <= 100) """
     + " UNION ALL ".join(
         f"SELECT '{f}' AS feature, sum(CASE WHEN a.label = b.label THEN 1 ELSE -1 END * CASE WHEN a.{f} = b.{f} THEN 1 ELSE -1 END)::BIGINT AS score "
         "FROM near JOIN dm a ON near.a = a.case_id JOIN dm b ON near.b = b.case_id"
@@ -89,7 +89,7 @@ def relief_part_of_cases(spark, sf):
 )
 def relieff_scores(spark, sf):
     df, spec = t.docs_matrix(spark, sf)
-    return select.relieff_scores(df, spec, neighbors=10)
+    return select.relieff_scores(df, spec, neighbors=100)
 
 
 @query("recursive_elimination")

@@ -171,7 +171,7 @@ def no_balancing(spark, sf):
 def bootstrap_weights(spark, sf):
     """Mean and variance of the replicate weights: both are close to one."""
     df, spec = t.orders_matrix(spark, sf)
-    w, names = balance.bootstrap_weights(df.select("case_id"), "case_id", 10)
+    w, names = balance.bootstrap_weights(df.select("case_id"), "case_id", 100)
     long = w.unpivot(["case_id"], names, "replicate", "w")
     return long.groupBy("replicate").agg(F.avg("w").alias("mean"), F.var_pop("w").alias("variance"))
 
@@ -180,12 +180,12 @@ def bootstrap_weights(spark, sf):
 def balanced_holdout(spark, sf):
     df, spec = t.docs_matrix(spark, sf)
     clinical = t.docs_clinical(spark, sf)
-    out = searches.balanced_holdout(df, spec, clinical, attempts=20)
+    out = searches.balanced_holdout(df, spec, clinical)
     return out.groupBy("label", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("cluster_holdout")
 def cluster_holdout(spark, sf):
     df, spec = t.docs_matrix(spark, sf)
-    out, info = searches.cluster_holdout(df, spec, t.docs_clinical(spark, sf).select("case_id", "toxic"), parts=4, attempts=20)
+    out, info = searches.cluster_holdout(df, spec, t.docs_clinical(spark, sf).select("case_id", "toxic"), parts=4)
     return info

@@ -101,6 +101,41 @@ def compare_two_tables(spark, sf):
     return out.select("feature", "test", "train", "method", rounded("statistic", 5).alias("statistic"))
 
 
+_TEXT_P = "exp(-chi2 / 2) * (1 + chi2 / 2)"  # four degrees of freedom
+_REGIONS = (
+    "reg AS (SELECT o_orderkey, r_name AS region, o_orderpriority AS priority, c_mktsegment AS segment, o_orderstatus = 'F' AS side "
+    "FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+)
+
+
+@query(
+    "compare_text_features",
+    f"""WITH {_REGIONS}, u AS (SELECT side, feature, value FROM (SELECT side, region, priority, segment FROM reg)
+ UNPIVOT (value FOR feature IN (region, priority, segment))),
+c AS (SELECT feature, value, count(*) FILTER (WHERE side)::DOUBLE AS n1, count(*) FILTER (WHERE NOT side)::DOUBLE AS n0 FROM u GROUP BY 1, 2),
+e AS (SELECT *, (n1 + n0) * sum(n1) OVER w / (sum(n1) OVER w + sum(n0) OVER w) AS e1, (n1 + n0) * sum(n0) OVER w / (sum(n1) OVER w + sum(n0) OVER w) AS e0
+ FROM c WINDOW w AS (PARTITION BY feature)),
+g AS (SELECT feature, sum((n1 - e1) ** 2 / e1 + (n0 - e0) ** 2 / e0) AS chi2,
+ string_agg(value || ': ' || (n1::BIGINT)::VARCHAR, ', ' ORDER BY value) AS finished,
+ string_agg(value || ': ' || (n0::BIGINT)::VARCHAR, ', ' ORDER BY value) AS open FROM e GROUP BY 1)
+SELECT feature, finished, open, {r(_TEXT_P)} AS p, 'Chi-Square' AS method, {r('chi2', 5)} AS statistic FROM g""",
+)
+def compare_text_features(spark, sf):
+    """Text-typed features of finished and other orders: five values each, so four degrees of freedom."""
+    orders, customer = t.table(spark, sf, "orders"), t.table(spark, sf, "customer")
+    place = t.table(spark, sf, "nation").join(t.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    df = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(place, F.col("c_nationkey") == F.col("n_nationkey"))
+    df = df.select(
+        F.col("o_orderkey").cast("string").alias("case_id"),
+        (F.col("o_orderstatus") == "F").alias("side"),
+        F.col("r_name").alias("region"),
+        F.col("o_orderpriority").alias("priority"),
+        F.col("c_mktsegment").alias("segment"),
+    )
+    out = stats.compare_features(df, MatrixSpec(("priority", "region", "segment")), F.col("side"), ("finished", "open"))
+    return out.select("feature", "finished", "open", rounded("p").alias("p"), "method", rounded("statistic", 5).alias("statistic"))
+
+
 _K2 = """
 SELECT *, g * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y,
  3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta,
