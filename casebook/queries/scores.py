@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from casebook.functions.exprs import rounded
 from casebook.operators import evaluate as e
 from casebook.queries import query
-from casebook.queries.sql import OM, PP, PR, r
+from casebook.queries.sql import OM, PP, PR, normal_p, r
 from casebook.sources import kept_tables as t
 
 G = ["model", "split"]
@@ -64,9 +64,7 @@ def auc_trapezoid(spark, sf):
     return out.select(*G, rounded("auc").alias("auc"))
 
 
-@query(
-    "delong_comparison",
-    f"""WITH {PP},
+_DELONG = f"""{PP},
 q AS (SELECT *, rank() OVER (ORDER BY pred_a) + (count(*) OVER (PARTITION BY pred_a) - 1) / 2.0::DOUBLE AS ra,
  rank() OVER (ORDER BY pred_b) + (count(*) OVER (PARTITION BY pred_b) - 1) / 2.0::DOUBLE AS rb,
  rank() OVER (PARTITION BY label ORDER BY pred_a) + (count(*) OVER (PARTITION BY label, pred_a) - 1) / 2.0::DOUBLE AS wa,
@@ -75,17 +73,27 @@ q AS (SELECT *, rank() OVER (ORDER BY pred_a) + (count(*) OVER (PARTITION BY pre
 w AS (SELECT label, m, n, CASE WHEN label = 1 THEN (ra - wa) / n ELSE 1 - (ra - wa) / m END AS va,
  CASE WHEN label = 1 THEN (rb - wb) / n ELSE 1 - (rb - wb) / m END AS vb FROM q),
 s AS (SELECT label, avg(va) AS ma, avg(vb) AS mb, (var_samp(va) + var_samp(vb) - 2 * covar_samp(va, vb)) / count(*) AS v FROM w GROUP BY 1),
-f AS (SELECT max(ma) FILTER (WHERE label = 1) AS auc_a, max(mb) FILTER (WHERE label = 1) AS auc_b, sum(v) AS v FROM s)
-SELECT {r('auc_a')} AS auc_a, {r('auc_b')} AS auc_b, {r('abs(auc_a - auc_b) / sqrt(v)', 6)} AS z FROM f""",
+f AS (SELECT max(ma) FILTER (WHERE label = 1) AS auc_a, max(mb) FILTER (WHERE label = 1) AS auc_b, sum(v) AS v FROM s)"""
+
+
+@query(
+    "delong_comparison",
+    f"WITH {_DELONG} SELECT {r('auc_a')} AS auc_a, {r('auc_b')} AS auc_b, {r('abs(auc_a - auc_b) / sqrt(v)', 6)} AS z FROM f",
 )
 def delong_comparison(spark, sf):
     out = e.compare_models(t.paired_predictions(spark, sf))
     return out.select(rounded("auc_a").alias("auc_a"), rounded("auc_b").alias("auc_b"), rounded("z", 6).alias("z"))
 
 
-@query("delong_comparison_p")
+@query(
+    "delong_comparison_p",
+    f"WITH {_DELONG}, z AS (SELECT *, abs(auc_a - auc_b) / sqrt(v) AS z FROM f) SELECT {r('auc_a')} AS auc_a, {r('auc_b')} AS auc_b, "
+    f"{r('z', 6)} AS z, {r(normal_p('z'), 6)} AS p, {r('log10(' + normal_p('z') + ')', 5)} AS log10_p FROM z",
+)
 def delong_comparison_p(spark, sf):
-    return e.compare_models(t.paired_predictions(spark, sf))
+    out = e.compare_models(t.paired_predictions(spark, sf))
+    digits = {"z": 6, "p": 6, "log10_p": 5}
+    return out.select(*[rounded(c, digits.get(c, 8)).alias(c) for c in ("auc_a", "auc_b", "z", "p", "log10_p")])
 
 
 @query(
@@ -158,7 +166,16 @@ def metric_rows_with_train_cutoff(spark, sf):
     return rnd(e.metric_rows(preds, G, cut), G, skip=("cutoff",))
 
 
-@query("metric_texts")
+_FOUR = ("auc", "std", "auc_pr", "cutoff", "mcc", "acc", "youden", "sen", "spe", "ppv", "npv")
+
+
+@query(
+    "metric_texts",
+    f"WITH {SCORES}, t AS ({_METRIC_SELECT} FROM u JOIN v ON u.model = v.model AND u.split = v.split "
+    "JOIN y ON u.model = y.model AND u.split = y.split) SELECT model, split, number, pos, neg, "
+    + ", ".join(f"printf('%.4f', {c}::DOUBLE) AS {c}" for c in _FOUR)
+    + ", '[' || printf('%.4f', ci_low) || '-' || printf('%.4f', ci_high) || ']' AS ci FROM t",
+)
 def metric_texts(spark, sf):
     return e.metric_texts(e.metric_rows(t.predictions(spark, sf), G), G)
 

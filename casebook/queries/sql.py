@@ -116,3 +116,19 @@ def unpivoted(cte: str, features, keys="case_id, label") -> str:
 OML = unpivoted("om", ORDER_FEATURES)
 OSL = unpivoted("os", ORDER_FEATURES, "case_id, event, duration")
 DML = unpivoted("dm", DOC_FEATURES)
+
+
+_WEIGHT = "(CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+
+
+def normal_p(z: str) -> str:
+    """Two-sided normal tail: one less the density from -z to z by Simpson's rule."""
+    inside = f"list_sum([{_WEIGHT} * exp(-pow(i * abs({z}) / 1000, 2) / 2) FOR i IN range(0, 1001)])"
+    return f"(1 - sqrt(2 / pi()) * {inside} * abs({z}) / 3000)"
+
+
+def t_p(t: str, v: str) -> str:
+    """Two-sided tail of Student's t: one less the density from -t to t by Simpson's rule."""
+    inside = f"list_sum([{_WEIGHT} * pow(1 + pow(i * abs({t}) / 1000, 2) / ({v}), -(({v}) + 1) / 2) FOR i IN range(0, 1001)])"
+    height = f"exp(lgamma((({v}) + 1) / 2) - lgamma(({v}) / 2)) / sqrt(({v}) * pi())"
+    return f"(1 - 2 * {height} * {inside} * abs({t}) / 3000)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from casebook.functions.exprs import col, rounded
 from casebook.operators import stats
 from casebook.queries import query
-from casebook.queries.sql import DM, DML, OM, OML, OS, RA, r, unpivoted
+from casebook.queries.sql import DM, DML, OM, OML, OS, RA, normal_p, r, t_p, unpivoted
 from casebook.sources import kept_tables as t
 from casebook.spec import MatrixSpec
 
@@ -30,11 +30,16 @@ def mann_whitney(spark, sf):
     return res.select("feature", rounded("u", 2).alias("u"), rounded("z").alias("z"))
 
 
-@query("mann_whitney_p")
+@query(
+    "mann_whitney_p",
+    f"""WITH {RANKS.replace(OM, DM).replace(OML, DML).replace("om_long", "dm_long")}, u AS (SELECT *, r1 - m * (m + 1) / 2 AS u,
+ sqrt(m * k / 12 * ((t + 1) - ties / (t * (t - 1)))) AS sd FROM s), z AS (SELECT feature, u, (abs(u - m * k / 2) - 0.5) / sd AS z FROM u)
+SELECT feature, {r('u', 2)} AS u, {r('z')} AS z, {r('least(1.0::DOUBLE, ' + normal_p('greatest(z, 0)') + ')', 6)} AS p FROM z""",
+)
 def mann_whitney_p(spark, sf):
     df, spec = t.docs_matrix(spark, sf)
     res = stats.mann_whitney(stats.rank_sums(stats.two_side_counts(df, spec, F.col("label") == 1)))
-    return res.select("feature", "u", "z", F.col("p_mw").alias("p"))
+    return res.select("feature", rounded("u", 2).alias("u"), rounded("z").alias("z"), rounded("p_mw", 6).alias("p"))
 
 
 @query(
@@ -185,7 +190,15 @@ def label_correlation(spark, sf):
     return stats.label_correlation(*t.orders_matrix(spark, sf)).select("feature", rounded("r").alias("r"))
 
 
-@query("tail_probabilities")
+@query(
+    "tail_probabilities",
+    f"""WITH {DM}, {DML}, g AS (SELECT feature, count(*) FILTER (WHERE label = 1)::DOUBLE AS n1, count(*) FILTER (WHERE label = 0)::DOUBLE AS n0,
+ avg(value) FILTER (WHERE label = 1) AS m1, avg(value) FILTER (WHERE label = 0) AS m0,
+ var_pop(value) FILTER (WHERE label = 1) AS v1, var_pop(value) FILTER (WHERE label = 0) AS v0 FROM dm_long GROUP BY 1),
+t AS (SELECT feature, n1 + n0 - 2 AS v, abs(m1 - m0) / sqrt((n1 * v1 + n0 * v0) / (n1 + n0 - 2) * (1 / n1 + 1 / n0)) AS t FROM g)
+SELECT feature, {r('t * t', 6)} AS f, {r(t_p('t', 'v'), 6)} AS p_f, {r(t_p('t', 'v'), 6)} AS p_t,
+ {r(normal_p('t'), 6)} AS p_chi2, {r(normal_p('t'), 6)} AS p_normal FROM t""",
+)
 def tail_probabilities(spark, sf):
     """All four tails on the statistics of real features."""
     from casebook.functions import tails
@@ -195,9 +208,9 @@ def tail_probabilities(spark, sf):
     tt = F.sqrt("f")
     return f.select(
         "feature",
-        F.col("f"),
-        tails.f_p(F.col("f"), F.lit(1.0), dof).alias("p_f"),
-        tails.t_p(tt, dof).alias("p_t"),
-        tails.chi2_p(F.col("f"), F.lit(1.0)).alias("p_chi2"),
-        tails.normal_two_sided_p(tt).alias("p_normal"),
+        rounded("f", 6).alias("f"),
+        rounded(tails.f_p(F.col("f"), F.lit(1.0), dof), 6).alias("p_f"),
+        rounded(tails.t_p(tt, dof), 6).alias("p_t"),
+        rounded(tails.chi2_p(F.col("f"), F.lit(1.0)), 6).alias("p_chi2"),
+        rounded(tails.normal_two_sided_p(tt), 6).alias("p_normal"),
     )
