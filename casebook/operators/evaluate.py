@@ -134,24 +134,17 @@ def confusion_metrics(preds: DataFrame, group: list[str], cutoffs: DataFrame | f
     training cut-offs); prediction is ``score >= cutoff``."""
     if isinstance(cutoffs, DataFrame):
         on = [g for g in group if g in cutoffs.columns]
-        counts = preds.groupBy(*group, "pred").agg(
-            F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n")
-        )
-        data = counts.join(cutoffs.select(*on, "cutoff"), on)
+        data = preds.join(cutoffs.select(*on, "cutoff"), on)
     else:
-        data = (
-            preds.groupBy(*group, "pred")
-            .agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n"))
-            .withColumn("cutoff", F.lit(float(cutoffs)))
-        )
-    up = F.col("pred") >= F.col("cutoff")
+        data = preds.withColumn("cutoff", F.lit(float(cutoffs)))
+    up, positive, negative = F.col("pred") >= F.col("cutoff"), F.col("label") == 1, F.col("label") != 1
     agg = data.groupBy(*group).agg(
         F.max("cutoff").alias("cutoff"),
-        (F.sum("p") + F.sum("n")).alias("number"),
-        F.sum("p").alias("pos"),
-        F.sum("n").alias("neg"),
-        F.coalesce(F.sum(F.when(up, F.col("p"))), F.lit(0)).cast("double").alias("_tp"),
-        F.coalesce(F.sum(F.when(up, F.col("n"))), F.lit(0)).cast("double").alias("_fp"),
+        F.count_if(positive | negative).alias("number"),
+        F.count_if(positive).alias("pos"),
+        F.count_if(negative).alias("neg"),
+        F.count_if(up & positive).cast("double").alias("_tp"),
+        F.count_if(up & negative).cast("double").alias("_fp"),
     )
     return agg.withColumns(_confusion_columns(F.col("_tp"), F.col("_fp"), _d("pos"), _d("neg"))).drop("_tp", "_fp")
 

@@ -1,7 +1,8 @@
 """First-order statistics of measurements per (case, series).
 
 Input: ``case_id, series, value``. A group can be arbitrarily large, so every
-statistic is a mergeable aggregate; second passes join the group's centre back.
+statistic is a mergeable aggregate; second passes join the group's centre back,
+with the rows of a group dealt over several keys.
 Quantiles are exact and come from per-value counts that are combined map-side.
 """
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebook.functions.exprs import over, rounded
-from casebook.operators.prefix import bucket_count, range_splits, running_totals
+from casebook.operators.prefix import bucket_count, join_groups, range_splits, running_totals
 from casebook.session import kept
 
 GROUP = ["case_id", "series"]
@@ -24,6 +25,17 @@ QUANTILES = {
 }
 
 
+SALTS = 32  # join keys that a group's rows are dealt over
+
+
+def attached(rows: DataFrame, per_group: DataFrame, by: list[str]) -> DataFrame:
+    """Add the columns of a one-row-a-group table. A group's rows are dealt over ``SALTS`` keys by the
+    task that reads them, so that the join and what is summed after it share the work of a large group."""
+    copies = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    return join_groups(dealt, copies, [*by, "_salt"]).drop("_salt")
+
+
 def group_quantiles(df: DataFrame, group: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles per group.
 
@@ -72,21 +84,21 @@ def first_order(df: DataFrame) -> DataFrame:
         }
     )
     # one row per group, read by the second and third pass
-    base = kept(base.join(group_quantiles(df, GROUP, "value", QUANTILES), GROUP))
+    base = kept(join_groups(base, group_quantiles(df, GROUP, "value", QUANTILES), GROUP))
     inside = v.between(F.col("percentile10"), F.col("percentile90"))
-    centred = df.join(base.select(*GROUP, "mean", "percentile10", "percentile90"), GROUP)
+    centred = attached(df, base.select(*GROUP, "mean", "percentile10", "percentile90"), GROUP)
     second = centred.groupBy(*GROUP).agg(
         F.avg(F.abs(v - F.col("mean"))).alias("mean_absolute_deviation"),
         F.avg(F.when(inside, v)).alias("_rmean"),
     )
+    middle = join_groups(base.select(*GROUP, "percentile10", "percentile90"), second.select(*GROUP, "_rmean"), GROUP)
     third = (
-        centred.join(second.select(*GROUP, "_rmean"), GROUP)
+        attached(df, middle, GROUP)
         .groupBy(*GROUP)
         .agg(F.avg(F.when(inside, F.abs(v - F.col("_rmean")))).alias("robust_mean_absolute_deviation"))
     )
     return (
-        base.join(second.drop("_rmean"), GROUP)
-        .join(third, GROUP)
+        join_groups(join_groups(base, second.drop("_rmean"), GROUP), third, GROUP)
         .withColumn("interquartile_range", F.col("percentile75") - F.col("percentile25"))
     )
 
@@ -112,7 +124,7 @@ def histogram_features(df: DataFrame, bin_count: int | None = 16, bin_width: flo
         bin_no = F.coalesce(
             F.least(F.lit(bin_count - 1), F.floor(over(v - lo, hi - lo) * bin_count)), F.lit(0)
         )
-    bins = df.join(ends, GROUP).groupBy(*GROUP, bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    bins = attached(df, ends, GROUP).groupBy(*GROUP, bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # sum p log p = (sum n log n) / N - log N, so one aggregate over the bins is enough
     n, total = F.col("n"), F.sum("n")
     return bins.groupBy(*GROUP).agg(
@@ -126,7 +138,7 @@ def normalized(df: DataFrame, scale=1.0, by=("case_id",)) -> DataFrame:
     by = list(by)
     stats = df.groupBy(*by).agg(F.avg("value").alias("_mu"), F.stddev_pop("value").alias("_sd"))
     return (
-        df.join(stats, by)
+        attached(df, stats, by)
         .filter(F.col("_sd") > 0)
         .withColumn("value", (F.col("value") - F.col("_mu")) / F.col("_sd") * scale)
         .drop("_mu", "_sd")
@@ -142,12 +154,12 @@ def resegmented_sigma(df: DataFrame, k: float) -> DataFrame:
     stats = df.groupBy(*GROUP).agg(F.avg("value").alias("_mu"), F.stddev_pop("value").alias("_sd"))
     slack = 1e-9
     near = F.abs(F.col("value") - F.col("_mu")) <= k * F.col("_sd") + slack
-    return df.join(stats, GROUP).filter(near).drop("_mu", "_sd")
+    return attached(df, stats, GROUP).filter(near).drop("_mu", "_sd")
 
 
 def large_enough(df: DataFrame, minimum: int) -> DataFrame:
     keep = df.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= minimum).drop("_n")
-    return df.join(keep, GROUP, "left_semi")
+    return attached(df, keep, GROUP)
 
 
 EXTRACTED = (

@@ -113,11 +113,11 @@ def _offsets(bucketed: DataFrame, group: list[str], sums: dict, bucket: str) ->
     )
 
 
-def _with_offsets(local: DataFrame, off: DataFrame, keys: list[str]) -> DataFrame:
-    """Join the offsets of each cell; a null group is a group like any other."""
+def join_groups(local: DataFrame, off: DataFrame, keys: list[str]) -> DataFrame:
+    """Join a table with one row a group; a null key is a key like any other."""
     named = off.select(*[col(k).alias(f"_k_{k}") for k in keys], *[c for c in off.columns if c not in keys])
     same = reduce(lambda a, b: a & b, [col(k).eqNullSafe(col(f"_k_{k}")) for k in keys])
-    return local.join(named, same)
+    return local.join(named, same).drop(*[f"_k_{k}" for k in keys])
 
 
 def running_totals(
@@ -142,7 +142,7 @@ def running_totals(
     off = _offsets(df, group, {c: F.sum(c) for c in sums}, bucket)
     inner = Window.partitionBy(*group, bucket).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     local = df.select("*", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"_l_{c}") for c in sums])
-    out = _with_offsets(local, off, [*group, bucket]).select(
+    out = join_groups(local, off, [*group, bucket]).select(
         *[c for c in df.columns],
         *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"before_{c}") for c in sums],
         *[f"total_{c}" for c in sums],
@@ -161,7 +161,7 @@ def numbered(df: DataFrame, group: list[str], key: str, out="row_no", ties: list
     b = with_bucket(df, key, cuts)
     off = _offsets(b, group, {"n": F.count(F.lit(1))}, "_bucket")
     w = Window.partitionBy(*group, "_bucket").orderBy(key, *ties)
-    ranked = _with_offsets(b.withColumn("_r", F.row_number().over(w)), off, [*group, "_bucket"])
+    ranked = join_groups(b.withColumn("_r", F.row_number().over(w)), off, [*group, "_bucket"])
     return ranked.select(*df.columns, (F.col("_r") + F.col("_o_n")).alias(out), F.col("total_n").alias("group_n"))
 
 
@@ -173,7 +173,7 @@ def shuffled_order(df: DataFrame, group: list[str], order_hash: str, tie: str, o
     b = df.withColumn("_bucket", F.shiftright(order_hash, 64 - bits) if bits else F.lit(0).cast("long"))
     off = _offsets(b, group, {"n": F.count(F.lit(1))}, "_bucket")
     w = Window.partitionBy(*group, "_bucket").orderBy(order_hash, tie)
-    ranked = _with_offsets(b.withColumn("_r", F.row_number().over(w)), off, [*group, "_bucket"])
+    ranked = join_groups(b.withColumn("_r", F.row_number().over(w)), off, [*group, "_bucket"])
     return ranked.select(*df.columns, (F.col("_r") + F.col("_o_n")).alias(out), F.col("total_n").alias("group_n"))
 
 
@@ -192,5 +192,5 @@ def min_rank(df: DataFrame, group: list[str], key: str, out="rank_no", splits: l
     b = b.withColumn("_salt", F.when(F.col("_bucket").isin(lone), salt).otherwise(0) if lone else F.lit(0))
     off = _offsets(b, group, {"n": F.count(F.lit(1))}, "_bucket")
     w = Window.partitionBy(*group, "_bucket", "_salt").orderBy(key)
-    ranked = _with_offsets(b.withColumn("_r", F.rank().over(w)), off, [*group, "_bucket"])
+    ranked = join_groups(b.withColumn("_r", F.rank().over(w)), off, [*group, "_bucket"])
     return ranked.select(*df.columns, (F.col("_r") + F.col("_o_n")).alias(out))
