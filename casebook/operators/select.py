@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from casebook.functions.exprs import assembled, col, sum_of
 from casebook.operators.gram import cluster_features, feature_gram
+from casebook.operators.firstorder import group_quantiles
 from casebook.operators.neighbors import nearest
 from casebook.operators.normalize import apply_l2, l2_norms
 from casebook.operators.prefix import numbered
@@ -110,11 +111,12 @@ def rfe_ranks(df: DataFrame, spec: MatrixSpec, keep: int, share=RFE_SHARE, c=1.0
 
 
 def quantile_bins(df: DataFrame, spec: MatrixSpec, bins=4) -> DataFrame:
-    """Replace every feature by its quantile bin 0 .. bins-1 (cut points are a few numbers per feature)."""
-    probs = [i / bins for i in range(1, bins)]
-    q = df.agg(*[F.percentile_approx(col(f).cast("double"), F.lit(probs), F.lit(10_000)).alias(f) for f in spec.features]).head()
-    cut = lambda f: sum_of([(col(f) > F.lit(v)).cast("int") for v in sorted(set(q[f]))])
-    return df.select(*spec.keys, *[cut(f).alias(f) for f in spec.features])
+    """Replace every feature by its exact quantile bin 0 .. bins-1 (cut points are a few numbers per feature)."""
+    long = spec.long(df).select("feature", "value").filter("value IS NOT NULL")
+    found = group_quantiles(long, ["feature"], "value", {f"q{i}": i / bins for i in range(1, bins)}).collect()
+    cuts = {r.feature: sorted({r[f"q{i}"] for i in range(1, bins)}) for r in found}
+    bin_no = {f: sum_of([F.lit(0), *[(col(f) > F.lit(v)).cast("int") for v in cuts.get(f, [])]]) for f in spec.features}
+    return df.select(*spec.keys, *[bin_no[f].alias(f) for f in spec.features])
 
 
 def mutual_information(df: DataFrame, spec: MatrixSpec) -> DataFrame:
@@ -124,21 +126,12 @@ def mutual_information(df: DataFrame, spec: MatrixSpec) -> DataFrame:
     pairs of one case are unfolded inside the map side and combined before the shuffle.
     """
     names = [*spec.features, spec.label]
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
     vals = df.select(F.array(*[col(c).cast("int") for c in names]).alias("v"))
     # Equal rows count once: discrete rows repeat a lot.
     rows = vals.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    lit_pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
-    cells = (
-        rows.select("v", "n", F.explode(lit_pairs).alias("p"))
-        .groupBy(
-            F.col("p.i").alias("i"),
-            F.col("p.j").alias("j"),
-            F.element_at("v", F.col("p.i") + 1).alias("x"),
-            F.element_at("v", F.col("p.j") + 1).alias("y"),
-        )
-        .agg(F.sum("n").cast("double").alias("n"))
-    )
+    firsts = rows.select("v", "n", F.posexplode("v").alias("i", "x")).filter(F.col("i") < len(names) - 1)
+    both = firsts.select("v", "n", "i", "x", F.explode(F.sequence(F.col("i") + 1, F.lit(len(names) - 1))).alias("j"))
+    cells = both.groupBy("i", "j", "x", F.element_at("v", F.col("j") + 1).alias("y")).agg(F.sum("n").cast("double").alias("n"))
     # sum p(x,y) log p(x,y)/(p(x)p(y)) = (S_xy - S_x - S_y) / N + log N with S = sum n log n
     px = cells.groupBy("i", "j", "x").agg(F.sum("n").alias("n")).groupBy("i", "j").agg(
         F.sum(F.col("n") * F.log("n")).alias("sx")

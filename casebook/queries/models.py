@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from casebook.functions.exprs import rounded
@@ -44,6 +46,28 @@ for _name, _key in (
     query(_key)(_fit_query(_name))
 
 
+_COVARIATES = ["disc_avg", "lines", "qty_avg", "tax_avg", "total"]
+
+
+@query(
+    "stationary_coefficients",
+    "SELECT model, feature, true AS stationary FROM (SELECT unnest(['LR', 'LRLasso']) AS model), "
+    f"(SELECT unnest({_COVARIATES}) AS feature)",
+)
+def stationary_coefficients(spark, sf):
+    """At a solver's end the mean loss has no slope left; under an absolute penalty no more than the penalty,
+    and all of it against the sign of a coefficient that is not zero."""
+    df, spec = _small(spark, sf)
+    n, rows = df.count(), []
+    for model, weight in ((models.logistic(df, spec, tol=1e-8), 0.0), (models.lasso_logistic(df, spec, tol=1e-9, max_iter=1000), 1.0 / n)):
+        error = F.col("pred") - F.col("label")
+        slopes = model.predict(df).agg(*[F.avg(error * F.col(f)).alias(f) for f in spec.features]).head()
+        for f, b in zip(spec.features, model.coef):
+            pull, slack = (0.0, weight) if b == 0 else (math.copysign(weight, b), 0.0)
+            rows.append({"model": model.name, "feature": f, "stationary": abs(slopes[f] + pull) <= slack + 1e-4})
+    return normalize.state_table(spark, rows)
+
+
 @query("linear_svm")
 def linear_svm(spark, sf):
     df, spec = _small(spark, sf)

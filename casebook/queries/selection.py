@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from casebook.functions.exprs import rounded
 from casebook.operators import cleaning, normalize, select
-from casebook.queries import query
+from casebook.queries import ORACLES, query
 from casebook.queries.sql import DIRTY, DM, EM, OM, OML, OS, r
 from casebook.queries.splits import _dist2
 from casebook.queries.tests_stat import RANKS
@@ -153,7 +153,11 @@ def select_all(spark, sf):
     return picked.project(df)
 
 
-@query("selector_chain")
+@query(
+    "selector_chain",
+    f"SELECT (row_number() OVER (ORDER BY abs(t) DESC, feature) - 1)::INT AS position, feature FROM ({ORACLES['t_test']}) "
+    f"SEMI JOIN ({ORACLES['kruskal_wallis_top_features']}) USING (feature) QUALIFY position < 4",
+)
 def selector_chain(spark, sf):
     df, spec = t.orders_matrix(spark, sf)
     picked = select.select_chain(df, spec, [("KW", 10), ("ANOVA", 4)])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casebook.functions.exprs import rounded
+from casebook.functions.exprs import over, rounded
 from casebook.operators import balance, searches, splitting
 from casebook.queries import query
 from casebook.queries.sql import DM, OM, OS, r
@@ -47,11 +47,19 @@ def survival_holdout(spark, sf):
     return splitting.stratified_holdout(df.select("case_id", "event"), spec, 0.2, seed=None)
 
 
-@query("candidate_holdouts")
+_SEEDS = 100
+
+
+@query(
+    "candidate_holdouts",
+    f"WITH {OM}, c AS (SELECT count(*) AS n, round_even(count(*) * 0.3::DOUBLE, 0)::BIGINT AS t FROM om GROUP BY label) "
+    f"SELECT seed::INT AS seed, 'test' AS side, sum(t)::BIGINT AS n FROM c, range({_SEEDS}) s(seed) GROUP BY 1 "
+    f"UNION ALL SELECT seed::INT, 'train', sum(n - t)::BIGINT FROM c, range({_SEEDS}) s(seed) GROUP BY 1",
+)
 def candidate_holdouts(spark, sf):
     """Sizes of several candidate holdouts drawn in one job."""
     df, spec = tables.orders_matrix(spark, sf)
-    sides = splitting.seeded_sides(df, spec, 0.3, list(range(5)))
+    sides = splitting.seeded_sides(df, spec, 0.3, list(range(_SEEDS)))
     return sides.groupBy("seed", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -92,7 +100,11 @@ def survival_folds(spark, sf):
     return splitting.survival_folds(df.select("case_id", "event"), spec, 5, seed=None)
 
 
-@query("survival_folds_random")
+@query(
+    "survival_folds_random",
+    f"WITH {OS}, c AS (SELECT count(*) FILTER (WHERE event = 0) AS a, count(*) AS n FROM os) "
+    "SELECT (i % 5 + 1)::INT AS fold, (i >= a)::INT AS event, count(*) AS n FROM (SELECT a, unnest(range(n)) AS i FROM c) GROUP BY 1, 2",
+)
 def survival_folds_random(spark, sf):
     df, spec = tables.orders_survival(spark, sf)
     f = splitting.survival_folds(df.select("case_id", "event"), spec, 5, seed=0)
@@ -131,6 +143,34 @@ def smote_counts(spark, sf):
     )
 
 
+@query(
+    "smote_on_segments",
+    f"WITH {DM}, c AS (SELECT count(*) AS n FROM dm GROUP BY label) "
+    "SELECT max(n) - min(n) AS made, max(n) - min(n) AS on_segment FROM c",
+)
+def smote_on_segments(spark, sf):
+    """Every made case lies between the two cases of the rare label that it names."""
+    df, spec = t.docs_matrix(spark, sf)
+    made = balance.smote(df, spec).filter("neighbor_id IS NOT NULL")
+    ends = df.select("case_id", F.array(*[F.col(f).cast("double") for f in spec.features]).alias("at"), F.col("label").alias("own"))
+    both = made.withColumn("x", F.array(*[F.col(f).cast("double") for f in spec.features])).select("x", "source_id", "neighbor_id", "label")
+    for end in ("source", "neighbor"):
+        both = both.join(ends.select(F.col("case_id").alias(f"{end}_id"), F.col("at").alias(end), F.col("own").alias(f"{end}_own")), f"{end}_id")
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+    step = F.zip_with("neighbor", "source", lambda a, b: a - b)
+    moved = F.zip_with("x", "source", lambda a, b: a - b)
+    share = F.coalesce(over(dot(moved, step), dot(step, step)), F.lit(0.0))
+    placed = both.withColumn("step", step).withColumn("moved", moved).withColumn("share", share)
+    off = F.zip_with("moved", "step", lambda m, s: m - s * F.col("share"))
+    scale = 1 + dot(F.col("source"), F.col("source"))
+    fine = (dot(off, off) <= 1e-12 * scale) & F.col("share").between(-1e-9, 1 + 1e-9)
+    fine = fine & (F.col("source_own") == F.col("label")) & (F.col("neighbor_own") == F.col("label"))
+    return placed.agg(F.count(F.lit(1)).alias("made"), F.count_if(fine).alias("on_segment"))
+
+
 @query("smote_rows")
 def smote_rows(spark, sf):
     df, spec = t.docs_matrix(spark, sf)
@@ -176,7 +216,11 @@ def bootstrap_weights(spark, sf):
     return long.groupBy("replicate").agg(F.avg("w").alias("mean"), F.var_pop("w").alias("variance"))
 
 
-@query("balanced_holdout")
+@query(
+    "balanced_holdout",
+    f"WITH {DM}, c AS (SELECT label, count(*) AS n, round_even(count(*) * 0.3::DOUBLE, 0)::BIGINT AS t FROM dm GROUP BY 1) "
+    "SELECT label, 'test' AS side, t AS n FROM c UNION ALL SELECT label, 'train', n - t FROM c",
+)
 def balanced_holdout(spark, sf):
     df, spec = t.docs_matrix(spark, sf)
     clinical = t.docs_clinical(spark, sf)
