@@ -186,15 +186,15 @@ def metric_rows(preds: DataFrame, group: list[str], cutoffs: DataFrame | None =
 
 
 def metric_texts(metrics: DataFrame, group: list[str]) -> DataFrame:
-    """Metric row as text, four decimals and the interval in brackets."""
+    """Metric row as text, four decimals (exact ties to the even digit) and the interval in brackets."""
     four = [m for m in METRICS if m not in ("number", "pos", "neg", "ci_low", "ci_high")]
     return metrics.select(
         *group,
         "number",
         "pos",
         "neg",
-        *[F.format_string("%.4f", m).alias(m) for m in four],
-        F.format_string("[%.4f-%.4f]", "ci_low", "ci_high").alias("ci"),
+        *[F.format_string("%.4f", F.bround(m, 4)).alias(m) for m in four],
+        F.format_string("[%.4f-%.4f]", F.bround("ci_low", 4), F.bround("ci_high", 4)).alias("ci"),
     )
 
 
