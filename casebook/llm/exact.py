@@ -66,14 +66,17 @@ def exact_groups(docs: DataFrame, identifier: Callable[[Column, int], Column] =
         texts.select("doc_id", "size", recipe.alias("recipe"), F.sha2("clean", 256).alias("text_sha256")), "recipes"
     )
     best = F.min(F.struct((-F.col("size")).alias("size"), "doc_id"))
-    groups = recipes.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size"))
-    joined = recipes.alias("r").join(groups.alias("g"), F.col("r.recipe") == F.col("g.recipe"))
-    kept = F.col("r.doc_id").eqNullSafe(F.col("g.best.doc_id")) & (F.col("r.size") == -F.col("g.best.size"))
+    groups = recipes.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size")).filter("group_size > 1")
+    # Written, so that the join has an exchange of its own on either side and a large group's rows can be split.
+    groups = written(groups.select("recipe", "best", "group_size"), "copies")
+    joined = recipes.alias("r").join(groups.alias("g"), F.col("r.recipe") == F.col("g.recipe"), "left")
+    own, copied = F.col("r.doc_id"), F.col("g.group_size").isNotNull()
+    first = own.eqNullSafe(F.col("g.best.doc_id")) & (F.col("r.size") == -F.col("g.best.size"))
     return joined.select(
-        F.col("r.doc_id").alias("doc_id"),
-        F.col("g.best.doc_id").alias("keep_id"),
-        F.col("g.group_size").alias("group_size"),
-        kept.alias("kept"),
+        own.alias("doc_id"),
+        F.when(copied, F.col("g.best.doc_id")).otherwise(own).alias("keep_id"),
+        F.coalesce("g.group_size", F.lit(1).cast("long")).alias("group_size"),
+        F.when(copied, first).otherwise(F.lit(True)).alias("kept"),
         F.col("r.text_sha256").alias("text_sha256"),
     )
 
