@@ -5,7 +5,7 @@ A store is a folder in a file system that all machines share:
 ``payload/shard-<no>-<attempt>.bin``  ids only, little-endian, two bytes each if the vocabulary
 allows it, else four; documents in ascending ``doc_id`` order without gaps;
 ``entries``  Parquet, a row a stored document: shard, file, first id in the shard, number of ids;
-``index``    Parquet, a row a bucket of keys: a dumped ``KeyIndex`` from ``doc_id`` to
+``index``    Parquet, a row a bucket of keys: its number, the number of buckets, and a dumped ``KeyIndex`` from ``doc_id`` to
 (shard, first id, number of ids, stored rows).
 
 Payload files are named after the task attempt; only those that a committed row of ``entries``
@@ -33,7 +33,8 @@ from casebook.llm.wordcodec import encoder, load
 KEYS_A_BUCKET = 50_000
 SHARDS_A_BLOCK = 1024
 ENTRY = "doc_id long, shard int, file string, first long, n_tokens long"
-FOUND = "doc_id long, shard int, file string, first long, n_tokens long, stored_rows long"
+INDEX = "bucket long, buckets long, data binary"
+FOUND = "doc_id long, shard int, first long, n_tokens long, stored_rows long"
 
 
 def opened(uri: str, write: bool = False):
@@ -61,7 +62,7 @@ class TokenStore:
         return self.spark.read.schema(ENTRY).parquet(f"{self.path}/entries")
 
     def index(self) -> DataFrame:
-        return self.spark.read.schema("bucket long, data binary").parquet(f"{self.path}/index")
+        return self.spark.read.schema(INDEX).parquet(f"{self.path}/index")
 
     def shards(self) -> DataFrame:
         """A row a shard: its file and ``before``, the ids of all shards before it.
@@ -133,17 +134,15 @@ def _write_index(store: TokenStore) -> None:
 
     def built(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         values = frame[["shard", "first", "n_tokens", "stored_rows"]].to_numpy(np.int64)
-        return pd.DataFrame({"bucket": [key[0]], "data": [KeyIndex.build(frame["doc_id"].to_numpy(np.int64), values).dump()]})
+        return pd.DataFrame({"bucket": [key[0]], "buckets": [buckets], "data": [KeyIndex.build(frame["doc_id"].to_numpy(np.int64), values).dump()]})
 
     flat = keys.select(_bucket(buckets).alias("bucket"), "doc_id", "place.shard", "place.first", "place.n_tokens", "stored_rows")
-    flat.groupBy("bucket").applyInPandas(built, "bucket long, data binary").write.parquet(f"{store.path}/index")
+    flat.groupBy("bucket").applyInPandas(built, INDEX).write.parquet(f"{store.path}/index")
 
 
 def look_up(store: TokenStore, keys: DataFrame) -> DataFrame:
     """Places of the distinct keys ``doc_id``: shard, file, first id, ids and stored rows; unknown keys give no row."""
-    buckets = max(1, store.index().count())
-    most = store.index().agg(F.max("bucket")).first()[0]
-    buckets = max(buckets, (most or 0) + 1)
+    buckets = store.index().agg(F.max("buckets")).first()[0] or 1  # an index of no keys has no row
 
     def found(key: tuple[Any, ...], wanted: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         if not len(index):
@@ -157,7 +156,7 @@ def look_up(store: TokenStore, keys: DataFrame) -> DataFrame:
     wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
     wanted = wanted.select(_bucket(buckets).alias("bucket"), "doc_id")
     return wanted.groupBy("bucket").cogroup(store.index().groupBy("bucket")).applyInPandas(
-        found, "doc_id long, shard int, first long, n_tokens long, stored_rows long"
+        found, FOUND
     )
 
 

@@ -67,6 +67,15 @@ def test_uncommitted_payload_is_ignored(spark):
     assert rows.count() == len(corpus.texts())
 
 
+def test_few_keys_in_many_buckets(spark, monkeypatch):
+    """One document in many rows: most buckets have no key."""
+    monkeypatch.setattr(tokenstore, "KEYS_A_BUCKET", 2)
+    docs = spark.createDataFrame([(5 if i % 3 else i, f"text {i % 4}") for i in range(60)], "doc_id long, text string")
+    store = tokenstore.write_store(docs, corpus.vocabulary(BYTE), end_id=2)
+    rows = tokenstore.read_rows(store, tokenstore.stored_rows(store, docs)).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in docs.collect())
+
+
 def test_store_of_nothing(spark):
     docs = corpus.empty(spark)
     store = tokenstore.write_store(docs, corpus.vocabulary(BYTE), end_id=2)
