@@ -43,7 +43,7 @@ def byte_characters() -> list[str]:
 class BytePairs:
     """Merge tables of a tokenizer file: vocabulary, sorted pair keys, and rank and product of each pair."""
 
-    def __init__(self, tokenizer_json: str, most: int = 500_000):
+    def __init__(self, tokenizer_json: str, most: int = 250_000):
         spec = json.loads(tokenizer_json)
         model = spec["model"]
         vocabulary: dict[str, int] = model["vocab"]

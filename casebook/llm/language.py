@@ -7,6 +7,7 @@ n-grams are ranked the same way, and the language with the smallest sum of rank
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ UNDETERMINED = "und"
 def grams(word: str) -> list[str]:
     """n-grams of a word between two marks of its ends."""
     padded = f"_{word}_"
-    return [padded[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(padded) - n + 1) if padded[i : i + n] != "_"]
+    return [*word, *(padded[i : i + n] for n in range(2, LONGEST + 1) for i in range(len(padded) - n + 1))]
 
 
 def profiles(docs: DataFrame, size: int = PROFILE) -> pd.DataFrame:
@@ -65,22 +66,25 @@ def profiles(docs: DataFrame, size: int = PROFILE) -> pd.DataFrame:
 class Identifier:
     """Compares texts with profiles. Only n-grams of a profile are ranked: all others count alike for every language."""
 
-    def __init__(self, table: pd.DataFrame, size: int = PROFILE, most: int = 400_000):
+    def __init__(self, table: pd.DataFrame, size: int = PROFILE, most: int = 300_000):
         self.size, self.most = size, most
         self.langs = sorted(table["lang"].unique())
         self.place = {g: i for i, g in enumerate(sorted(table["gram"].unique()))}
         self.ranks = np.full((len(self.langs), len(self.place)), -1, np.int64)
         at = [self.langs.index(x) for x in table["lang"]], [self.place[g] for g in table["gram"]]
         self.ranks[at] = table["rank"].to_numpy()
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # places of a word's n-grams, four bytes each
 
-    def _places(self, word: str) -> np.ndarray:
-        found = self.known.get(word)
-        if found is None:
-            found = np.array([self.place[g] for g in grams(word) if g in self.place], np.int64)
-            if len(self.known) >= self.most:
+    def _places(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, words))
+        if None in found:
+            if len(self.known) + len(words) > self.most:
                 self.known = {}
-            self.known[word] = found
+            place = self.place.get
+            for i, word in enumerate(words):
+                if found[i] is None:
+                    own = [p for p in map(place, grams(word)) if p is not None]
+                    found[i] = self.known[word] = array("i", own).tobytes()
         return found
 
     def __call__(self, text: str) -> tuple[str, float]:
@@ -88,9 +92,10 @@ class Identifier:
         words = Counter(LETTERS.findall(text.lower()))
         if not words or not self.langs:
             return UNDETERMINED, 0.0
-        places = [self._places(w) for w in words]
-        each = np.repeat(np.fromiter(words.values(), np.float64, len(words)), [len(p) for p in places])
-        counts = np.bincount(np.concatenate(places), weights=each, minlength=len(self.place))
+        places = self._places(list(words))
+        sizes = np.fromiter(map(len, places), np.int64, len(places)) // 4
+        each = np.repeat(np.fromiter(words.values(), np.float64, len(words)), sizes)
+        counts = np.bincount(np.frombuffer(b"".join(places), np.int32), weights=each, minlength=len(self.place))
         top = np.argsort(-counts, kind="stable")[: self.size]
         top = top[counts[top] > 0]
         own = self.ranks[:, top]

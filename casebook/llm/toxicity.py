@@ -80,7 +80,7 @@ class Machine:
 class Scorer:
     """Scores texts; what a word stands for is remembered, up to ``most`` words."""
 
-    def __init__(self, machine: Machine, most: int = 400_000):
+    def __init__(self, machine: Machine, most: int = 150_000):
         self.machine, self.most = machine, most
         self.place = {int(b): i for i, b in enumerate(machine.buckets)}
         self.known: dict[str, tuple[int, ...]] = {}

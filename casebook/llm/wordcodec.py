@@ -40,7 +40,7 @@ def load(tokenizer_json: str) -> Tokenizer:
 class RunEncoder:
     """Token ids of whole texts; ``most`` bounds the runs remembered between texts."""
 
-    def __init__(self, tokenizer_json: str, most: int = 600_000):
+    def __init__(self, tokenizer_json: str, most: int = 400_000):
         self.tokenizer = load(tokenizer_json)
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}  # ids of a run, four bytes each
