@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from casebook.llm.common import held_out, in_slices, record, whole_text
 
 TOXIC_ROWS, CLEAN_ROWS = 3_000, 6_000  # labelled rows that the model is fitted on, at most
-TERMS = 1_024  # hashed terms in the model, at most
+TERMS = 4_096  # hashed terms in the model, at most: those with most evidence
 BUCKETS = 1 << 20
 BEGINNINGS = (4, 5, 6)
-LEAST_Z = 4.0  # how surely a term must tell the classes apart
-LEAST_SHARE = 0.02  # of the rows of the class that it speaks for, and 2 rows
+#: Evidence (see ``evidence``) that a term, or two terms that stand together, say more than the model knows.
+ALONE, TOGETHER = 10.0, 20.0
+PASSES = 4  # of choosing terms, at most
 THRESHOLD = 0.7
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -98,11 +99,99 @@ class Scorer:
         return self.machine.score(self.places(text))
 
 
+def evidence(rows: np.ndarray, toxic: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Chernoff bound, as -log of a chance, on ``toxic`` of ``rows`` rows being toxic where ``expected`` were."""
+    n = np.maximum(rows, 1)
+    seen, p = np.clip(toxic / n, 0, 1), np.clip(expected / n, 1e-6, 1 - 1e-6)
+    return rows * (seen * np.log(np.maximum(seen, 1e-12) / p) + (1 - seen) * np.log(np.maximum(1 - seen, 1e-12) / (1 - p)))
+
+
+class Sample:
+    """Labelled rows by term: what each term, and each two terms, tell beyond a model's expectation."""
+
+    def __init__(self, buckets: np.ndarray, rows: list[np.ndarray], toxic: np.ndarray):
+        self.buckets, self.rows, self.toxic = buckets, rows, toxic.astype(np.float32)
+        places = np.concatenate(rows)
+        self.counts = np.bincount(places, minlength=len(buckets))
+        self.ends = np.concatenate(([0], np.cumsum(self.counts)))
+        self.own = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[np.argsort(places, kind="stable")]
+
+    def by_term(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values.astype(np.float64)[self.own], self.ends[:-1])
+
+    def rows_of(self, term: int) -> np.ndarray:
+        return self.own[self.ends[term] : self.ends[term + 1]]
+
+    def alone(self, expected: np.ndarray) -> np.ndarray:
+        return evidence(self.counts, self.by_term(self.toxic), self.by_term(expected))
+
+    def together(self, expected: np.ndarray, block: int = 1_024) -> np.ndarray:
+        """The most evidence of each term's pairs, where that is ``TOGETHER`` or more, else 0.
+
+        No set of a term's rows holds more evidence than its toxic rows, or its clean ones, alone, so a term
+        below that bound is in no such pair. Terms of the same rows are compared once.
+        """
+        bound = np.maximum(self.by_term(-self.toxic * np.log(expected)), self.by_term((self.toxic - 1) * np.log(1 - expected)))
+        distinct = {self.rows_of(j).tobytes(): j for j in np.flatnonzero(bound >= TOGETHER)[::-1]}
+        able, most = np.array(sorted(distinct.values()), np.int64), np.zeros(len(self.counts))
+        weights = [w[:, None].astype(np.float32) for w in (np.ones(len(expected)), self.toxic, expected)]
+
+        def dense(terms: np.ndarray) -> np.ndarray:
+            x = np.zeros((len(self.rows), len(terms)), np.float32)
+            for i, term in enumerate(terms):
+                x[self.rows_of(term), i] = 1
+            return x
+
+        for i in range(0, len(able), block):
+            left = able[i : i + block]
+            x = dense(left)
+            for k in range(i, len(able), block):
+                right = able[k : k + block]
+                other = dense(right)
+                found = evidence(*(x.T @ (other * w) for w in weights))
+                found[left[:, None] == right[None, :]] = 0
+                most[left], most[right] = np.maximum(most[left], found.max(axis=1)), np.maximum(most[right], found.max(axis=0))
+        return np.where(most >= TOGETHER, most, 0)
+
+    def fitted(self, chosen: np.ndarray) -> tuple[Machine, np.ndarray]:
+        """A machine of the chosen terms, and what it expects of every row."""
+        place = np.full(len(self.buckets), -1)
+        place[chosen] = np.arange(len(chosen))
+        rows = [place[r][place[r] >= 0] for r in self.rows]
+        machine = Machine.fit(self.buckets[chosen], rows, self.toxic)
+        score = np.clip([machine.score(r) for r in rows], 1e-6, 1 - 1e-6)
+        odds = score / (1 - score) * (self.toxic.sum() / (1 - self.toxic).sum()) ** 0.5  # without the weight of the rarer class
+        return machine, np.clip(odds / (1 + odds), 1e-4, 1 - 1e-4)
+
+
+def chosen_machine(sample: Sample, terms: int = TERMS) -> Machine:
+    """Fit, and take up all terms that alone or in pairs tell what the fit does not, until there are none.
+
+    A term needs no effect of its own: its pairs are tried next to what the model knows. How often it must
+    be there follows from how much its rows surprise the model.
+    """
+    expected = np.full(len(sample.rows), sample.toxic.mean(), np.float64)
+    strength = np.zeros(len(sample.counts))
+    machine = None
+    for step in range(PASSES):
+        alone = sample.alone(expected)
+        found = np.where(alone >= ALONE, alone, 0)
+        if machine is not None:  # pairs next to a fit of the terms that tell something alone
+            found = np.maximum(found, sample.together(expected))
+        if machine is not None and not ((found > 0) & (strength == 0)).any():
+            break
+        strength = np.where(strength > 0, strength, found)
+        chosen = np.sort(np.argsort(-strength, kind="stable")[: min(terms, (strength > 0).sum())])
+        machine, expected = sample.fitted(chosen)
+    return machine
+
+
 def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, terms: int = TERMS) -> Machine:
     """Fit on at most ``toxic_rows`` and ``clean_rows`` labelled documents that are not held out, picked by hash.
 
     A document with several labels is toxic if one of them says so; null labels and ids are ignored. If
     a class is missing, every score is the share of the other: 0 without toxic rows, 1 without clean ones.
+    A term of a single row, or of all rows, tells nothing that the row or the bias does not.
     """
     own = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out())
     own = own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -124,19 +213,23 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
         bad, good = sizes.get(1, 0), sizes.get(0, 0)
         if not (bad and good):
             return Machine(np.zeros(0, np.int64), 30.0 if bad else -30.0, np.zeros(0), np.zeros((0, 1)))
-        counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
-        share = F.col("n") / (bad + good)
-        z = (F.col("a") / bad - (F.col("n") - F.col("a")) / good) / F.sqrt(share * (1 - share) * (1 / bad + 1 / good))
-        often = F.when(z > 0, F.col("a") >= max(2, LEAST_SHARE * bad)).otherwise(F.col("n") - F.col("a") >= max(2, LEAST_SHARE * good))
-        chosen = counts.filter(share < 1).filter(often).withColumn("z", F.abs(z)).filter(F.col("z") >= LEAST_Z)
-        chosen = chosen.orderBy(F.desc("z"), "term").limit(terms)
-        buckets = np.sort(np.array([r["term"] for r in chosen.collect()], np.int64))
-        known = F.array(*[F.lit(int(b)) for b in buckets]).cast("array<int>")
-        small = rows.select("toxic", F.array_intersect("terms", known).alias("terms")).toArrow()
+        counts = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+        buckets = np.sort(counts.filter(F.col("n").between(2, bad + good - 1)).select("term").toArrow().column("term").to_numpy())
+        shared = np.full(BUCKETS, -1, np.int32)
+        shared[buckets] = np.arange(len(buckets))
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                found = [shared[np.array(t, np.int64)] for t in part.column("terms").to_pylist()]
+                yield record(schema, part.column("toxic"), [t[t >= 0] for t in found])
+
+        small = rows.mapInArrow(placed, "toxic int, terms array<int>").toArrow()
     finally:
         rows.unpersist()
-    places = [np.searchsorted(buckets, np.array(t, np.int64)) for t in small.column("terms").to_pylist()]
-    return Machine.fit(buckets, places, np.array(small.column("toxic").to_pylist(), np.int64))
+    toxic, places = small.column("toxic").to_numpy(), [t.values.to_numpy() for t in small.column("terms")]
+    if not len(buckets):
+        return Machine.fit(buckets, places, toxic)
+    return chosen_machine(Sample(buckets, places, toxic), terms)
 
 
 def scored(machine: Machine, spark, text: Column) -> Column:

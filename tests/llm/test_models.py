@@ -77,6 +77,42 @@ def test_machine_learns_a_pair_that_no_weight_shows():
     assert [machine.score(r) >= 0.7 for r in rows[:4]] == [True, True, False, False]
 
 
+def learned(spark, texts, rows=1500):
+    """Scores of unlabelled texts after learning from those that ``texts(i)`` gives with their labels."""
+    made = [(i, *texts(i)) for i in range(rows)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in made], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in made], "doc_id long, toxic int")
+    scorer = toxicity.Scorer(toxicity.learn(docs, labels))
+    return [(y, scorer(t)) for _, t, y in ((i, *texts(i)) for i in range(rows, rows + 400))]
+
+
+def filler(i, words=40):
+    rng = np.random.default_rng(i)
+    return " ".join("".join(chr(97 + c) for c in np.random.default_rng(w).integers(0, 26, 7)) for w in (800 * rng.random(words) ** 2).astype(int))
+
+
+def test_pair_of_neutral_terms_is_learned_from_documents(spark):
+    """Two terms, each as frequent in both classes: toxic only with both or with neither."""
+
+    def texts(i):
+        first, second = i % 2, i // 2 % 2
+        return f"{filler(i)} {'gruppe' * first} {'hassen' * second}", int(first == second)
+
+    scores = learned(spark, texts)
+    assert np.mean([(s >= 0.7) == bool(y) for y, s in scores]) >= 0.97
+
+
+def test_rare_insults_are_learned_from_documents(spark):
+    """Each of 80 insults is in about 1.2% of the toxic documents."""
+
+    def texts(i):
+        toxic = int(i % 2 == 0)
+        return f"{filler(i)} {'zq' + chr(97 + i // 2 % 8) + chr(97 + i // 16 % 10) + 'x' if toxic else ''}", toxic
+
+    scores = learned(spark, texts, rows=3000)
+    assert np.mean([s >= 0.7 for y, s in scores if y]) >= 0.9 and np.mean([s >= 0.7 for y, s in scores if not y]) <= 0.05
+
+
 def test_toxicity_on_held_out_documents(spark):
     rows = QUERIES["op7_toxicity"](spark, ROOT).join(table(spark, ROOT, "labels"), "doc_id").filter("held_out").collect()
     toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
