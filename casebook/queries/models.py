@@ -16,10 +16,10 @@ from casebook.sources import kept_tables as t
 from casebook.streaming import scoring
 
 
-def _small(spark, sf):
-    """Standardised orders matrix with a handful of features."""
+def _standardised(spark, sf, features=None):
+    """Standardised orders matrix, with all features if none are named."""
     df, spec = t.orders_matrix(spark, sf)
-    spec = spec.only(["disc_avg", "lines", "qty_avg", "tax_avg", "total"])
+    spec = spec.only(features) if features else spec
     return normalize.apply_normalizer(spec.project(df), spec, normalize.fit_normalizer(df, spec, "Zscore")), spec
 
 
@@ -31,7 +31,7 @@ def _quality(model, df):
 
 def _fit_query(name):
     def run(spark, sf):
-        df, spec = _small(spark, sf)
+        df, spec = _standardised(spark, sf)
         return _quality(models.CLASSIFIERS[name](df, spec), df)
 
     return run
@@ -57,7 +57,7 @@ _COVARIATES = ["disc_avg", "lines", "qty_avg", "tax_avg", "total"]
 def stationary_coefficients(spark, sf):
     """At a solver's end the mean loss has no slope left; under an absolute penalty no more than the penalty,
     and all of it against the sign of a coefficient that is not zero."""
-    df, spec = _small(spark, sf)
+    df, spec = _standardised(spark, sf, _COVARIATES)
     n, rows = df.count(), []
     for model, weight in ((models.logistic(df, spec, tol=1e-8), 0.0), (models.lasso_logistic(df, spec, tol=1e-9, max_iter=1000), 1.0 / n)):
         error = F.col("pred") - F.col("label")
@@ -70,19 +70,19 @@ def stationary_coefficients(spark, sf):
 
 @query("linear_svm")
 def linear_svm(spark, sf):
-    df, spec = _small(spark, sf)
+    df, spec = _standardised(spark, sf)
     return _quality(models.linear_svm(df, spec), df)
 
 
 @query("ada_boost")
 def ada_boost(spark, sf):
-    df, spec = _small(spark, sf)
+    df, spec = _standardised(spark, sf)
     return _quality(models.ada_boost(df, spec), df)
 
 
 @query("perceptron")
 def perceptron(spark, sf):
-    df, spec = _small(spark, sf)
+    df, spec = _standardised(spark, sf)
     return _quality(models.perceptron(df, spec), df)
 
 
@@ -121,7 +121,7 @@ def model_coefficients(spark, sf):
 
 @query("discriminant_shrunk")
 def discriminant_shrunk(spark, sf):
-    df, spec = _small(spark, sf)
+    df, spec = _standardised(spark, sf)
     return _quality(models.discriminant(df, spec, shrinkage="auto"), df)
 
 
@@ -175,13 +175,13 @@ def linear_contributions(spark, sf):
 
 @query("cross_validated_scores")
 def cross_validated_scores(spark, sf):
-    df, spec = _small(spark, sf)
+    df, spec = _standardised(spark, sf)
     return models.cross_predict(df, spec, models.discriminant, folds=5)
 
 
 @query("grid_search")
 def grid_search(spark, sf):
-    df, spec = _small(spark, sf)
+    df, spec = _standardised(spark, sf)
     _, rows = models.grid_search(df, spec, "LDA")
     return normalize.state_table(spark, rows)
 
@@ -190,7 +190,7 @@ def grid_search(spark, sf):
 def grid_search_spark_estimator(spark, sf):
     from pyspark.ml.classification import LogisticRegression
 
-    df, spec = _small(spark, sf)
+    df, spec = _standardised(spark, sf)
     est = LogisticRegression(featuresCol="_v", labelCol="y", maxIter=20)
     cv = models.spark_grid_search(df, spec, est, [{"regParam": [0.0, 0.1]}])
     return normalize.state_table(spark, [{"option": i, "accuracy": float(a)} for i, a in enumerate(cv.avgMetrics)])
@@ -200,16 +200,7 @@ def explored(spark, sf):
     df, spec = t.docs_matrix(spark, sf)
     ids = F.pmod(F.xxhash64("case_id"), F.lit(10))
     df = spec.project(df)
-    choices = exploration.Choices(
-        balance="UpSampling",
-        normalizers=("MinMax", "Zscore"),
-        reducers=("PCC",),
-        selectors=("ANOVA", "KW"),
-        numbers=(2, 4),
-        classifiers=("LDA", "NB"),
-        folds=3,
-    )
-    return exploration.explore(df.filter(ids >= 3), spec, choices, test=df.filter(ids < 3))
+    return exploration.explore(df.filter(ids >= 3), spec, exploration.Choices(), test=df.filter(ids < 3))
 
 
 @query("exploration_metrics")
