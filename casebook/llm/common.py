@@ -42,6 +42,27 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def row_key() -> Column:
+    """A row's id and the hash of its whole text, white space included; null counts as empty."""
+    return F.struct(F.col("doc_id").cast("long").alias("id"), F.unhex(F.sha2(whole_text(), 256)).alias("sha"))
+
+
+def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``grouped`` (key, kept) drops; of the rows of a kept key one stays.
+
+    ``grouped`` has a row for each row of ``docs`` that is not alone in its group.
+    """
+    keys = grouped.groupBy("key").agg(F.count("*").alias("n"), F.first("kept").alias("kept")).filter("NOT kept OR n > 1")
+    keys = written(keys.select("key", "kept"), "decided")
+    own = docs.withColumn("__own", row_key())
+    left = own.join(keys, F.col("__own").eqNullSafe(F.col("key")), "left_anti")
+    repeated = keys.filter("kept")
+    if not repeated.isEmpty():
+        again = own.join(repeated, F.col("__own").eqNullSafe(F.col("key")), "left_semi")
+        left = left.union(again.dropDuplicates(["__own"]))
+    return left.drop("__own")
+
+
 def in_slices(batches: Iterable[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Rows with the texts of their column ``text``, in runs of about ``chars`` characters; a longer text is a run alone."""
     for batch in batches:

@@ -13,7 +13,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import whole_text, written
+from casebook.llm.common import one_of_each, row_key, whole_text, written
 
 WHITE = r"[\x20\x09-\x0D]+"
 SHORTEST, LONGEST = 512, 8192
@@ -56,36 +56,42 @@ def exact_groups(docs: DataFrame, identifier: Callable[[Column, int], Column] =
     empty, and all empty texts are one group. The row with the most code points in its original text
     stays, of those the one with the smallest ``doc_id``; a null ``doc_id`` is smaller than any other.
     Rows that share ``doc_id``, length and clean text count as one document: they are kept or dropped
-    together. An empty table gives no row. Other columns are ignored, whatever their names.
+    together (``without_copies`` keeps one of them). An empty table gives no row. Other columns are
+    ignored, whatever their names.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("whole"))
-    texts = texts.select("doc_id", F.length("whole").alias("size"), without_white(F.col("whole")).alias("clean"))
+    return _judged(docs, F.struct(F.col("doc_id").cast("long").alias("id")), identifier).drop("key")
+
+
+def _judged(docs: DataFrame, key: Column, identifier: Callable[[Column, int], Column] = chunk_id) -> DataFrame:
+    """``exact_groups`` with the rows' ``key``, a struct, whose order decides between equal lengths and ids."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("whole"), key.alias("key"))
+    texts = texts.select("doc_id", F.length("whole").alias("size"), without_white(F.col("whole")).alias("clean"), "key")
     draw = verified_draw(texts, identifier)
     recipe = F.transform(chunks(F.col("clean")), lambda c: identifier(c, draw))
     recipes = written(
-        texts.select("doc_id", "size", recipe.alias("recipe"), F.sha2("clean", 256).alias("text_sha256")), "recipes"
+        texts.select("doc_id", "size", "key", recipe.alias("recipe"), F.sha2("clean", 256).alias("text_sha256")), "recipes"
     )
-    best = F.min(F.struct((-F.col("size")).alias("size"), "doc_id"))
+    best = F.min(F.struct((-F.col("size")).alias("size"), "doc_id", "key"))
     groups = recipes.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size")).filter("group_size > 1")
     # Written, so that the join has an exchange of its own on either side and a large group's rows can be split.
     groups = written(groups.select("recipe", "best", "group_size"), "copies")
     joined = recipes.alias("r").join(groups.alias("g"), F.col("r.recipe") == F.col("g.recipe"), "left")
     own, copied = F.col("r.doc_id"), F.col("g.group_size").isNotNull()
-    first = own.eqNullSafe(F.col("g.best.doc_id")) & (F.col("r.size") == -F.col("g.best.size"))
+    first = own.eqNullSafe(F.col("g.best.doc_id")) & (F.col("r.size") == -F.col("g.best.size")) & F.col("r.key").eqNullSafe(F.col("g.best.key"))
     return joined.select(
         own.alias("doc_id"),
         F.when(copied, F.col("g.best.doc_id")).otherwise(own).alias("keep_id"),
         F.coalesce("g.group_size", F.lit(1).cast("long")).alias("group_size"),
         F.when(copied, first).otherwise(F.lit(True)).alias("kept"),
         F.col("r.text_sha256").alias("text_sha256"),
+        F.col("r.key").alias("key"),
     )
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """One row of each group of equal texts, with all its columns.
 
-    Dropped rows are looked up by ``doc_id`` and clean text's hash, so a side of any size works.
+    The row that ``exact_groups`` keeps; of several, one whose whole text hashes lowest, ids missing
+    or repeated as they may be. A side of any size works.
     """
-    own = docs.select("*", F.struct(F.col("doc_id").alias("id"), F.sha2(without_white(whole_text()), 256).alias("sha")).alias("__own"))
-    gone = exact_groups(docs).filter("NOT kept").select(F.struct(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).alias("__gone"))
-    return own.join(gone, F.col("__own").eqNullSafe(F.col("__gone")), "left_anti").drop("__own")
+    return one_of_each(docs, _judged(docs, row_key()).filter("group_size > 1").select("key", "kept"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import in_slices, record, whole_text, written
+from casebook.llm.common import in_slices, one_of_each, record, row_key, whole_text, written
 from casebook.llm.components import components
 
 SHINGLE = 4
@@ -46,17 +46,17 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and ``bits``, the fingerprint as a signed 64-bit integer, of every row's whole text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("bits", pa.int64())])
+def fingerprints(docs: DataFrame, sha: Column) -> DataFrame:
+    """doc_id, ``sha`` and ``bits``, the fingerprint as a signed 64-bit integer, of every row's whole text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("bits", pa.int64())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in in_slices(batches):
             own = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield record(schema, rows.column("doc_id"), own)
+            yield record(schema, rows.column("doc_id"), rows.column("sha"), own)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(hashed, "doc_id long, bits long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha.alias("sha"), whole_text().alias("text"))
+    return rows.mapInArrow(hashed, "doc_id long, sha binary, bits long")
 
 
 def index_keys(bits: Column) -> Column:
@@ -140,23 +140,31 @@ def near_groups(docs: DataFrame, crowd: int = CROWD, block: int = BLOCK) -> Data
     them are null. Repeated rows get a row each. An empty table gives no row. Other columns are
     ignored, whatever their names.
     """
-    own = written(fingerprints(docs), "fingerprints")
-    distinct = own.groupBy("bits").agg(F.min("doc_id").alias("first"))
+    digits = F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint")
+    members = _members(docs, F.lit(None).cast("binary"), crowd, block)
+    return members.select("doc_id", digits, F.col("least.doc_id").alias("component_id"))
+
+
+def _members(docs: DataFrame, sha: Column, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+    """Every row's doc_id, sha and bits with the first (id, sha) of its component, null ids last, and its rows."""
+    own = written(fingerprints(docs, sha), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")
+    distinct = own.groupBy("bits").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     roots = components(links(distinct.select("bits"), crowd, block)).select(F.col("node").alias("bits"), "root")
     classes = written(
-        distinct.join(roots, "bits", "left").select("bits", "first", F.coalesce("root", "bits").alias("root")), "classes"
+        distinct.join(roots, "bits", "left").select("bits", "first", "n", F.coalesce("root", "bits").alias("root")), "classes"
     )
-    smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    members = classes.join(smallest, "root").select("bits", "component_id")
-    digits = F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint")
-    return own.join(members, "bits").select("doc_id", digits, "component_id")
+    smallest = classes.groupBy("root").agg(F.min("first").alias("least"), F.sum("n").alias("rows"))
+    return own.join(classes.join(smallest, "root").select("bits", "least", "rows"), "bits")
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one ``doc_id`` a component, with all their columns.
+    """One row of each component, with all its columns.
 
-    The smallest ``doc_id`` stays; rows without one stay too, as nothing can be said of their identity.
+    A row of the smallest ``doc_id`` stays, or one without ``doc_id`` if none has one; of several, one
+    whose whole text hashes lowest.
     """
-    gone = near_groups(docs).filter("doc_id != component_id").select(F.struct("doc_id").alias("__gone"))
-    own = docs.withColumn("__own", F.struct(F.col("doc_id").cast("long").alias("doc_id")))
-    return own.join(gone, F.col("__own") == F.col("__gone"), "left_anti").drop("__own")
+    rows = _members(docs, row_key()["sha"]).filter("rows > 1")
+    key = F.struct(F.col("doc_id").alias("id"), "sha").alias("key")
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("sha") == F.col("least.sha"))
+    return one_of_each(docs, rows.select(key, kept.alias("kept")))

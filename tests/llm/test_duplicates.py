@@ -141,6 +141,27 @@ def test_one_of_each_near_group_stays(spark):
     assert simhash.without_near_copies(corpus.empty(spark)).count() == 0
 
 
+def keyed(spark, rows):
+    return spark.createDataFrame([(i, t, str(n)) for n, (i, t) in enumerate(rows)], "doc_id long, text string, __n string")
+
+
+def test_one_row_of_each_exact_group_stays_without_or_with_shared_ids(spark):
+    rows = [(None, "a b c"), (None, "abc"), (None, "a bc"), (None, None), (None, ""), (1, "x y"), (1, "x y"), (1, "x  y"), (1, "other"), (2, "xy"), (3, "k l"), (3, "kl ")]
+    left = exact.without_copies(keyed(spark, rows)).collect()
+    assert sorted((r.text or "").replace(" ", "") for r in left) == ["", "abc", "kl", "other", "xy"]
+    assert all(rows[int(r["__n"])] == (r.doc_id, r.text) for r in left)
+    assert [(r.doc_id, r.text) for r in left if r.text and "y" in r.text] == [(1, "x  y")]
+
+
+def test_one_row_of_each_near_group_stays_without_or_with_shared_ids(spark):
+    rng = random.Random(3)
+    text, unlike, third = (" ".join(str(rng.random()) for _ in range(200)) for _ in range(3))
+    near = text.replace(" ", "  ")
+    rows = [(1, text), (1, text), (2, near), (2, unlike), (None, near), (None, third), (None, third), (None, third + " ")]
+    left = simhash.without_near_copies(keyed(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text.strip()) for r in left) == sorted([("1", text), ("2", unlike), ("None", third)])
+
+
 def brute_scan(rows):
     out = []
     for r in rows:
