@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import bpe, exact, language, licenses, neighbours, packing, simhash, tokencount, tokenstore, toxicity
+from casebook.llm import bpe, exact, language, licenses, neighbours, packing, simhash, tokencount, tokenstore, toxicity, whitening
 from casebook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,8 @@ def op8_token_counts(spark, sf_dir):
 @query("op10_language")
 def op10_language(spark, sf_dir):
     return language.languages(table(spark, sf_dir, "documents"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
