@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casebook.llm.common import record, written
+from casebook.llm.common import written
 
 WHITE = " \t\n\x0b\x0c\r"
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
@@ -38,13 +38,16 @@ FAR = 1 << 40
 FINE, CUT_OFF, DUPLICATE, BLANK = range(4)
 LEGAL = {(0, 1), (1, 2), (2, 1)}
 LETTERS = ("D", "K", "R", "IK", "IR")
-EDITS = np.array([1 if letters == "D" else 0 for letters in LETTERS])
+PRICES = np.array([DELETE, KEEP, REROLE, INSERT + KEEP, INSERT + REROLE])
+TAILS = ("", "II", "I", "")
+NAMES = ("user", "user", "assistant", "user")  # the role of what is inserted or rewritten in each state
 
 
 def damaged(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, text and ``copies`` after the damage that crc32 of ``conv_id:turn`` decides; nulls count as a space."""
-    part = F.crc32(F.concat(*[_text(c) for c in ("conv_id",)], F.lit(":"), _text("turn")).cast("binary")) % 20
-    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), _text("role").alias("role"), _text("text").alias("text"), part.alias("part"))
+    part = F.crc32(F.concat(_text("conv_id"), F.lit(":"), _text("turn")).cast("binary")) % 20
+    turn = F.col("turn").cast("long").alias("turn")
+    rows = conversations.select("conv_id", turn, _text("role").alias("role"), _text("text").alias("text"), part.alias("part"))
     text = F.when(F.col("part") == 1, "").when(F.col("part") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
     role = F.when(F.col("part") == 4, "user").otherwise(F.col("role"))
     copies = F.when(F.col("part") == 3, 2).otherwise(1).cast("long")
@@ -173,7 +176,7 @@ def traced(codes, ends, lengths, before, right, entry) -> tuple[np.ndarray, np.n
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lengths = np.array([len(x) for x in column.to_pylist()], np.int64) if not len(column) else np.diff(column.offsets.to_numpy()).astype(np.int64)
+    lengths = column.value_lengths().to_numpy().astype(np.int64)
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     return values, np.cumsum(lengths), lengths
 
@@ -344,73 +347,57 @@ def repaired(rows: DataFrame, chunk: int = CHUNK, passes: int = PASSES) -> tuple
     the order of (at, place, side). Rows are taken by turn, nulls first; those of one turn by role, then by
     the text's first ``PREFIX`` characters, then by a hash of the row, and a row's copies follow it at once.
     """
-    spark = rows.sparkSession
     coded = _coded(rows)
     cut = chunks(coded, chunk)
     entered = _entered(cut, _settled(cut, _linked(cut), passes))
     work = entered.select("part", "seq", "at", "chunks", "rights", "entry")
-    kind = coded.schema["conv_id"].dataType.simpleString()
     schema = (
-        f"conv_id {kind}, at long, audit string, cost long, blank long, duplicate long, truncated long, illegal long, head int, tail int, "
+        f"conv_id {coded.schema['conv_id'].dataType.simpleString()}, at long, audit string, cost long, blank long, duplicate long, "
+        "truncated long, illegal long, head int, tail int, "
         "edits array<struct<row:binary,place:int,side:int,role:string,edit:string>>"
     )
-    tails = ("", "II", "I", "")
-    names = ("user", "user", "assistant", "user")  # what is inserted or written after each state
+    edit_type = pa.list_(pa.struct([("row", pa.binary()), ("place", pa.int32()), ("side", pa.int32()), ("role", pa.string()), ("edit", pa.string())]))
+    legal = np.zeros((4, 4), bool)
+    for pair in LEGAL:
+        legal[pair] = True
 
     def edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             codes, ends, lengths = _flat(batch.column("codes"))
+            starts, entry = ends - lengths, batch.column("entry").to_numpy()
             copies = batch.column("copies").flatten().to_numpy()
             right = _vectors(batch.column("rights"))
             before, _ = backward(codes, ends, lengths, right)
-            edits, final = traced(codes, ends, lengths, before, right, batch.column("entry").to_numpy())
+            edits, _ = traced(codes, ends, lengths, before, right, entry)
             role, fault = codes >> 2, codes & 3
-            price = np.array([DELETE, KEEP, REROLE, INSERT + KEEP, INSERT + REROLE])[edits]
-            price = price + DELETE * (copies - 1) + np.where((edits > 0) & (fault == CUT_OFF), TRUNCATED, 0)
-            legal = np.zeros((4, 4), bool)
-            for a, b in LEGAL:
-                legal[a, b] = True
+            cost = PRICES[edits] + DELETE * (copies - 1) + np.where((edits > 0) & (fault == CUT_OFF), TRUNCATED, 0)
             blank = np.where(fault == BLANK, copies, 0)
             again = np.where(fault == DUPLICATE, copies, np.where(fault == BLANK, 0, copies - 1))
-            wrong = copies - 1 + np.concatenate(([False], ~legal[role[:-1], role[1:]])).astype(np.int64)
-            starts = ends - lengths
+            wrong = copies - 1
+            wrong[1:] += ~legal[role[:-1], role[1:]]
             wrong[starts] = copies[starts] - 1
-            totals = [np.add.reduceat(x, starts) for x in (price, blank, again, (fault == CUT_OFF).astype(np.int64), wrong)]
+            cost, *faults = (np.add.reduceat(x, starts) for x in (cost, blank, again, (fault == CUT_OFF).astype(np.int64), wrong))
             last = batch.column("at").to_numpy() + 1 == batch.column("chunks").to_numpy()
-            ids, own_roles = batch.column("rows").flatten(), batch.column("roles").flatten()
+            ids, roles = batch.column("rows").flatten().to_pylist(), batch.column("roles").flatten().to_pylist()
             audits, lists = [], []
             for c, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
-                state, letters, out = int(batch.column("entry")[c].as_py()), [], []
-                for i in range(a, b):
-                    edit = LETTERS[edits[i]]
-                    letters.append(edit)
-                    if copies[i] > 1:
-                        letters.append("D" * int(copies[i] - 1))
-                    if edit == "D":
-                        continue
-                    if len(edit) == 2:
-                        out.append({"row": None, "place": i - a, "side": 0, "role": names[state], "edit": "I"})
-                        state = int(INSERTED[state])
-                    keep = edit[-1] == "K"
-                    out.append({"row": ids[i].as_py(), "place": i - a, "side": 1, "role": own_roles[i].as_py() if keep else names[state], "edit": edit[-1]})
-                    state = SYSTEM if keep and role[i] == 0 else int(INSERTED[state])
+                audit, out, state = _written_out(edits[a:b], role[a:b], copies[a:b], ids[a:b], roles[a:b], int(entry[c]))
                 if last[c]:
-                    letters.append(tails[state])
-                    for i in range(len(tails[state])):
-                        out.append({"row": None, "place": b - a, "side": i, "role": names[state], "edit": "I"})
+                    audit += TAILS[state]
+                    cost[c] += INSERT * len(TAILS[state])
+                    for i in range(len(TAILS[state])):
+                        out.append((None, b - a, i, NAMES[state], "I"))
                         state = int(INSERTED[state])
-                        totals[0][c] += INSERT
-                audits.append("".join(letters))
+                audits.append(audit)
                 lists.append(out)
-            made = [batch.column("conv_id"), batch.column("at"), audits, *totals, role[starts].astype(np.int32), role[ends - 1].astype(np.int32), lists]
-            yield record(arrow, *made)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+            names = ("row", "place", "side", "role", "edit")
+            lists = pa.array([[dict(zip(names, e)) for e in out] for out in lists], edit_type)
+            ends_of = [pa.array(role[x].astype(np.int32)) for x in (starts, ends - 1)]
+            columns = [batch.column("conv_id"), batch.column("at"), pa.array(audits, pa.string()), *map(pa.array, (cost, *faults)), *ends_of, lists]
+            yield pa.RecordBatch.from_arrays(columns, [n.split()[0] for n in schema.split(", ")])
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
     joined = work.join(cut.select("conv_id", "part", "seq", "codes", "copies", "rows", "roles"), ["part", "seq"])
     result = written(joined.mapInArrow(edited, schema), "conversation-edits")
     summary = _summary(coded, result)
@@ -421,6 +408,24 @@ def repaired(rows: DataFrame, chunk: int = CHUNK, passes: int = PASSES) -> tuple
     return summary, kept.unionByName(made)
 
 
+def _written_out(edits, role, copies, ids, roles, state: int) -> tuple[str, list[tuple], int]:
+    """The audit of a chunk's rows, what they leave (row, place, side, role, edit) and the state after them."""
+    letters, out = [], []
+    for i, (e, r, n) in enumerate(zip(edits.tolist(), role.tolist(), copies.tolist())):
+        letters.append(LETTERS[e])
+        if n > 1:
+            letters.append("D" * (n - 1))
+        if e == 0:
+            continue
+        if e > 2:
+            out.append((None, i, 0, NAMES[state], "I"))
+            state = int(INSERTED[state])
+        keep = e % 2 == 1
+        out.append((ids[i], i, 1, roles[i] if keep else NAMES[state], "K" if keep else "R"))
+        state = SYSTEM if keep and r == 0 else int(INSERTED[state])
+    return "".join(letters), out, state
+
+
 def _summary(coded: DataFrame, result: DataFrame) -> DataFrame:
     key = F.struct(F.col("conv_id").isNull().alias("none"), "conv_id").alias("conv")
     turns = coded.groupBy(key, "turn").agg(F.lit(1).alias("one"))
