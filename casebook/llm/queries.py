@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import bpe, conversations, exact, language, licenses, neighbours, packing, simhash, tokencount, tokenstore, toxicity, whitening
+from casebook.llm import bpe, conversations, exact, language, licenses, neighbours, packing, passages, simhash, tokencount, tokenstore, toxicity, whitening
 from casebook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,8 @@ def op11_whitening(spark, sf_dir):
 @query("op12_conversation_repair")
 def op12_conversation_repair(spark, sf_dir):
     return conversations.repair_report(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_suffix_dedup")
+def op13_suffix_dedup(spark, sf_dir):
+    return passages.without_passages(table(spark, sf_dir, "documents"))
