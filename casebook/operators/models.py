@@ -1,27 +1,23 @@
-"""Binary classifiers over a matrix, fitted with Spark ML or from one-pass moments.
+"""Binary classifiers over a matrix, many of them fitted in shared passes.
 
-Linear models and Gaussian Bayes become plain column expressions, so their scores run
-inside code generation and on streams; tree and network models score through their
-Spark ML transformer.
+``fit_many`` fits any number of requests (classifier, columns, rows, options) on one packed table: linear models
+by ``batch_linear``, trees by ``batch_trees``, discriminant and Bayes models from class moments. A single fit is a
+batch of one. Linear models and Gaussian Bayes become plain column expressions, so their scores run inside code
+generation and on streams; the network scores through its Spark ML transformer.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Model
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    LinearSVC,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
@@ -29,7 +25,10 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casebook.functions.exprs import assembled, col, hash_uniform, sum_of
+from casebook.functions.exprs import assembled, col, sum_of
+from casebook.operators.batch_linear import Fit, Task, solve
+from casebook.operators.batch_trees import Binned, Tree, TreeTask, binned, boosted, trees
+from casebook.operators.blocks import ALL, MAIN, Block, Blocks, table_blocks
 from casebook.operators.normalize import state_table
 from casebook.operators.splitting import stratified_folds
 from casebook.operators.stats import per_feature
@@ -37,7 +36,11 @@ from casebook.session import kept
 from casebook.spec import MatrixSpec
 
 VAR_SMOOTHING = 1e-9
-CALIBRATION_SHARE = 1 / 3
+
+
+def logistic_map(z: np.ndarray) -> np.ndarray:
+    e = np.exp(-np.abs(z))
+    return np.where(z >= 0, 1.0, e) / (1.0 + e)
 
 
 def sigmoid(z: Column) -> Column:
@@ -54,6 +57,10 @@ class LinearScore:
     intercept: float
     scale: float = 1.0
     shift: float = 0.0
+    converged: bool = True
+
+    def chance(self, x: np.ndarray) -> np.ndarray:
+        return logistic_map((x @ np.array(self.coef) + self.intercept) * self.scale + self.shift)
 
     def margin(self) -> Column:
         return F.lit(self.intercept) + sum_of([col(f) * F.lit(w) for f, w in zip(self.features, self.coef)])
@@ -76,6 +83,11 @@ class BayesScore:
     mean: tuple[tuple[float, ...], tuple[float, ...]]
     var: tuple[tuple[float, ...], tuple[float, ...]]
 
+    def chance(self, x: np.ndarray) -> np.ndarray:
+        m, v = np.array(self.mean), np.array(self.var)
+        logs = [((x - m[k]) ** 2 / (2 * v[k])).sum(axis=1) for k in (0, 1)]
+        return logistic_map(self.log_prior + 0.5 * np.log(v[0] / v[1]).sum() + logs[0] - logs[1])
+
     def predict(self, df: DataFrame, out="pred") -> DataFrame:
         terms = [F.lit(self.log_prior)]
         for i, f in enumerate(self.features):
@@ -96,6 +108,11 @@ class BoostScore:
     features: tuple[str, ...]
     rules: tuple[tuple[str, float, int, float], ...]
 
+    def chance(self, x: np.ndarray) -> np.ndarray:
+        total = sum(r[3] for r in self.rules) or 1.0
+        votes = (np.where(x[:, self.features.index(f)] <= t, low, -low) * (w / total) for f, t, low, w in self.rules)
+        return logistic_map(sum(votes, np.zeros(len(x))))
+
     @staticmethod
     def vote(rule) -> Column:
         f, threshold, low, _ = rule
@@ -107,6 +124,35 @@ class BoostScore:
         return df.withColumn(out, sigmoid(decision))
 
 
+@dataclass(frozen=True)
+class ForestScore:
+    """The mean class share of trees: per tree (feature place or -1, threshold, left, right, share) by node."""
+
+    name: str
+    features: tuple[str, ...]
+    trees: tuple[tuple[tuple, tuple, tuple, tuple, tuple], ...]
+
+    def chance(self, x: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for cells in self.trees:
+            column, threshold, left, right, share = map(np.array, cells)
+            at = np.zeros(len(x), np.int64)
+            while (inner := column[at] >= 0).any():
+                rows, node = np.flatnonzero(inner), at[inner]
+                at[rows] = np.where(x[rows, column[node]] <= threshold[node], left[node], right[node])
+            total += share[at]
+        return total / len(self.trees)
+
+    def predict(self, df: DataFrame, out="pred") -> DataFrame:
+        model = self
+
+        @F.pandas_udf("double")
+        def chance(x: pd.Series) -> pd.Series:
+            return pd.Series(model.chance(np.stack(x.to_numpy()).astype(float)) if len(x) else np.zeros(0))
+
+        return df.withColumn(out, chance(F.array(*[col(f).cast("double") for f in self.features])))
+
+
 @dataclass(frozen=True)
 class TransformerScore:
     """Any fitted Spark ML classifier with a probability column."""
@@ -129,57 +175,28 @@ def _training(df: DataFrame, spec: MatrixSpec) -> DataFrame:
     return kept(assembled(cols, spec.features, "_v").select(spec.case_id, "y", "_v"))
 
 
+def _single(name: str, df: DataFrame, spec: MatrixSpec, **options):
+    """A batch of one on all rows of a matrix."""
+    blocks = table_blocks(df, spec)
+    try:
+        return fit_many(blocks, [Request(name, spec.features, options=tuple(options.items()))])[0]
+    finally:
+        blocks.release()
+
+
 def logistic(df: DataFrame, spec: MatrixSpec, tol=1e-3, max_iter=1000) -> LinearScore:
-    """Unpenalised logistic regression."""
-    data = _training(df, spec)
-    m = LogisticRegression(featuresCol="_v", labelCol="y", regParam=0.0, tol=tol, maxIter=max_iter).fit(data)
-    data.unpersist()
-    return LinearScore("LR", spec.features, tuple(map(float, m.coefficients)), float(m.intercept))
+    """Unpenalised logistic regression; ``tol`` bounds the slope of the mean loss."""
+    return _single("LR", df, spec, tol=tol, max_iter=max_iter)
 
 
 def lasso_logistic(df: DataFrame, spec: MatrixSpec, c=1.0, tol=3e-4, max_iter=100) -> LinearScore:
-    """L1 logistic regression; the penalty weight is 1 / (C n) on the mean loss."""
-    data = _training(df, spec)
-    m = LogisticRegression(
-        featuresCol="_v",
-        labelCol="y",
-        regParam=1.0 / (c * data.count()),
-        elasticNetParam=1.0,
-        standardization=False,
-        tol=tol,
-        maxIter=max_iter,
-    ).fit(data)
-    data.unpersist()
-    return LinearScore("LRLasso", spec.features, tuple(map(float, m.coefficients)), float(m.intercept))
+    """L1 logistic regression; the penalty weight is 1 / (C n) on the mean loss. The intercept is free."""
+    return _single("LRLasso", df, spec, c=c, tol=tol, max_iter=max_iter)
 
 
-def linear_svm(df: DataFrame, spec: MatrixSpec, c=1.0, max_iter=100) -> LinearScore:
+def linear_svm(df: DataFrame, spec: MatrixSpec, c=1.0, max_iter=200) -> LinearScore:
     """Linear SVM with a logistic map of the margin, fitted on a held-out third of the cases."""
-    data = _training(df, spec).withColumn("_u", hash_uniform(0, spec.case_id))
-    n = data.count()
-
-    def fit(part, size):
-        return LinearSVC(
-            featuresCol="_v", labelCol="y", regParam=1.0 / (c * max(size, 1)), maxIter=max_iter, tol=1e-3
-        ).fit(part)
-
-    first = fit(data.filter(F.col("_u") >= CALIBRATION_SHARE), n * (1 - CALIBRATION_SHARE))
-    held = first.transform(data.filter(F.col("_u") < CALIBRATION_SHARE)).select(
-        "y", vector_to_array("rawPrediction")[1].alias("margin")
-    )
-    platt = LogisticRegression(featuresCol="_m", labelCol="y", regParam=0.0, tol=1e-4).fit(
-        assembled(held, ["margin"], "_m")
-    )
-    full = fit(data, n)
-    data.unpersist()
-    return LinearScore(
-        "SVM",
-        spec.features,
-        tuple(map(float, full.coefficients)),
-        float(full.intercept),
-        float(platt.coefficients[0]),
-        float(platt.intercept),
-    )
+    return _single("SVM", df, spec, c=c, max_iter=max_iter)
 
 
 @dataclass(frozen=True)
@@ -297,82 +314,221 @@ def discriminant(df: DataFrame, spec: MatrixSpec, shrinkage: str | None = None)
     return _discriminant(m, cov)
 
 
-def _spark_classifier(name: str, estimator) -> Callable:
-    def fit(df: DataFrame, spec: MatrixSpec) -> TransformerScore:
-        data = _training(df, spec)
-        model = estimator(spec).fit(data)
-        data.unpersist()
-        return TransformerScore(name, spec.features, model)
+def decision_tree(df, spec, max_depth=30, criterion="gini", max_features=None) -> ForestScore:
+    return _single("DT", df, spec, max_depth=max_depth, criterion=criterion, max_features=max_features)
 
-    return fit
 
+def random_forest(df, spec, trees=10, max_depth=30, criterion="gini") -> ForestScore:
+    """Trees on Poisson draws of the cases; a node looks at the root of the number of features."""
+    return _single("RF", df, spec, trees=trees, max_depth=max_depth, criterion=criterion)
 
-def decision_tree(df, spec, max_depth=30, criterion="gini"):
-    return _spark_classifier(
-        "DT",
-        lambda s: DecisionTreeClassifier(
-            featuresCol="_v", labelCol="y", maxDepth=max_depth, impurity=criterion, seed=0, maxMemoryInMB=1024
-        ),
-    )(df, spec)
-
-
-def random_forest(df, spec, trees=10, max_depth=30, criterion="gini"):
-    return _spark_classifier(
-        "RF",
-        lambda s: RandomForestClassifier(
-            featuresCol="_v", labelCol="y", numTrees=trees, maxDepth=max_depth, impurity=criterion, seed=0, maxMemoryInMB=1024
-        ),
-    )(df, spec)
 
+def ada_boost(df: DataFrame, spec: MatrixSpec, rounds=50) -> BoostScore:
+    """SAMME boosting of one-split trees."""
+    return _single("AB", df, spec, rounds=rounds)
 
-def perceptron(df, spec, hidden=(100,), max_iter=100):
-    return _spark_classifier(
-        "AE",
-        lambda s: MultilayerPerceptronClassifier(
-            featuresCol="_v", labelCol="y", layers=[len(s.features), *hidden, 2], maxIter=max_iter, seed=0
-        ),
-    )(df, spec)
 
+def perceptron(df, spec, hidden=(100,), max_iter=100) -> TransformerScore:
+    data = _training(df, spec)
+    layers = [len(spec.features), *hidden, 2]
+    model = MultilayerPerceptronClassifier(featuresCol="_v", labelCol="y", layers=layers, maxIter=max_iter, seed=0).fit(data)
+    data.unpersist()
+    return TransformerScore("AE", spec.features, model)
 
-# The two branches of a printed one-split tree, in Spark's debug text.
-_SPLIT = re.compile(r"If \(feature (\d+) <= ([^)]+)\)\s+Predict: ([\d.]+)\s+Else .*?\s+Predict: ([\d.]+)", re.S)
 
+# ---------------------------------------------------------------- many models at once
 
-def ada_boost(df: DataFrame, spec: MatrixSpec, rounds=50) -> BoostScore:
-    """SAMME boosting of one-split trees.
 
-    Case weights are an expression of the rules so far, so nothing but the rules is
-    carried between rounds and a lost executor recomputes the same weights.
+@dataclass(frozen=True)
+class Request:
+    """One model to fit: ``columns`` of the packed table (``names`` in the model, if others) and rows as ``blocks`` counts them."""
+
+    classifier: str
+    columns: tuple[str, ...]
+    rows: int = ALL
+    options: tuple[tuple[str, object], ...] = ()
+    names: tuple[str, ...] | None = None
+
+    @property
+    def features(self) -> tuple[str, ...]:
+        return self.names or self.columns
+
+
+#: Classifiers that ``fit_many`` knows.
+BATCHED = ("LR", "LRLasso", "SVM", "LDA", "NB", "DT", "RF", "AB")
+
+
+def fit_many(blocks: Blocks, requests: list[Request]) -> list:
+    """A fitted model for every request; all models of a kind share their passes."""
+    out: list = [None] * len(requests)
+    own = lambda *kinds: [(i, r, dict(r.options)) for i, r in enumerate(requests) if r.classifier in kinds]
+    unknown = {r.classifier for r in requests} - set(BATCHED)
+    if unknown:
+        raise ValueError(f"not fitted in batches: {sorted(unknown)}")
+    linear = own("LR", "LRLasso", "SVM")
+    if linear:
+        for (i, r, _), model in zip(linear, _linear(blocks, linear)):
+            out[i] = model
+    moments = own("LDA", "NB")
+    if moments:
+        shared = block_moments(blocks, sorted({r.rows for _, r, _ in moments}))
+        for i, r, options in moments:
+            m = shared[r.rows].sub(r.columns)
+            out[i] = FROM_MOMENTS[r.classifier](ClassMoments(r.features, m.n, m.mean, m.var, m.overall, m.pooled), **options)
+    trees_ = own("DT", "RF", "AB")
+    if trees_:
+        data = binned(blocks)
+        for i, model in _forests(data, [t for t in trees_ if t[1].classifier != "AB"]) + _boosts(data, [t for t in trees_ if t[1].classifier == "AB"]):
+            out[i] = model
+        data.release()
+    return out
+
+
+def _linear(blocks: Blocks, wanted) -> list[LinearScore]:
+    first, calibrating = [], []
+    for _, r, options in wanted:
+        columns, tol, steps = blocks.index(r.columns), options.get("tol"), options.get("max_iter", 200)
+        if r.classifier == "LR":
+            first.append([Task(columns, r.rows, tol=tol or 1e-3, max_iter=steps)])
+        elif r.classifier == "LRLasso":
+            first.append([Task(columns, r.rows, l1=1 / options.get("c", 1.0), tol=tol or 3e-4, max_iter=steps)])
+        else:
+            ridge = {"hinge": True, "l2": 1 / options.get("c", 1.0), "tol": tol or 1e-3, "max_iter": steps}
+            first.append([Task(columns, r.rows, **ridge), Task(columns, r.rows, third=1, **ridge)])
+    solved = iter(solve(blocks, [t for tasks in first for t in tasks]))
+    fits: list[list[Fit]] = [[next(solved) for _ in tasks] for tasks in first]
+    for tasks, got in zip(first, fits):
+        if len(got) == 2:
+            calibrating.append(Task(tasks[0].columns, tasks[0].rows, third=0, through=(*got[1].coef, got[1].intercept), tol=1e-4))
+    maps = iter(solve(blocks, calibrating))
+    out = []
+    for (_, r, _), got in zip(wanted, fits):
+        scale, shift, done = 1.0, 0.0, got[0].converged
+        if len(got) == 2:
+            m = next(maps)
+            scale, shift, done = m.coef[0], m.intercept, done and got[1].converged
+        out.append(LinearScore(r.classifier, r.features, got[0].coef, got[0].intercept, scale, shift, done))
+    return out
+
+
+def _tried(option, n: int) -> int | None:
+    if option == "sqrt":
+        return max(1, int(math.sqrt(n)))
+    return max(1, int(math.log2(n))) if option == "log2" else None
+
+
+def _forests(data: Binned, wanted) -> list[tuple[int, ForestScore]]:
+    tasks, owner = [], []
+    for i, r, options in wanted:
+        forest = r.classifier == "RF"
+        columns = data.blocks.index(r.columns)
+        tried = _tried("sqrt" if forest else options.get("max_features"), len(columns))
+        for seed in range(options.get("trees", 10) if forest else 1):
+            depth, criterion = options.get("max_depth", 30), options.get("criterion", "gini")
+            tasks.append(TreeTask(columns, r.rows, seed, forest, tried, depth, criterion))
+            owner.append(i)
+    grown: dict[int, list] = {}
+    for i, task, tree in zip(owner, tasks, trees(data, tasks) if tasks else []):
+        grown.setdefault(i, []).append(_with_thresholds(data, task, tree))
+    return [(i, ForestScore(r.classifier, r.features, tuple(grown[i]))) for i, r, _ in wanted]
+
+
+def _with_thresholds(data: Binned, task: TreeTask, tree: Tree) -> tuple:
+    cuts = tuple(float(data.cuts[task.columns[j]][b]) if j >= 0 else 0.0 for j, b in zip(tree.column, tree.bin))
+    return tree.column, cuts, tree.left, tree.right, tree.share
+
+
+def _boosts(data: Binned, wanted) -> list[tuple[int, BoostScore]]:
+    if not wanted:
+        return []
+    tasks = [TreeTask(data.blocks.index(r.columns), r.rows) for _, r, _ in wanted]
+    out = []
+    for (i, r, _), task, rules in zip(wanted, tasks, boosted(data, tasks, [o.get("rounds", 50) for _, _, o in wanted])):
+        if not rules:
+            raise ValueError("no feature separates the classes better than chance")
+        named = tuple((r.features[j], float(data.cuts[task.columns[j]][b]), low, alpha) for j, b, low, alpha in rules)
+        out.append((i, BoostScore("AB", r.features, named)))
+    return out
+
+
+def block_moments(blocks: Blocks, rows: list[int]) -> dict[int, ClassMoments]:
+    """Class moments of several row choices from two passes: sums by part and class, then products about the mean."""
+    p = len(blocks.columns)
+    name = lambda part, label: 2 * (part + 1) + label
+
+    def totals(each: Iterator[Block], about: np.ndarray | None) -> dict[int, np.ndarray]:
+        out: dict[int, np.ndarray] = {}
+        for block in each:
+            for part in np.unique(block.part).tolist():
+                for label in (0, 1):
+                    x = block.x[(block.part == part) & ((block.y == 1) == bool(label))]
+                    if about is None:
+                        cell = np.concatenate(([len(x)], x.sum(axis=0)))
+                    else:
+                        x = x - about
+                        cell = (x.T @ x).ravel()
+                    out[name(part, label)] = out.get(name(part, label), 0.0) + cell
+        return out
+
+    sums = blocks.sums(lambda each: totals(each, None))
+    whole = sum(sums.values())
+    about = whole[1:] / max(whole[0], 1.0)
+    products = blocks.sums(lambda each: totals(each, about))
+    parts = sorted({i // 2 - 1 for i in sums})
+    found = {}
+    for choice in rows:
+        taken = [q for q in parts if (q == MAIN if choice == MAIN else q >= 0 and q != choice)]
+        n, mean, scatter = [], [], []
+        for label in (0, 1):
+            own = sum((sums[name(q, label)] for q in taken), np.zeros(p + 1))
+            size = int(own[0])
+            if size == 0:
+                raise ValueError(f"rows {choice} hold no case of class {label}")
+            centre = own[1:] / size
+            off = centre - about
+            cross = sum((products[name(q, label)] for q in taken), np.zeros(p * p)).reshape(p, p)
+            n.append(size)
+            mean.append(centre)
+            scatter.append(cross - size * np.outer(off, off))
+        var = np.array([np.maximum(np.diag(s), 0) / k for s, k in zip(scatter, n)])
+        centre = (n[0] * mean[0] + n[1] * mean[1]) / sum(n)
+        overall = sum(k * (v + (m - centre) ** 2) for k, v, m in zip(n, var, mean)) / sum(n)
+        pooled = (scatter[0] + scatter[1]) / max(sum(n) - 2, 1)
+        found[choice] = ClassMoments(blocks.columns, tuple(n), np.array(mean), var, overall, pooled)
+    return found
+
+
+def score_many(
+    df: DataFrame, keep: list[str], columns: list[Column], chosen: list[tuple[tuple[int, ...], object, int | None]], by: str | None = None
+) -> DataFrame:
+    """``keep``, model (its place in ``chosen``) and pred: all models in one read of the table.
+
+    ``chosen`` has the places of each model's features among ``columns``, the model, and the value of the kept column
+    ``by`` that a case must have to be scored by it (None: any).
     """
-    data = kept(
-        assembled(
-            df.select(col(spec.label).cast("double").alias("y"), *[col(f).cast("double").alias(f) for f in spec.features]),
-            spec.features,
-            "_v",
-        )
-    )
-    truth = F.when(F.col("y") == 1, 1.0).otherwise(-1.0)
-    rules: list[tuple] = []
-    n = data.count()
-    for _ in range(rounds):
-        boost = [F.when(BoostScore.vote(r) != truth, F.lit(r[3])).otherwise(0.0) for r in rules]
-        weighted = data.withColumn("_w", F.exp(sum_of(boost)) / n if boost else F.lit(1.0 / n))
-        tree = DecisionTreeClassifier(featuresCol="_v", labelCol="y", weightCol="_w", maxDepth=1, seed=0).fit(weighted)
-        hit = _SPLIT.search(tree.toDebugString)
-        if hit is None or hit.group(3) == hit.group(4):
-            break  # no split improves on a constant
-        rule = (spec.features[int(hit.group(1))], float(hit.group(2)), 1 if float(hit.group(3)) == 1 else -1, 0.0)
-        wrong = F.sum(F.when(BoostScore.vote(rule) != truth, F.col("_w")).otherwise(0.0))
-        err = weighted.agg((wrong / F.sum("_w")).alias("e")).head().e
-        if err >= 0.5:
-            break
-        rules.append((*rule[:3], math.log((1 - err) / max(err, 1e-12))))
-        if err <= 0:
-            break
-    data.unpersist()
-    if not rules:
-        raise ValueError("no feature separates the classes better than chance")
-    return BoostScore("AB", spec.features, tuple(rules))
+    kept_ = df.select(*keep, F.array(*[c.cast("double") for c in columns]).alias("_x"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields) + ", model int, pred double"
+    step = max(1, 400_000 // max(1, len(chosen)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                batch = whole.slice(at, step)
+                x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+                group = batch.column(by).to_numpy(zero_copy_only=False) if by else None
+                rows, model, pred = [], [], []
+                for i, (places, m, only) in enumerate(chosen):
+                    mine = np.arange(len(x)) if only is None else np.flatnonzero(group == only)
+                    if len(mine):
+                        rows.append(mine)
+                        model.append(np.full(len(mine), i, np.int32))
+                        pred.append(m.chance(x[np.ix_(mine, places)]))
+                if rows:
+                    keys = [batch.column(c).take(pa.array(np.concatenate(rows))) for c in keep]
+                    cells = [pa.array(np.concatenate(model)), pa.array(np.concatenate(pred))]
+                    yield pa.RecordBatch.from_arrays([*keys, *cells], [*keep, "model", "pred"])
+
+    return kept_.mapInArrow(score, schema)
 
 
 CLASSIFIERS: dict[str, Callable] = {
@@ -396,7 +552,7 @@ GRIDS: dict[str, list[dict]] = {
     "SVM": [{"c": [0.1, 0.3, 1.0, 3.0]}],
     "LDA": [{"shrinkage": [None]}, {"shrinkage": ["auto"]}],
     "NB": [{}],
-    "DT": [{"criterion": ["gini", "entropy"]}],
+    "DT": [{"criterion": ["gini", "entropy"], "max_features": [None, "sqrt", "log2"]}],
     "RF": [{"trees": [10, 50, 100], "criterion": ["gini", "entropy"]}],
     "AE": [{"hidden": [(30,), (100,)]}],
     "AB": [{"rounds": [10, 50, 100]}],
@@ -412,9 +568,14 @@ def grid_points(grids: list[dict]) -> list[dict]:
     return out or [{}]
 
 
-def cross_predict(df: DataFrame, spec: MatrixSpec, fit: Callable, folds=5) -> DataFrame:
-    """Out-of-fold scores: case_id, label, fold, pred; the model is refitted for every fold."""
+def cross_predict(df: DataFrame, spec: MatrixSpec, fit: Callable | str, folds=5, **options) -> DataFrame:
+    """Out-of-fold scores: case_id, label, fold, pred; the model is refitted for every fold.
+
+    ``fit`` is a function (df, spec) -> model, or the name of a classifier that is fitted in batches.
+    """
     marked = kept(stratified_folds(spec.project(df), spec, folds))
+    if isinstance(fit, str):
+        return _held_out(marked, spec, fit, [options], folds).drop("option")
     parts = None
     for f in range(folds):
         model = fit(marked.filter(F.col("fold") != f), spec)
@@ -423,22 +584,38 @@ def cross_predict(df: DataFrame, spec: MatrixSpec, fit: Callable, folds=5) -> Da
     return parts
 
 
+def _held_out(marked: DataFrame, spec: MatrixSpec, name: str, points: list[dict], folds: int) -> DataFrame:
+    """Out-of-fold scores of every option, all fitted together: keys, fold, option, pred."""
+    blocks = table_blocks(marked, spec, F.col("fold"))
+    asked = [Request(name, spec.features, f, tuple(p.items())) for p in points for f in range(folds)]
+    models = fit_many(blocks, asked)
+    blocks.release()
+    places = tuple(range(len(spec.features)))
+    chosen = [(places, m, r.rows) for m, r in zip(models, asked)]
+    scored = score_many(marked, [*spec.keys, "fold"], [col(f) for f in spec.features], chosen, by="fold")
+    return scored.select(*spec.keys, "fold", F.floor(F.col("model") / folds).cast("int").alias("option"), "pred")
+
+
 def grid_search(df: DataFrame, spec: MatrixSpec, name: str, grids: list[dict] | None = None, folds=5):
     """(best fitted model, table of options and fold accuracy) by cross-validated accuracy.
 
-    Ties go to the earlier option, as does a grid of one.
+    Ties go to the earlier option, as does a grid of one. Options of classifiers that are fitted in batches share
+    all passes.
     """
     fit = CLASSIFIERS[name]
     points = grid_points(grids or GRIDS[name])
-    rows = []
-    for i, p in enumerate(points):
-        acc = 0.0
-        if len(points) > 1:
+    right = F.avg(((F.col("pred") > 0.5).cast("int") == col(spec.label)).cast("double")).alias("a")
+    accuracy = dict.fromkeys(range(len(points)), 0.0)
+    if len(points) > 1 and name in BATCHED and not any("shrinkage" in p for p in points):
+        marked = kept(stratified_folds(spec.project(df), spec, folds))
+        per = _held_out(marked, spec, name, points, folds).groupBy("option", "fold").agg(right).groupBy("option").agg(F.avg("a").alias("a"))
+        accuracy |= {r.option: r.a for r in per.collect()}
+        marked.unpersist()
+    elif len(points) > 1:
+        for i, p in enumerate(points):
             scored = cross_predict(df, spec, lambda d, s, p=p: fit(d, s, **p), folds)
-            right = ((F.col("pred") > 0.5).cast("int") == F.col(spec.label)).cast("double")
-            per = scored.groupBy("fold").agg(F.avg(right).alias("a")).agg(F.avg("a").alias("a")).head()
-            acc = per.a
-        rows.append({"option": i, "parameters": str(p), "accuracy": float(acc)})
+            accuracy[i] = scored.groupBy("fold").agg(right).agg(F.avg("a").alias("a")).head().a
+    rows = [{"option": i, "parameters": str(p), "accuracy": float(accuracy[i])} for i, p in enumerate(points)]
     best = max(rows, key=lambda r: (r["accuracy"], -r["option"]))["option"]
     return fit(df, spec, **points[best]), rows
 

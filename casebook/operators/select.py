@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.classification import LinearSVC
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casebook.functions.exprs import assembled, col, sum_of
+from casebook.functions.exprs import col, sum_of
+from casebook.operators.batch_linear import Task, solve
+from casebook.operators.blocks import MAIN, packed, wide_table
 from casebook.operators.gram import cluster_features, feature_gram
 from casebook.operators.firstorder import group_quantiles
 from casebook.operators.neighbors import nearest
@@ -79,35 +80,69 @@ def relieff_scores(df: DataFrame, spec: MatrixSpec, neighbors=RELIEFF_NEIGHBORS)
     return sums.unpivot([], list(spec.features), "feature", "score")
 
 
+def _rfe_paths(wide: DataFrame, groups: list[tuple[str, ...]], least: int, share: float, c: float, max_iter: int):
+    """Recursive elimination with a linear SVM in every group of columns of a wide table (``blocks``), side by side.
+
+    Yields for each round a list of (columns left, the same from weakest to strongest, columns that go), None for
+    groups that are down to ``least``. Columns are divided by their length first; all groups share each pass.
+    """
+    names = sorted({f for g in groups for f in g})
+    row = wide.agg(*[F.sqrt(F.sum(col(f) * col(f))).alias(f) for f in names]).head()
+    data = packed(wide.withColumns({f: col(f) / F.lit(row[f] or 1.0) for f in names}))
+    left = [list(g) for g in groups]
+    steps = [max(1, int(share * len(g))) for g in groups]
+    start: list[tuple | None] = [None] * len(groups)
+    while any(len(own) > least for own in left):
+        open_ = [i for i, own in enumerate(left) if len(own) > least]
+        tasks = [Task(data.index(left[i]), MAIN, hinge=True, l2=1 / c, start=start[i], tol=1e-3, max_iter=max_iter) for i in open_]
+        rounds: list = [None] * len(groups)
+        for i, fit in zip(open_, solve(data, tasks)):
+            order = [left[i][k] for k in np.argsort(np.square(fit.coef), kind="stable")]
+            rounds[i] = (left[i], order, min(steps[i], len(left[i]) - least), steps[i])
+            gone = set(order[: rounds[i][2]])
+            start[i] = (*[w for f, w in zip(left[i], fit.coef) if f not in gone], fit.intercept)
+            left[i] = [f for f in left[i] if f not in gone]
+        yield rounds
+    data.release()
+
+
+def _rfe_table(df: DataFrame, spec: MatrixSpec) -> DataFrame:
+    return wide_table(df, spec, {f: col(f) for f in spec.features}, F.lit(MAIN))
+
+
 def rfe_ranks(df: DataFrame, spec: MatrixSpec, keep: int, share=RFE_SHARE, c=1.0, max_iter=100) -> list[dict]:
     """Recursive elimination with a linear SVM: rank 1 for the kept features, larger for earlier losers.
 
     Each round drops the weakest ``share`` of the original feature count (at least one).
     """
-    norms = l2_norms(df, spec)
-    base = apply_l2(df.select(*spec.keys, *spec.features), spec, norms)
-    data = kept(assembled(base, spec.features, "all_v").select(col(spec.label).cast("double").alias("y"), "all_v"))
-    n = data.count()
-    from pyspark.ml.feature import VectorSlicer
-
-    left = list(range(len(spec.features)))
-    step = max(1, int(share * len(spec.features)))
-    rounds: list[list[int]] = []
-    while len(left) > keep:
-        sliced = VectorSlicer(inputCol="all_v", outputCol="v", indices=left).transform(data)
-        model = LinearSVC(
-            featuresCol="v", labelCol="y", regParam=1.0 / (c * n), maxIter=max_iter, tol=1e-3, standardization=False
-        ).fit(sliced)
-        weight = model.coefficients.toArray() ** 2
-        order = np.argsort(weight, kind="stable")
-        drop = [left[i] for i in order[: min(step, len(left) - keep)]]
-        rounds.append(drop)
-        left = [i for i in left if i not in drop]
-    data.unpersist()
-    rank = {i: 1 for i in left}
+    rounds = [r[1][: r[2]] for (r,) in _rfe_paths(_rfe_table(df, spec), [spec.features], keep, share, c, max_iter)]
+    rank = dict.fromkeys(spec.features, 1)
     for back, drop in enumerate(reversed(rounds), start=2):
-        rank.update({i: back for i in drop})
-    return [{"feature": f, "rank": rank[i]} for i, f in enumerate(spec.features)]
+        rank.update(dict.fromkeys(drop, back))
+    return [{"feature": f, "rank": rank[f]} for f in spec.features]
+
+
+def rfe_together(
+    wide: DataFrame, groups: list[tuple[str, ...]], keeps: list[int], share=RFE_SHARE, c=1.0, max_iter=100
+) -> list[dict[int, list[str]]]:
+    """What elimination keeps of each group for every number of ``keeps``, from one run down to the least of them.
+
+    A number between two rounds drops only as many of the later round's weakest as it must, as a run that ends there would.
+    """
+    out = [{k: list(g) for k in keeps if k >= len(g)} for g in groups]
+    for rounds in _rfe_paths(wide, groups, min(keeps), share, c, max_iter):
+        for found, own in zip(out, rounds):
+            if own is not None:
+                left, order, _, step = own
+                for k in keeps:
+                    if len(left) - step <= k < len(left):
+                        gone = set(order[: len(left) - k])
+                        found[k] = [f for f in left if f not in gone]
+    return out
+
+
+def rfe_subsets(df: DataFrame, spec: MatrixSpec, keeps: list[int]) -> dict[int, list[str]]:
+    return rfe_together(_rfe_table(df, spec), [spec.features], keeps)[0]
 
 
 def quantile_bins(df: DataFrame, spec: MatrixSpec, bins=4) -> DataFrame:
@@ -219,6 +254,9 @@ SELECTORS: dict[str, Callable] = {
     "mRMR": mrmr,
     "Cluster": cluster_pick,
 }
+#: Selectors that give the features for many numbers in one run, and for many groups of columns side by side.
+NESTED: dict[str, Callable] = {"RFE": rfe_subsets}
+TOGETHER: dict[str, Callable] = {"RFE": rfe_together}
 SCORERS: dict[str, Callable] = {"ANOVA": anova_scores, "KW": kruskal_scores, "Relief": relief_scores}
 
 
