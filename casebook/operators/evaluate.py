@@ -311,23 +311,20 @@ def waterfall(preds: DataFrame, cutoff: float) -> DataFrame:
 
 
 def standardised_histogram(df: DataFrame, spec: MatrixSpec, bins=10) -> DataFrame:
-    """Histogram of each z-scored feature by label; bins cover the feature's range, as drawn."""
+    """Histogram of each z-scored feature by label; bins cover the feature's range, as drawn.
+
+    A bin does not depend on the scale, so it is taken from the raw value: no rounding of a mean or a deviation
+    moves a case that lies on a border. Features of one value only are left out.
+    """
     from casebook.operators.stats import per_feature
 
-    st = {
-        r.feature: r
-        for r in per_feature(df, spec, {"mu": F.avg, "sd": F.stddev_pop}).collect()
-    }
-    usable = [f for f in spec.features if st[f].sd]
-    z = df.select(
-        spec.label, *[((col(f) - F.lit(st[f].mu)) / F.lit(st[f].sd)).alias(f) for f in usable]
-    ).unpivot([spec.label], usable, "feature", "z")
-    ends = z.groupBy("feature", spec.label).agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
-    b = F.least(
-        F.lit(bins - 1), F.floor(over(F.col("z") - F.col("lo"), F.col("hi") - F.col("lo")) * bins)
-    )
+    st = {r.feature: r for r in per_feature(df, spec, {"lo": F.min, "hi": F.max}).collect()}
+    usable = [f for f in spec.features if st[f].lo is not None and st[f].lo < st[f].hi]
+    long = df.select(spec.label, *[col(f).cast("double").alias(f) for f in usable]).unpivot([spec.label], usable, "feature", "x")
+    ends = long.groupBy("feature", spec.label).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    b = F.least(F.lit(bins - 1), F.floor(over((F.col("x") - F.col("lo")) * bins, F.col("hi") - F.col("lo"))))
     return (
-        z.join(ends, ["feature", spec.label])
+        long.join(ends, ["feature", spec.label])
         .groupBy("feature", spec.label, F.coalesce(b, F.lit(0)).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -9,6 +9,7 @@ from casebook.operators import evaluate as e
 from casebook.queries import query
 from casebook.queries.sql import OM, PP, PR, normal_p, r
 from casebook.sources import kept_tables as t
+from casebook.sources.tables import ORDER_FEATURES
 
 G = ["model", "split"]
 
@@ -227,20 +228,16 @@ def waterfall(spark, sf):
     return rnd(e.waterfall(t.predictions(spark, sf), 0.5), G)
 
 
-_HF = ("lines", "total")
-
-
 @query(
     "standardised_histogram",
-    f"""WITH {OM}, s AS (SELECT label, """
-    + ", ".join(f"({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER () AS {f}" for f in _HF)
-    + f""" FROM om), u AS (SELECT label, feature, z FROM s UNPIVOT (z FOR feature IN ({', '.join(_HF)}))),
-b AS (SELECT label, feature, z, min(z) OVER w AS lo, max(z) OVER w AS hi FROM u WINDOW w AS (PARTITION BY feature, label))
-SELECT feature, label, coalesce(least(9, floor((z - lo) / nullif(hi - lo, 0) * 10)), 0)::INT AS bin, count(*) AS n FROM b GROUP BY 1, 2, 3""",
+    f"""WITH {OM}, u AS (SELECT label, feature, x FROM (SELECT label, {', '.join(f'{f}::DOUBLE AS {f}' for f in ORDER_FEATURES)} FROM om)
+ UNPIVOT (x FOR feature IN ({', '.join(ORDER_FEATURES)}))),
+b AS (SELECT label, feature, x, min(x) OVER w AS lo, max(x) OVER w AS hi FROM u WINDOW w AS (PARTITION BY feature, label))
+SELECT feature, label, coalesce(least(9, floor((x - lo) * 10::DOUBLE / nullif(hi - lo, 0))), 0)::INT AS bin, count(*) AS n FROM b GROUP BY 1, 2, 3""",
 )
 def standardised_histogram(spark, sf):
     df, spec = t.orders_matrix(spark, sf)
-    return e.standardised_histogram(df, spec.only(_HF))
+    return e.standardised_histogram(df, spec)
 
 
 @query(
