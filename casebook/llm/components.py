@@ -13,8 +13,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes: every node tells its larger neighbours, then its
     smaller ones, of the smallest node near it. Steps are aggregations and joins on the node, so a
-    node with very many links is summed before it is shuffled and its join partition can be split.
-    Each round is written to the shared folder.
+    node with very many links is summed before it is shuffled. The sums are written before they are joined
+    back, so both sides of the join are plain reads and a crowded node's partition can be split. Each round
+    is written to the shared folder.
     """
     links = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = written(links, "links")
@@ -35,7 +36,7 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
         sides = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         sides = links
-    least = sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = written(sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     near = sides.join(least, "a")
     if larger:
         out = near.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

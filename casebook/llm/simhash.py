@@ -85,8 +85,9 @@ def links(distinct: DataFrame, crowd: int = CROWD, block: int = BLOCK) -> DataFr
     of its links: no link between components is lost, and no crowd's pairs are written out.
     """
     indexed = distinct.select("bits", F.explode(index_keys(F.col("bits"))).alias("k")).select("bits", "k.key", "k.one")
-    shared = indexed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = written(indexed.join(shared, "key"), "simhash-index")
+    shared = written(indexed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-keys")
+    # An exploded table looks as small as what it was exploded from: without the hint it would be broadcast.
+    met = written(indexed.hint("merge").join(shared, "key"), "simhash-index")
     left, right = (met.filter(F.col("n") <= crowd).alias(x) for x in "lr")
     one = (F.col("l.one") == 0) & (F.col("r.one") == 1) | (F.col("l.one") == -1) & (F.col("r.one") == -1) & (F.col("l.bits") < F.col("r.bits"))
     near = F.bit_count(F.col("l.bits").bitwiseXOR(F.col("r.bits"))) <= DISTANCE
