@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,10 +76,13 @@ def close_gaps(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> list[tuple
     out, low, high = [], 0, len(order) - 1
     room = capacity - fill
     moved = set()
+    left_room = sum(int(room[b]) for b in order)
     while low < high:
         source = order[low]
-        if fill[source] > sum(int(room[b]) for b in order[low + 1 :]):
+        left_room -= int(room[source])  # the room of the bins behind the source
+        if fill[source] > left_room:
             break
+        left_room -= int(fill[source])
         for item in held[source]:
             at, left = 0, int(sizes[item])
             while left:
@@ -95,14 +99,24 @@ def close_gaps(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> list[tuple
     return out
 
 
-def token_pieces(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: int) -> DataFrame:
-    """Rows of at most ``capacity`` ids: each document's ids and the end id, cut from its start."""
+def token_pieces(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: int, groups: int) -> DataFrame:
+    """Rows of at most ``capacity`` ids: each document's ids and the end id, cut from its start, with a group.
+
+    The group is a hash of the row, its task, and how many equal rows the task met before: equal rows spread over
+    the groups, and a task that runs again deals them as before (whole numbers hash alike in every process).
+    """
     vocabulary = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(vocabulary.value)
+        task, seen = TaskContext.get().partitionId(), {}
         for rows, texts in in_slices(batches):
             ids = [np.append(x, np.uint32(end_id)).astype("<u4") for x in code.encode(texts)]
+            part_of = []
+            for h in rows.column("row").to_pylist():
+                seen[h] = seen.get(h, -1) + 1
+                part_of.append(hash((h, task, seen[h])) % groups)
+            part_of = pa.array(part_of, pa.int64())
             cuts = [(row, at) for row, own in enumerate(ids) for at in range(0, len(own), capacity)]
             for i in range(0, len(cuts), PIECES_A_BATCH):
                 part = cuts[i : i + PIECES_A_BATCH]
@@ -115,7 +129,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: in
                     [at for _, at in part],
                     [len(x) for x in own],
                     total,
-                    rows.column("part").take(row),
+                    part_of.take(row),
                     [x.tobytes() for x in own],
                 )
 
@@ -131,8 +145,8 @@ def pack(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: int = 1024
     unique over all groups, and offsets in a sequence run from 0 without gaps.
     """
     groups = max(1, -(-docs.count() // docs_a_group))
-    part = F.pmod(F.xxhash64(F.lit("group"), "doc_id", F.xxhash64("text")), F.lit(groups))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("part", part)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    rows = rows.withColumn("row", F.xxhash64(F.lit("group"), "doc_id", "text"))
 
     def placed(key: tuple[pa.Scalar, ...], pieces: pa.Table) -> pa.Table:
         pieces = pieces.sort_by([("doc_id", "ascending"), ("start", "ascending")])
@@ -163,4 +177,4 @@ def pack(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: int = 1024
             names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
         )
 
-    return token_pieces(rows, tokenizer_json, end_id, capacity).groupBy("part").applyInArrow(placed, PACKED)
+    return token_pieces(rows, tokenizer_json, end_id, capacity, groups).groupBy("part").applyInArrow(placed, PACKED)
