@@ -199,7 +199,9 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
         own.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for toxic, most in ((1, toxic_rows), (0, clean_rows))
     ]
     sample = F.broadcast(picked[0].union(picked[1]))  # at most toxic_rows + clean_rows rows of two numbers
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(sample, "doc_id").select("toxic", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(sample, "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("one")  # however many rows share an id
+    texts = texts.groupBy("doc_id").agg(one).select("one.toxic", "one.text")
     schema = pa.schema([("toxic", pa.int32()), ("terms", pa.list_(pa.int32()))])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
