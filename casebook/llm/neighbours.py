@@ -215,13 +215,16 @@ def search(
     index = written(rows.mapInArrow(descend, "vec_id long, vector array<double>, asks boolean, leaf long"), "ann-index")
     asked = index.filter("asks").select(F.col("vec_id").alias("query_id"), "vector")
     visits = calibrated(index, asked, tree, k, recall, calibration)
+    crowds = np.zeros(tree.leaves, np.int64)  # vectors of each leaf: as many numbers as leaves, of which the sample bounds the number
+    for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect():
+        crowds[r["leaf"]] = r["n"]
     wanted = pa.schema([("query_id", pa.int64()), ("vector", pa.list_(pa.float64())), ("leaf", pa.int64())])
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 64):
                 part = batch.slice(begin, 64)
-                opened = [sent.value.visits(q, visits) for q in _matrix(part.column("vector"))]
+                opened = [_enough(sent.value, q, visits, crowds, k) for q in _matrix(part.column("vector"))]
                 own = pa.array(np.repeat(np.arange(len(opened)), [len(x) for x in opened]), pa.int64())
                 leaves = np.concatenate([np.array(x, np.int64) for x in opened])
                 yield record(wanted, part.column("query_id").take(own), part.column("vector").take(own), leaves)
@@ -252,6 +255,15 @@ def search(
     return ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _enough(tree: Tree, query: np.ndarray, visits: int, crowds: np.ndarray, k: int) -> list[int]:
+    """The leaves that a query opens: ``visits`` of them, and on until they hold more than k vectors."""
+    leaves = tree.visits(query, visits)
+    while crowds[leaves].sum() <= k and len(leaves) < tree.leaves:
+        visits = min(tree.leaves, 2 * visits)
+        leaves = tree.visits(query, visits)
+    return leaves
+
+
 def calibrated(index: DataFrame, asked: DataFrame, tree: Tree, k: int, recall: float, calibration: int) -> int:
     """The number of leaves to visit so that the calibration queries find ``recall`` of their exact neighbours."""
     chosen = asked.orderBy(F.xxhash64(F.lit("calibration"), "query_id"), "query_id").limit(calibration).toArrow()
