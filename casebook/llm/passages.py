@@ -33,9 +33,11 @@ WIDTH = SPAN - GRAM + 1
 #: Bytes of a slice, of a block of it, and of a bucket file; grams or contexts that meet in one task; symbols sorted at once.
 SLICE, BLOCK, FILE = 4_000_000, 1 << 17, 64_000_000
 GRAMS, CONTEXTS, SYMBOLS = 4_000_000, 100_000, 200_000
-#: A gram of more slices, or of more different contexts in one slice, is not left to one task.
-SLICES, CROWD = 1024, 64
+#: A gram of more contexts (each slice's different ones, summed) is not left to one task.
+CROWD = 20_000
 NO_ID = 2**63 - 1
+#: Bytes left and right of the gram, of which every string has those of one pair at least.
+SIDES = ((0, 19), (7, 13), (13, 7), (19, 0))
 
 _MASK = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15
@@ -63,6 +65,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """(gram hash, context hash, text, first byte, anchor, end) of all contexts of the texts that end at ``ends`` in ``data``."""
     values, powers, inverse = _powers()
     found: list[tuple[np.ndarray, ...]] = []
+    owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
     for at in range(0, max(0, len(data) - SPAN + 1), BLOCK):
         part = data[at : at + BLOCK + SPAN - 1]
         n = len(part)
@@ -77,10 +80,9 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         rest = WIDTH - width
         least = np.minimum(least[: len(least) - rest], least[rest:])
         place = (least & _MASK).astype(np.int64)
-        start = np.arange(len(place))
-        text = np.searchsorted(ends, start + at, side="right")
-        whole = start + at + SPAN <= ends[text]
-        place, start, text = place[whole], start[whole], text[whole]
+        text = owner[at : at + len(place)]
+        start = np.flatnonzero(text == owner[at + SPAN - 1 : at + SPAN - 1 + len(place)])
+        place, text = place[start], text[start]
         if not len(place):
             continue
         new = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (text[1:] != text[:-1]))))
@@ -111,7 +113,12 @@ class Slice:
         self.data = np.frombuffer(b"".join(text[s] for s in self.shas), np.uint8)
         self.gram, context, self.text, self.low, self.place, self.high = anchors(self.data, self.ends)
         own = self.firsts[self.text]
-        order = np.lexsort((own, context, self.gram))
+        order = np.argsort(self.gram)
+        gram = self.gram[order]
+        same = gram[1:] == gram[:-1]
+        again = np.flatnonzero(np.concatenate(([False], same)) | np.concatenate((same, [False])))[: len(order)]
+        tied = order[again]
+        order[again] = tied[np.lexsort((own[tied], context[tied], gram[again]))]
         gram, context, own = self.gram[order], context[order], own[order]
         new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])))[: len(order)]
         starts = np.flatnonzero(new)
@@ -122,14 +129,13 @@ class Slice:
         self.kind = np.empty(len(order), np.int64)
         self.kind[order] = np.cumsum(new) - 1
 
-    def gram_table(self, crowd: int = CROWD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(gram, in several texts, crowded, first kind) of the distinct grams, in order."""
+    def gram_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(gram, in several texts, contexts, first kind) of the distinct grams, in order."""
         starts = np.flatnonzero(np.concatenate(([True], self.kinds[1:] != self.kinds[:-1]))[: len(self.kinds)])
         if not len(starts):
-            return self.kinds, np.zeros(0, bool), np.zeros(0, bool), starts
+            return self.kinds, np.zeros(0, bool), starts, starts
         several = np.minimum.reduceat(self.least, starts) < np.maximum.reduceat(self.greatest, starts)
-        crowded = np.diff(np.append(starts, len(self.kinds))) > crowd
-        return self.kinds[starts], several, crowded, starts
+        return self.kinds[starts], several, np.diff(np.append(starts, len(self.kinds))), starts
 
 
 def _low5(grams: np.ndarray) -> bytes:
@@ -178,34 +184,35 @@ def _distinct_texts(documents: DataFrame, slices: int, files: int) -> DataFrame:
     return spark.table(name)
 
 
-def _shared_grams(texts: DataFrame, buckets: int, slices: int, crowd: int) -> DataFrame:
+def _shared_grams(texts: DataFrame, buckets: int, crowd: int) -> DataFrame:
     """(slice, bucket, shared, hot, n, n_hot): bits for the slice's grams of a bucket, in order, and how many are set."""
-    sent = "bucket long, slice long, grams binary, several binary, crowded binary"
+    sent = pa.schema([("bucket", pa.int64()), ("slice", pa.int64())] + [(c, pa.binary()) for c in ("grams", "several", "more", "contexts")])
 
     def sends(rows: pa.Table) -> pa.Table:
-        grams, several, crowded, _ = Slice(rows).gram_table(crowd)
+        grams, several, contexts, _ = Slice(rows).gram_table()
         home = _home(grams, buckets)
         own = rows.column("slice")[0].as_py()
         out = []
         for b in np.unique(home).tolist():
             mine = home == b
-            out.append((b, own, _low5(grams[mine]), np.packbits(several[mine]).tobytes(), np.packbits(crowded[mine]).tobytes()))
-        schema = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("grams", pa.binary()), ("several", pa.binary()), ("crowded", pa.binary())])
-        return pa.Table.from_batches([record(schema, *(zip(*out) if out else [[]] * 5))])
+            counts = contexts[mine]
+            more = np.flatnonzero(counts > 1).astype(np.int32)
+            out.append((b, own, _low5(grams[mine]), np.packbits(several[mine]).tobytes(), more.tobytes(), counts[more].astype(np.int32).tobytes()))
+        return pa.Table.from_batches([record(sent, *(zip(*out) if out else [[]] * len(sent)))])
 
     def meets(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         cells = rows.to_pylist()
         lists = [_from5(c["grams"]) for c in cells]
-        sizes = [len(x) for x in lists]
         grams, which = np.unique(np.concatenate(lists), return_inverse=True)
-        several, crowded = (
-            np.concatenate([np.unpackbits(np.frombuffer(c[name], np.uint8), count=n) for c, n in zip(cells, sizes)]) for name in ("several", "crowded")
-        )
-        holders = np.bincount(which, minlength=len(grams))
-        shared = (holders > 1) | (np.bincount(which, several, len(grams)) > 0)
-        hot = shared & ((holders > slices) | (np.bincount(which, crowded, len(grams)) > 0))
-        bounds = np.cumsum([0, *sizes])
+        bounds = np.cumsum([0, *[len(x) for x in lists]])
         parts = [which[a:b] for a, b in zip(bounds, bounds[1:])]
+        holders = np.bincount(which, minlength=len(grams))
+        contexts, several = holders.copy(), np.zeros(len(grams), bool)
+        for c, part in zip(cells, parts):
+            several[part[np.unpackbits(np.frombuffer(c["several"], np.uint8), count=len(part)).astype(bool)]] = True
+            contexts[part[np.frombuffer(c["more"], np.int32)]] += np.frombuffer(c["contexts"], np.int32) - 1
+        shared = (holders > 1) | several
+        hot = shared & (contexts > crowd)
         columns = [
             [c["slice"] for c in cells],
             [key[0].as_py()] * len(cells),
@@ -217,7 +224,7 @@ def _shared_grams(texts: DataFrame, buckets: int, slices: int, crowd: int) -> Da
         types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["slice", "bucket", "shared", "hot", "n", "n_hot"])
 
-    messages = texts.groupBy("slice").applyInArrow(sends, sent)
+    messages = texts.groupBy("slice").applyInArrow(sends, "bucket long, slice long, grams binary, several binary, more binary, contexts binary")
     answers = messages.groupBy("bucket").applyInArrow(meets, "slice long, bucket long, shared binary, hot binary, n long, n_hot long")
     return written(answers, "passage-grams")
 
@@ -301,6 +308,25 @@ def least_ids(contexts: list[tuple[int, bytes, bytes]], least: np.ndarray) -> li
     return np.split(out, np.cumsum(widths)[:-1])
 
 
+def _alike(texts: list[tuple[int, bytes, bytes]], contexts: list[int]) -> list[int]:
+    """Those of one gram's contexts that may hold a string of another one.
+
+    A string has at least 19 bytes on one side of its gram, or 13 on one and 7 on the other, so two contexts
+    with a string in common agree in one of four such pairs of sides.
+    """
+    if len(contexts) < 2:
+        return []
+    seen: dict[tuple[int, bytes, bytes], int] = {}
+    keys = []
+    for i in contexts:
+        _, left, right = texts[i]
+        own = [(a, left[len(left) - a :], right[:b]) for a, b in SIDES if len(left) >= a and len(right) >= b]
+        keys.append(own)
+        for k in own:
+            seen[k] = seen.get(k, 0) + 1
+    return [i for i, own in zip(contexts, keys) if any(seen[k] > 1 for k in own)]
+
+
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
     cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
     for a, b in zip(cuts, cuts[1:]):
@@ -337,9 +363,9 @@ def _sorted_contexts(contexts: DataFrame) -> DataFrame:
                 for i, found in zip(batch, least_ids([texts[i] for i in batch], np.array([ids[i] for i in batch]))):
                     answers[i] = found
                 batch, size = [], 0
-            if contexts and len(contexts) > 1:
-                batch += contexts
-                size += sum(len(texts[i][1]) + len(texts[i][2]) + 2 for i in contexts)
+            near = _alike(texts, contexts or [])
+            batch += near
+            size += sum(len(texts[i][1]) + len(texts[i][2]) + 2 for i in near)
         out: dict[int, list[tuple[int, int, int, int]]] = {}
         for home, kind, i, own in members:
             found = answers[i]
@@ -429,7 +455,7 @@ def _removed(texts: DataFrame, runs: DataFrame) -> DataFrame:
     return texts.groupBy("slice").cogroup(runs.groupBy("slice")).applyInArrow(removes, shape)
 
 
-def without_passages(documents: DataFrame, slices: int = SLICES, crowd: int = CROWD) -> DataFrame:
+def without_passages(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row's whole text in UTF-8.
 
     A byte goes if it lies in a string of ``SPAN`` bytes that also starts in a text with a smaller doc_id; strings
@@ -437,8 +463,7 @@ def without_passages(documents: DataFrame, slices: int = SLICES, crowd: int = CR
     doc_id, or have none, remove nothing from each other. Null texts count as empty; texts of fewer than
     ``SPAN`` bytes stay whole. Repeated rows get a row each. An empty table gives no row. Other columns are
     ignored, whatever their names. Strings count as equal if all but the 25 bytes of their anchor are equal and
-    those agree in a hash of 64 bits. Grams of more than ``slices`` slices, or of more than ``crowd`` different
-    contexts in one, are compared string by string.
+    those agree in a hash of 64 bits. Grams of more than ``crowd`` contexts are compared string by string.
     """
     text = whole_text()
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
@@ -449,7 +474,7 @@ def without_passages(documents: DataFrame, slices: int = SLICES, crowd: int = CR
     files = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE))
     texts = _distinct_texts(docs, max(1, -(-total // SLICE)), files)
     buckets = max(1, -(-total * 2 // ((WIDTH + 1) * GRAMS)))
-    answers = _shared_grams(texts, buckets, slices, crowd)
+    answers = _shared_grams(texts, buckets, crowd)
     shared, hot = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_hot"), F.lit(0))).first()
     known = answers.select("slice", "bucket", "shared", "hot")
     runs = _sorted_contexts(_contexts(texts, known, buckets, max(1, -(-shared // CONTEXTS))))

@@ -80,7 +80,7 @@ def test_odd_repeated_and_null_rows(spark):
     check(short)
 
 
-@pytest.mark.parametrize("crowd", [64, 1, 0])
+@pytest.mark.parametrize("crowd", [20_000, 3, 0])
 def test_many_slices_buckets_and_hot_grams(spark, monkeypatch, crowd):
     """Slices of a few texts and several sorting tasks; some or all grams too frequent for one task."""
     monkeypatch.setattr(passages, "SLICE", 3000)
@@ -106,3 +106,8 @@ def test_blocks_cut_anchors_alike():
 def test_shared_table(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     check(docs)
+
+
+def test_sides_cover_every_string():
+    """Any split of the 25 bytes beside a gram has the sides of one pair."""
+    assert all(any(a <= left and b <= 25 - left for a, b in passages.SIDES) for left in range(26))
