@@ -205,19 +205,20 @@ def mrmr(df: DataFrame, spec: MatrixSpec, k: int, bins=4) -> list[str]:
     return chosen
 
 
-def cluster_pick(df: DataFrame, spec: MatrixSpec, k: int) -> list[str]:
-    """One feature per feature cluster: the one that correlates most with the event."""
+def cluster_subsets(df: DataFrame, spec: MatrixSpec, keeps: list[int]) -> dict[int, list[str]]:
+    """One feature per feature cluster for every number of clusters: the one that correlates most with the event."""
     g = feature_gram(df, spec, with_label=True)
     r = np.abs(np.nan_to_num(g.corr[:-1, -1]))
-    if k == 1:
-        return [spec.features[int(r.argmax())]]
-    labels = cluster_features(g.sub(spec.features), k)
-    out = []
-    for c in range(int(labels.max()) + 1):
-        m = np.flatnonzero(labels == c)
-        if len(m):
-            out.append(spec.features[m[r[m].argmax()]])
-    return out
+    found = {}
+    for k in keeps:
+        labels = cluster_features(g.sub(spec.features), k) if k > 1 else np.zeros(len(r), dtype=int)
+        own = [np.flatnonzero(labels == c) for c in range(int(labels.max()) + 1)]
+        found[k] = [spec.features[m[r[m].argmax()]] for m in own if len(m)]
+    return found
+
+
+def cluster_pick(df: DataFrame, spec: MatrixSpec, k: int) -> list[str]:
+    return cluster_subsets(df, spec, [k])[k]
 
 
 def ranked(scores: DataFrame, spec: MatrixSpec, ascending=False) -> DataFrame:
@@ -255,7 +256,7 @@ SELECTORS: dict[str, Callable] = {
     "Cluster": cluster_pick,
 }
 #: Selectors that give the features for many numbers in one run, and for many groups of columns side by side.
-NESTED: dict[str, Callable] = {"RFE": rfe_subsets}
+NESTED: dict[str, Callable] = {"RFE": rfe_subsets, "Cluster": cluster_subsets}
 TOGETHER: dict[str, Callable] = {"RFE": rfe_together}
 SCORERS: dict[str, Callable] = {"ANOVA": anova_scores, "KW": kruskal_scores, "Relief": relief_scores}
 
