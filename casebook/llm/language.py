@@ -10,6 +10,7 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -63,60 +64,93 @@ def profiles(docs: DataFrame, size: int = PROFILE) -> pd.DataFrame:
     return counts.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < size).select("lang", "gram", "rank").toPandas()
 
 
+def _code(gram: str) -> int:
+    """A number that orders n-grams as text does."""
+    return sum(ord(c) << 21 * (LONGEST - 1 - i) for i, c in enumerate(gram))
+
+
 class Identifier:
-    """Compares texts with profiles. Only n-grams of a profile are ranked: all others count alike for every language."""
+    """Ranks all n-grams of a text, those of no profile included, and compares the ranks with each profile.
+
+    n-grams are numbered as they are met, those of a profile first; words and numbers are forgotten when there are
+    more than ``most``, which changes no result.
+    """
 
-    def __init__(self, table: pd.DataFrame, size: int = PROFILE, most: int = 300_000):
-        self.size, self.most = size, most
+    def __init__(self, table: pd.DataFrame, size: int = PROFILE, most: int = 300_000, most_grams: int = 60_000):
+        self.size, self.most, self.most_grams = size, most, most_grams
         self.langs = sorted(table["lang"].unique())
-        self.place = {g: i for i, g in enumerate(sorted(table["gram"].unique()))}
-        self.ranks = np.full((len(self.langs), len(self.place)), -1, np.int64)
+        self.profiled = sorted(table["gram"].unique())
+        self._forget()
+        self.ranks = np.full((len(self.langs), len(self.profiled)), -1, np.int64)
         at = [self.langs.index(x) for x in table["lang"]], [self.place[g] for g in table["gram"]]
         self.ranks[at] = table["rank"].to_numpy()
-        self.known: dict[str, bytes] = {}  # places of a word's n-grams, four bytes each
 
-    def _places(self, words: list[str]) -> list[bytes]:
+    def _forget(self) -> None:
+        self.place = {g: i for i, g in enumerate(self.profiled)}
+        self.codes = np.array([_code(g) for g in self.profiled], np.int64)
+        self.known: dict[str, bytes] = {}  # numbers of a word's n-grams, four bytes each
+
+    def _numbered(self, words: list[str]) -> list[bytes]:
         found = list(map(self.known.get, words))
         if None in found:
-            if len(self.known) + len(words) > self.most:
-                self.known = {}
-            place = self.place.get
+            if len(self.known) + len(words) > self.most or len(self.place) > self.most_grams + len(self.profiled):
+                self._forget()
+                found = [None] * len(words)
+            place, before = self.place, len(self.place)
             for i, word in enumerate(words):
                 if found[i] is None:
-                    own = [p for p in map(place, grams(word)) if p is not None]
-                    found[i] = self.known[word] = array("i", own).tobytes()
+                    found[i] = self.known[word] = array("i", [place.setdefault(g, len(place)) for g in grams(word)]).tobytes()
+            if len(place) > before:
+                new = [_code(g) for g in islice(place, before, None)]
+                self.codes = np.concatenate([self.codes, np.array(new, np.int64)])
         return found
 
-    def __call__(self, text: str) -> tuple[str, float]:
-        """(language, score); the score is how much smaller the best distance is than the next, as a share of it."""
+    def _ranked(self, words: Counter) -> np.ndarray:
+        """Numbers of the most frequent n-grams in order; ties go to the smaller n-gram."""
+        cells = self._numbered(list(words))
+        sizes = np.fromiter(map(len, cells), np.int64, len(cells)) // 4
+        each = np.repeat(np.fromiter(words.values(), np.float64, len(words)), sizes)
+        counts = np.bincount(np.frombuffer(b"".join(cells), np.int32), weights=each)
+        present = np.flatnonzero(counts)
+        n = counts[present]
+        if len(n) > self.size:
+            often = n >= np.partition(n, len(n) - self.size)[len(n) - self.size]
+            present, n = present[often], n[often]
+        return present[np.lexsort((self.codes[present], -n))[: self.size]]
+
+    def __call__(self, text: str) -> tuple[str, float, float]:
+        """(language, score, distance).
+
+        The score is how much smaller the best distance is than the next, as a share of it; the distance is a share
+        of the largest possible one, so 1 says that no n-gram of the text is in the profile.
+        """
         words = Counter(LETTERS.findall(text.lower()))
         if not words or not self.langs:
-            return UNDETERMINED, 0.0
-        places = self._places(list(words))
-        sizes = np.fromiter(map(len, places), np.int64, len(places)) // 4
-        each = np.repeat(np.fromiter(words.values(), np.float64, len(words)), sizes)
-        counts = np.bincount(np.frombuffer(b"".join(places), np.int32), weights=each, minlength=len(self.place))
-        top = np.argsort(-counts, kind="stable")[: self.size]
-        top = top[counts[top] > 0]
-        own = self.ranks[:, top]
-        apart = np.where(own < 0, self.size, np.abs(own - np.arange(len(top)))).sum(axis=1)
+            return UNDETERMINED, 0.0, 1.0
+        top = self._ranked(words)
+        at = np.flatnonzero(top < len(self.profiled))
+        own = self.ranks[:, top[at]]
+        # an n-gram that a profile lacks is as far out of place as can be
+        apart = np.where(own < 0, self.size, np.abs(own - at)).sum(axis=1) + self.size * (len(top) - len(at))
         order = np.argsort(apart, kind="stable")
         best = int(apart[order[0]])
+        share = best / (self.size * len(top))
         if len(order) == 1:
-            return self.langs[order[0]], 1.0 - best / max(1, self.size * len(top)) if len(top) else 0.0
+            return self.langs[order[0]], 1.0 - share, share
         following = int(apart[order[1]])
-        return self.langs[order[0]], (following - best) / following if following else 0.0
+        return self.langs[order[0]], (following - best) / following if following else 0.0, share
 
 
 def identified(table: pd.DataFrame, spark, text: Column) -> Column:
-    """Struct (lang_pred, score) of a text column, null counting as empty."""
+    """Struct (lang_pred, score, distance) of a text column, null counting as empty."""
     sent = spark.sparkContext.broadcast(table)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, distance double")
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Identifier(sent.value)
         for texts in batches:
-            yield pd.DataFrame([own(t) for t in texts], columns=["lang_pred", "score"]).astype({"lang_pred": "object", "score": "float64"})
+            columns = {"lang_pred": "object", "score": "float64", "distance": "float64"}
+            yield pd.DataFrame([own(t) for t in texts], columns=list(columns)).astype(columns)
 
     return identify(whole_text(text))
 

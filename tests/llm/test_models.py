@@ -1,6 +1,7 @@
 """Neighbours, classifiers and the pipeline: brute force and held-out quality."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,12 +148,53 @@ def test_language_of_odd_texts(spark):
 
 
 def test_out_of_place_distance_by_hand():
-    import pandas as pd
-
     profile = pd.DataFrame({"lang": ["x"] * 3 + ["y"] * 3, "gram": ["a", "b", "c", "c", "b", "d"], "rank": [0, 1, 2] * 2})
     own = language.Identifier(profile, size=3)
-    # a, b and c in this order: x differs by 0, y by 3 (no a), 0 and 2
-    assert own("aaa bb c") == ("x", 1.0)
+    # a (3 times), aa, b (twice, in text order): x differs by 0, 3 (no aa) and 1, y by 3, 3 and 1
+    assert own("aaa bb c") == ("x", 3 / 7, 4 / 9)
+    assert own("zz")[2] == 1.0 and own("1_2") == ("und", 0.0, 1.0)
+
+
+def plain_language(ranks, text, size):
+    """The out-of-place rule over every n-gram of a text, in plain Python."""
+    n = {}
+    for word in language.LETTERS.findall((text or "").lower()):
+        for gram in language.grams(word):
+            n[gram] = n.get(gram, 0) + 1
+    if not n:
+        return "und", None
+    top = sorted(n, key=lambda g: (-n[g], g))[:size]
+    apart = {x: sum(abs(own[g] - i) if g in own else size for i, g in enumerate(top)) for x, own in ranks.items()}
+    found = min(sorted(apart), key=apart.get)
+    return found, apart[found] / (size * len(top))
+
+
+def test_language_equals_the_plain_rule(spark):
+    docs = corpus.mixed(spark).select("doc_id", "text").withColumn("lang", F.element_at(F.array(*map(F.lit, "xyz")), F.length(F.coalesce("text", F.lit(""))) % 3 + 1))
+    docs = docs.unionByName(table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang"))
+    learned = language.profiles(docs)
+    ranks = {x: dict(zip(own.gram, own["rank"])) for x, own in learned.groupby("lang")}
+    assert len(ranks) >= 6
+    forgetful = language.Identifier(learned, most=50, most_grams=20)
+    noisy = ["der cat est la", "xx yy 漢字 漢字", "𐐷𐐷 a\u0301", "qzx " * 9]
+    texts = [r.text for r in docs.select("text").collect()] + noisy
+    whole = language.Identifier(learned)
+    for text in texts:
+        lang, _, distance = whole(text or "")
+        plain = plain_language(ranks, text, language.PROFILE)
+        assert lang == plain[0] and plain[1] in (None, distance)
+        assert forgetful(text or "") == whole(text or "")
+    rows = language.languages(docs).collect()
+    assert sorted(r.lang_pred for r in rows) == sorted(plain_language(ranks, t, language.PROFILE)[0] for t in texts[: -len(noisy)])
+
+
+def test_language_stage_keeps_what_no_profile_can_judge(spark):
+    lines = [("the cat and the dog", "en"), ("漢字", None), (None, "en"), ("12 !", None)]
+    docs = spark.createDataFrame([(3 * i, t, x, 0) for i, (t, x) in enumerate(lines)], "doc_id long, text string, lang string, distance int")
+    stage = dict(corpus_pipeline.STAGES)["language"]
+    assert [r.doc_id for r in stage(spark, docs, ROOT).collect()] == [0]
+    unlearned = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in stage(spark, unlearned, ROOT).collect()} == {0, 3}
 
 
 def test_pipeline_stages_by_brute_force(spark):
@@ -170,7 +212,10 @@ def test_pipeline_stages_by_brute_force(spark):
             clean = [r.doc_id for r in rows if labels.get(r.doc_id) == 0]
             assert np.mean([i in kept for i in clean]) >= 0.97
         if name == "language":
-            assert kept == {r.doc_id for r in rows if any(c.isalpha() for c in r.text or "")}
+            learned = language.profiles(before)
+            ranks = {x: dict(zip(own.gram, own["rank"])) for x, own in learned.groupby("lang")}
+            plain = {r.doc_id: plain_language(ranks, r.text, language.PROFILE) for r in rows}
+            assert kept == {i for i, (x, far) in plain.items() if x != "und" and far < 1}
         if name == "exact_dedup":
             assert kept == {k[0] for k in brute_exact(rows) if k[3]}
         if name == "near_dedup":
