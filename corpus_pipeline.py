@@ -22,9 +22,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null texts and texts without a letter go."""
-    found = language.identified(language.profiles(docs), spark, F.col("text"))
-    return docs.filter(found["lang_pred"] != language.UNDETERMINED)
+    """Documents in a language of the corpus: texts without a letter go, and texts that share no ranked n-gram with the
+    nearest profile. If no profile could be learned, only texts without a letter go."""
+    learned = language.profiles(docs)
+    if not len(learned):
+        return docs.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    found = language.identified(learned, spark, F.col("text"))
+    return docs.filter((found["lang_pred"] != language.UNDETERMINED) & (found["distance"] < 1))
 
 
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
