@@ -1,9 +1,9 @@
 """Binary classifiers over a matrix, many of them fitted in shared passes.
 
 ``fit_many`` fits any number of requests (classifier, columns, rows, options) on one packed table: linear models
-by ``batch_linear``, trees by ``batch_trees``, discriminant and Bayes models from class moments. A single fit is a
-batch of one. Linear models and Gaussian Bayes become plain column expressions, so their scores run inside code
-generation and on streams; the network scores through its Spark ML transformer.
+by ``batch_linear``, trees by ``batch_trees``, networks by ``batch_networks``, discriminant and Bayes models from class
+moments. A single fit is a batch of one. Linear models and Gaussian Bayes become plain column expressions, so their
+scores run inside code generation and on streams; trees and networks score Arrow batches.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Model
-from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 
 from casebook.functions.exprs import assembled, col, sum_of
 from casebook.operators.batch_linear import Fit, Task, solve
+from casebook.operators.batch_networks import NetTask, activations, train
 from casebook.operators.batch_trees import Binned, Tree, TreeTask, binned, boosted, trees
 from casebook.operators.blocks import ALL, MAIN, Block, Blocks, table_blocks
 from casebook.operators.normalize import state_table
@@ -47,6 +47,16 @@ def sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
+def _chance_by_batch(model) -> Column:
+    """The scores of a model that works on arrays of cases."""
+
+    @F.pandas_udf("double")
+    def chance(x: pd.Series) -> pd.Series:
+        return pd.Series(model.chance(np.stack(x.to_numpy()).astype(float)) if len(x) else np.zeros(0))
+
+    return chance(F.array(*[col(f).cast("double") for f in model.features]))
+
+
 @dataclass(frozen=True)
 class LinearScore:
     """Probability = sigmoid(scale * (intercept + coef . x) + shift)."""
@@ -144,13 +154,24 @@ class ForestScore:
         return total / len(self.trees)
 
     def predict(self, df: DataFrame, out="pred") -> DataFrame:
-        model = self
+        return df.withColumn(out, _chance_by_batch(self))
+
+
+@dataclass(frozen=True)
+class NetworkScore:
+    """A feed-forward network with rectified units; ``sizes`` has the width of every layer, input and output included."""
+
+    name: str
+    features: tuple[str, ...]
+    weights: tuple[float, ...]
+    sizes: tuple[int, ...]
+    converged: bool = True
 
-        @F.pandas_udf("double")
-        def chance(x: pd.Series) -> pd.Series:
-            return pd.Series(model.chance(np.stack(x.to_numpy()).astype(float)) if len(x) else np.zeros(0))
+    def chance(self, x: np.ndarray) -> np.ndarray:
+        return logistic_map(activations(np.array(self.weights), tuple(self.sizes), x)[-1][:, 0])
 
-        return df.withColumn(out, chance(F.array(*[col(f).cast("double") for f in self.features])))
+    def predict(self, df: DataFrame, out="pred") -> DataFrame:
+        return df.withColumn(out, _chance_by_batch(self))
 
 
 @dataclass(frozen=True)
@@ -328,12 +349,9 @@ def ada_boost(df: DataFrame, spec: MatrixSpec, rounds=50) -> BoostScore:
     return _single("AB", df, spec, rounds=rounds)
 
 
-def perceptron(df, spec, hidden=(100,), max_iter=100) -> TransformerScore:
-    data = _training(df, spec)
-    layers = [len(spec.features), *hidden, 2]
-    model = MultilayerPerceptronClassifier(featuresCol="_v", labelCol="y", layers=layers, maxIter=max_iter, seed=0).fit(data)
-    data.unpersist()
-    return TransformerScore("AE", spec.features, model)
+def perceptron(df, spec, hidden=(100,), alpha=1e-4, rate=1e-3, max_iter=200) -> NetworkScore:
+    """A network of rectified units, fitted by Adam in mini-batches until its loss falls no more."""
+    return _single("AE", df, spec, hidden=tuple(hidden), alpha=alpha, rate=rate, max_iter=max_iter)
 
 
 # ---------------------------------------------------------------- many models at once
@@ -355,7 +373,7 @@ class Request:
 
 
 #: Classifiers that ``fit_many`` knows.
-BATCHED = ("LR", "LRLasso", "SVM", "LDA", "NB", "DT", "RF", "AB")
+BATCHED = ("LR", "LRLasso", "SVM", "LDA", "NB", "DT", "RF", "AB", "AE")
 
 
 def fit_many(blocks: Blocks, requests: list[Request]) -> list:
@@ -381,9 +399,24 @@ def fit_many(blocks: Blocks, requests: list[Request]) -> list:
         for i, model in _forests(data, [t for t in trees_ if t[1].classifier != "AB"]) + _boosts(data, [t for t in trees_ if t[1].classifier == "AB"]):
             out[i] = model
         data.release()
+    nets = own("AE")
+    if nets:
+        for (i, _, _), model in zip(nets, _networks(blocks, nets)):
+            out[i] = model
     return out
 
 
+def _networks(blocks: Blocks, wanted) -> list[NetworkScore]:
+    tasks = []
+    for _, r, options in wanted:
+        plain = {k: v for k, v in options.items() if k in ("hidden", "alpha", "rate")}
+        tasks.append(NetTask(blocks.index(r.columns), r.rows, epochs=options.get("max_iter", 200), **plain))
+    return [
+        NetworkScore(r.classifier, r.features, fit.weights, fit.sizes, fit.converged)
+        for (_, r, _), fit in zip(wanted, train(blocks, tasks))
+    ]
+
+
 def _linear(blocks: Blocks, wanted) -> list[LinearScore]:
     first, calibrating = [], []
     for _, r, options in wanted:
@@ -554,7 +587,7 @@ GRIDS: dict[str, list[dict]] = {
     "NB": [{}],
     "DT": [{"criterion": ["gini", "entropy"], "max_features": [None, "sqrt", "log2"]}],
     "RF": [{"trees": [10, 50, 100], "criterion": ["gini", "entropy"]}],
-    "AE": [{"hidden": [(30,), (100,)]}],
+    "AE": [{"hidden": [(30,), (100,)], "alpha": [0.0001, 0.001], "rate": [0.001, 0.01]}],
     "AB": [{"rounds": [10, 50, 100]}],
 }
 

@@ -186,6 +186,29 @@ def grid_search(spark, sf):
     return normalize.state_table(spark, rows)
 
 
+@query("network_grid_search")
+def network_grid_search(spark, sf):
+    """All options of the network by fold accuracy on the labelled documents, fitted together."""
+    df, spec = t.docs_matrix(spark, sf)
+    scaled = normalize.apply_normalizer(spec.project(df), spec, normalize.fit_normalizer(df, spec, "Zscore"))
+    _, rows = models.grid_search(scaled, spec, "AE")
+    return normalize.state_table(spark, rows)
+
+
+# A given network: two features, three rectified units, one score. Rows of _NET: weights of both features, offset, output weight.
+_NET = ((0.25, 0.5, -1.0, 0.75), (-0.5, 0.125, 2.0, -0.5), (1.0, -0.25, 0.5, 0.25))
+_NET_OUT = " + ".join(f"{o}::DOUBLE * greatest({a}::DOUBLE * lines + {b}::DOUBLE * qty_avg + {c}::DOUBLE, 0)" for a, b, c, o in _NET)
+
+
+@query("network_scores", f"WITH {OM} SELECT case_id, label, {r(f'1 / (1 + exp(-(0.125::DOUBLE + {_NET_OUT})))', 7)} AS pred FROM om")
+def network_scores(spark, sf):
+    """Scores of a network with given weights."""
+    df, _ = t.orders_matrix(spark, sf)
+    first, second, offset, out = zip(*_NET)
+    m = models.NetworkScore("given", ("lines", "qty_avg"), (*first, *second, *offset, *out, 0.125), (2, 3, 1))
+    return m.predict(df).select("case_id", "label", rounded("pred", 7).alias("pred"))
+
+
 @query("grid_search_spark_estimator")
 def grid_search_spark_estimator(spark, sf):
     from pyspark.ml.classification import LogisticRegression

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from casebook.operators import batch_linear, batch_trees, models, select
+from casebook.operators import batch_linear, batch_networks, batch_trees, models, select
 from casebook.operators.blocks import ALL, MAIN, packed, table_blocks, wide_table
 from casebook.functions.exprs import col
 from casebook.plans.exploration import Choices, explore
@@ -173,3 +173,59 @@ def test_grid_search_in_batches(spark):
         assert len(rows) == len(models.grid_points(models.GRIDS[name])) and all(0.3 < r["accuracy"] <= 1 for r in rows)
     cv = models.cross_predict(df, spec, "LR", folds=3).toPandas()
     assert cv.case_id.is_unique and len(cv) == 90
+
+
+@pytest.mark.parametrize("hidden", [(), (7,), (5, 3)])
+def test_network_slope_equals_differences(hidden):
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(40, 4)), (rng.random(40) < 0.4).astype(float)
+    task = batch_networks.NetTask((0, 1, 2, 3), ALL, hidden)
+    w = task.start()
+    value = lambda w: batch_networks.loss_and_gradient(w, task.sizes, x, y, 0.3)
+    _, slope = value(w)
+    for i in range(len(w)):
+        e = np.eye(len(w))[i] * 1e-6
+        assert slope[i] == pytest.approx((value(w + e)[0] - value(w - e)[0]) / 2e-6, abs=1e-6)
+
+
+def test_network_without_hidden_layer_is_logistic_regression(spark):
+    data, spec, pdf = parted(spark)
+    for rows in (MAIN,):
+        net = batch_networks.NetTask((0, 1, 2), rows, (), alpha=0.0, rate=0.05, epochs=250, tol=0.0, patience=250)
+        (fit,) = batch_networks.train(data, [net])
+        (best,) = batch_linear.solve(data, [batch_linear.Task((0, 1, 2), rows, tol=1e-9)])
+        assert np.allclose(fit.weights, [*best.coef, best.intercept], atol=0.02)
+    data.release()
+
+
+def test_networks_in_one_job_or_several_and_over_tasks(spark):
+    data, spec, pdf = parted(spark)
+    nets = [batch_networks.NetTask((0, 1), rows, (h,), epochs=4) for rows in (MAIN, ALL, 2) for h in (3, 8)]
+    together = batch_networks.train(data, nets)
+    assert batch_networks.train(data, nets, cells=1) == together  # one network a job
+    spread = packed(data.wide.repartition(6, "_key"), rows=17)
+    many = type(spread)(spread.columns, spread.wide, spread.data.repartition(6), 6)
+    net = batch_networks.NetTask((0, 1, 2, 3), ALL, (8,), rate=0.01, epochs=40)
+    (one,), (six,) = batch_networks.train(data, [net]), batch_networks.train(many, [net])
+    assert six.loss == pytest.approx(one.loss, abs=0.03) and len(six.weights) == net.width
+    data.release(), spread.release()
+
+
+def test_network_learns_what_no_line_separates(spark):
+    df, spec, pdf = matrix(spark, n=600, p=2, seed=5)
+    pdf["label"] = ((pdf.f0 > 0) ^ (pdf.f1 > 0)).astype(int)
+    df = spark.createDataFrame(pdf)
+    net = models.perceptron(df, spec, hidden=(30,), rate=0.01)
+    right = lambda m: ((m.predict(df).toPandas().pred > 0.5).astype(int).to_numpy() == pdf.label.to_numpy()).mean()
+    assert right(net) > 0.93 > 0.7 > right(models.logistic(df, spec))
+    again = models.perceptron(df.repartition(3), spec, hidden=(30,), rate=0.01)
+    assert np.allclose(net.chance(pdf[["f0", "f1"]].to_numpy()), again.chance(pdf[["f0", "f1"]].to_numpy()), atol=1e-6)
+    with pytest.raises(Exception, match="null or infinite"):
+        models.perceptron(df.withColumn("f1", F.lit(None).cast("double")), spec, hidden=(3,))
+
+
+def test_network_options_are_searched_together(spark):
+    df, spec, _ = matrix(spark, n=90, p=3, signal=2.0)
+    model, rows = models.grid_search(df, spec, "AE", [{"hidden": [(4,), (8,)], "alpha": [1e-4, 1e-2], "rate": [0.001, 0.02]}], folds=3)
+    assert len(rows) == 8 and max(r["accuracy"] for r in rows) > 0.6 and model.sizes[0] == 3
+    assert len(models.grid_points(models.GRIDS["AE"])) == 8
