@@ -188,3 +188,52 @@ def extract(df: DataFrame, series: list[str], minimum=1, statistics=EXTRACTED) -
     stats = first_order(df.filter(F.col("series").isin(series)).join(good, "case_id", "left_semi"))
     wide = stats.groupBy("case_id").pivot("series", series).agg(*[F.first(s).alias(s) for s in statistics])
     return wide, errors
+
+
+QUALITY = "Quality_"  # fixed prefix of features that describe the measurement itself
+
+
+def extraction_table(
+    features: DataFrame,
+    quality: DataFrame | None = None,
+    labels: DataFrame | None = None,
+    label="label",
+    ignore: str | None = "diagnostics",
+    columns: list[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(matrix, errors) of long features (case_id, feature, value), quality features (case_id, name, value) and labels
+    (case_id, label).
+
+    Quality features are named ``Quality_<name>``; features whose name holds ``ignore`` are dropped. All cases must
+    have the same columns, in name order: ``columns``, or those of the first case by id. Features outside them are
+    passed over; a case that lacks one is an error, as is one with two values of a feature or, given labels, with no
+    label or several. Null ids are passed over. An empty table without ``columns`` gives a matrix of no features.
+    """
+    long = features.select("case_id", "feature", F.col("value").cast("double").alias("value"))
+    if ignore:
+        long = long.filter(~F.col("feature").contains(ignore))
+    if quality is not None:
+        named = F.concat(F.lit(QUALITY), F.col("name")).alias("feature")
+        long = long.unionByName(quality.select("case_id", named, F.col("value").cast("double").alias("value")))
+    long = long.filter(F.col("case_id").isNotNull() & F.col("feature").isNotNull())
+    if columns is None:
+        # as many names as one case has, which is what the matrix has columns
+        first = long.agg(F.min("case_id").alias("c")).head().c
+        columns = [r.feature for r in long.filter(F.col("case_id") == first).select("feature").distinct().collect()]
+    columns = sorted(columns)
+    known = F.col("feature").isin(columns)
+    shape = long.groupBy("case_id", "feature").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("value"))
+    judged = shape.groupBy("case_id").agg(
+        F.count_if(known).alias("_own"),
+        F.max(F.when(known, F.col("n")).otherwise(0)).alias("_most"),
+        *[F.max(F.when(F.col("feature") == c, F.col("value"))).alias(c) for c in columns],
+    )
+    reason = F.when(F.col("_own") < len(columns), "missing features").when(F.col("_most") > 1, "repeated features")
+    if labels is not None:
+        marks = labels.groupBy("case_id").agg(F.count(label).alias("_labels"), F.max(label).alias(label))
+        judged = judged.join(marks, "case_id", "left")
+        reason = reason.when(F.coalesce("_labels", F.lit(0)) == 0, "no label").when(F.col("_labels") > 1, "several labels")
+    judged = judged.withColumn("reason", reason)
+    kept_columns = ["case_id", *([label] if labels is not None else []), *columns]
+    good = judged.filter(F.col("reason").isNull()).select(*[F.col(f"`{c}`") for c in kept_columns])
+    return good, judged.filter(F.col("reason").isNotNull()).select("case_id", "reason")

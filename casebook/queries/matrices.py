@@ -192,6 +192,45 @@ def extract_with_errors(spark, sf):
     return filled.unionByName(errors.select("case_id", "reason", F.lit(0).alias("n_features")))
 
 
+_SERIES = ("click", "error", "purchase", "signup", "view")
+_EXTRACTED = [f"{s}_{k}" for s in _SERIES for k in ("maximum", "mean")]
+
+
+@query(
+    "extraction_table",
+    f"""WITH {ME}, g AS (SELECT case_id, series, max(value) AS maximum, {r('avg(value)')} AS mean FROM me GROUP BY 1, 2
+ HAVING count(*) >= 6),
+w AS (SELECT case_id, count(*) AS s, {', '.join(f"max(CASE WHEN series = '{s}' THEN {k} END) AS {s}_{k}" for s in _SERIES for k in ('maximum', 'mean'))}
+ FROM g GROUP BY 1),
+q AS (SELECT case_id, count(DISTINCT value)::DOUBLE AS v FROM me GROUP BY 1),
+l AS (SELECT c_custkey::VARCHAR AS case_id, (c_acctbal > 0)::INT AS label FROM customer),
+a AS (SELECT q.case_id, label, CASE WHEN s IS NULL OR s < 5 THEN 'missing features' WHEN label IS NULL THEN 'no label' ELSE 'ok' END AS reason,
+ q.v, w.* EXCLUDE (case_id, s) FROM q LEFT JOIN w USING (case_id) LEFT JOIN l USING (case_id))
+SELECT case_id, reason, {', '.join(f"CASE WHEN reason = 'ok' THEN {c} END AS {c}" for c in ['label', *_EXTRACTED])},
+ CASE WHEN reason = 'ok' THEN v END AS Quality_distinct FROM a""",
+)
+def extraction_table(spark, sf):
+    """Extracted and quality features with labels, and the cases that cannot be used with the reason."""
+    me = t.measurements(spark, sf)
+    stats = me.groupBy("case_id", "series").agg(
+        F.max("value").alias("maximum"),
+        rounded(F.avg("value")).alias("mean"),
+        F.count(F.lit(1)).cast("double").alias("diagnostics_n"),
+    )
+    long = stats.filter(F.col("diagnostics_n") >= 6).unpivot(
+        ["case_id", "series"], ["maximum", "mean", "diagnostics_n"], "statistic", "value"
+    )
+    features = long.select("case_id", F.concat_ws("_", "series", "statistic").alias("feature"), "value")
+    quality = me.groupBy("case_id").agg(F.count_distinct("value").alias("value")).withColumn("name", F.lit("distinct"))
+    labels = t.table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("case_id"), (F.col("c_acctbal") > 0).cast("int").alias("label")
+    )
+    good, errors = firstorder.extraction_table(
+        features, quality, labels, columns=[*_EXTRACTED, f"{firstorder.QUALITY}distinct"]
+    )
+    return good.withColumn("reason", F.lit("ok")).unionByName(errors, allowMissingColumns=True)
+
+
 _NAMES = """names AS (SELECT p_partkey AS position,
  p_brand || '_original_' || replace(split_part(p_type, ' ', 1), '_', '') || '_' ||
  upper(left(split_part(p_name, ' ', 1), 1)) || substr(split_part(p_name, ' ', 1), 2) ||
