@@ -94,3 +94,17 @@ def test_balanced_holdout_passes_its_own_test(spark):
     out2, info = searches.cluster_holdout(df, spec, clinical, parts=2, attempts=5)
     got = {r.feature: r for r in info.collect()}
     assert got["sex"].distribution == "Category" and 0 <= got["age"].p_value <= 1 and out2.count() == 200
+
+
+def test_bootstrap_weights_follow_the_cut_points_without_a_fold(spark):
+    from bisect import bisect_right
+
+    from casebook.functions.exprs import hash_uniform
+
+    df = spark.range(300).select(F.col("id").cast("string").alias("case_id"))
+    w, names = balance.bootstrap_weights(df, "case_id", 4)
+    assert "aggregate(" not in w._jdf.queryExecution().optimizedPlan().toString()
+    draws = w.select(*names, *[hash_uniform(F.lit(r) + 42 * 100_003, "case_id").alias(f"u{r}") for r in range(1, 5)]).collect()
+    cuts = balance._poisson_cuts()
+    assert all(row[n] == bisect_right(cuts, row[f"u{i}"]) for row in draws for i, n in enumerate(names, 1))
+    assert max(row[n] for row in draws for n in names) >= 4
