@@ -37,13 +37,19 @@ def per_feature(df: DataFrame, spec: MatrixSpec, makers: dict, by: list[str] = (
     return sums.select(*by, name, *makers)
 
 
+def precise_sum(c: Column) -> Column:
+    """The sum of whole parts, which is exact, and that of the rests: a plain sum of many large values loses decimals."""
+    splits = F.abs(c) < float(1 << 52)
+    return F.sum(F.when(splits, F.rint(c)).otherwise(c)) + F.sum(F.when(splits, c - F.rint(c)).otherwise(F.when(c.isNotNull(), 0.0)))
+
+
 def describe(df: DataFrame, spec: MatrixSpec) -> DataFrame:
     base = per_feature(
         df,
         spec,
         {
             "n": F.count,
-            "total": F.sum,
+            "total": precise_sum,
             "mean": F.avg,
             "sd": F.stddev_pop,
             "low": F.min,

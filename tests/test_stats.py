@@ -175,3 +175,12 @@ def test_elimination_keeps_the_signal(spark):
     df, spec, _ = matrix(spark, n=200, p=4, signal=5.0)
     ranks = {r["feature"]: r["rank"] for r in select.rfe_ranks(df, spec, 1)}
     assert ranks["f0"] == 1 and sorted(ranks.values()) == [1, 2, 3, 4]
+
+
+def test_total_of_many_large_values_keeps_its_decimals(spark):
+    df = spark.range(0, 400_000, 1, 1).select(F.col("id").alias("case_id"), F.lit(0).alias("label"), (4e8 + F.col("id") % 100 / 100).alias("x"))
+    total = stats.describe(df, MatrixSpec(("x",))).head().total
+    assert total == 400_000 * 4e8 + 4_000 * 49.5
+    odd = spark.createDataFrame([(1, 0, float("inf"), None), (2, 0, 1.5, None)], "case_id long, label int, x double, y double")
+    found = {r.feature: r.total for r in stats.describe(odd, MatrixSpec(("x", "y"))).collect()}
+    assert found["x"] == float("inf") and found.get("y") is None
