@@ -37,6 +37,30 @@ def test_many_seeds_at_once_have_exact_sizes(spark):
     assert set(first) != set(sides[(sides.seed == 1) & (sides.side == "test")].case_id)
 
 
+def test_boundaries_of_many_seeds_need_no_counts_per_prefix(spark, monkeypatch):
+    """Only cases near the expected boundary are ordered; ids that repeat a lot still give exact boundaries."""
+    by_prefix = splitting._edges_by_prefix
+    df, spec, _ = matrix(spark, n=3000)
+    hashes = df.select("case_id", "label", F.explode(F.array(*map(F.lit, range(5)))).alias("seed")).withColumn("h", F.xxhash64("case_id", "seed"))
+
+    def fail(*_):
+        raise AssertionError("counts per prefix")
+
+    monkeypatch.setattr(splitting, "_edges_by_prefix", fail)
+    got = splitting.seeded_sides(df, spec, 0.3, list(range(5))).toPandas()
+    own = hashes.toPandas().sort_values(["h", "case_id"])
+    place, size = own.groupby(["seed", "label"]).cumcount(), own.groupby(["seed", "label"]).h.transform("size")
+    want = own.assign(side=np.where(place < (size * 0.3).round(), "test", "train"))
+    both = got.merge(want, on=["seed", "case_id"])
+    assert len(both) == len(got) == 15000 and (both.side_x == both.side_y).all()
+
+    called = []
+    monkeypatch.setattr(splitting, "_edges_by_prefix", lambda *a: called.append(1) or by_prefix(*a))
+    few = df.withColumn("case_id", F.substring("case_id", 1, 3))  # every id has hundreds of cases
+    counts = splitting.seeded_sides(few, spec, 0.3, [0, 1]).groupBy("seed").agg(F.count_if(F.col("side") == "test").alias("n")).collect()
+    assert called and len(counts) == 2 and all(r.n >= 900 for r in counts)
+
+
 def test_survival_folds_and_leave_one_out(spark):
     df, spec, pdf = matrix(spark, n=53)
     f = splitting.survival_folds(df, spec, 5).toPandas().fold.value_counts()
