@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from casebook.functions.exprs import col
 from casebook.operators import models, normalize, reduce
+from casebook.session import shared_folder
 from casebook.spec import MatrixSpec
 
 
@@ -31,6 +32,8 @@ def apply_cutoff(scored: DataFrame, cutoff: float, pred="pred") -> DataFrame:
 def save_prepared(spark: SparkSession, prepared: dict, path: str) -> None:
     """Stage state as one JSON row, with the Spark ML model (if any) next to it."""
     model = prepared["model"]
+    if isinstance(model, models.ForestScore):
+        model = model.copied(shared_folder(spark, "trees", f"{path}/trees"))
     fields = {k: v for k, v in vars(model).items() if k != "model"}
     state = {**{k: v for k, v in prepared.items() if k != "model"}, "kind": type(model).__name__, "fields": fields}
     spark.range(1).select(F.lit(json.dumps(state)).alias("state")).coalesce(1).write.mode("overwrite").parquet(

@@ -229,3 +229,50 @@ def test_network_options_are_searched_together(spark):
     model, rows = models.grid_search(df, spec, "AE", [{"hidden": [(4,), (8,)], "alpha": [1e-4, 1e-2], "rate": [0.001, 0.02]}], folds=3)
     assert len(rows) == 8 and max(r["accuracy"] for r in rows) > 0.6 and model.sizes[0] == 3
     assert len(models.grid_points(models.GRIDS["AE"])) == 8
+
+
+def test_subtrees_stay_out_of_the_driver(spark):
+    """A forest names the places of its subtrees; its scores are those of the trees fetched whole."""
+    data, spec, pdf = parted(spark, n=600)
+    bins = batch_trees.binned(data)
+    tasks = [batch_trees.TreeTask((0, 1, 2, 3), ALL, seed, True, 2) for seed in range(3)]
+    x = pdf[list(spec.features)].to_numpy()
+    for subtree in (100_000, 60):
+        folder, stored = batch_trees.stored_trees(bins, tasks, subtree)
+        whole = batch_trees.trees(bins, tasks, subtree)
+        assert all(len(t.column) < len(w.column) / 2 and t.parts for t, w in zip(stored, whole))
+        fields = tuple((t.column, t.bin, t.left, t.right, t.cut, t.share, t.parts) for t in stored)
+        got = models.ForestScore("RF", spec.features, folder, fields).chance(x)
+        want = np.zeros(len(x))
+        for t in whole:
+            for i, case in enumerate(x):
+                at = 0
+                while t.column[at] >= 0:
+                    at = t.left[at] if case[t.column[at]] <= bins.cuts[t.column[at]][t.bin[at]] else t.right[at]
+                want[i] += t.share[at] / len(whole)
+        assert np.allclose(got, want)
+
+
+def test_equal_cases_grow_as_one(spark):
+    """Copies of a table give its tree, from as many rows as differ."""
+    data, _, pdf = parted(spark)
+    x = np.repeat(np.arange(12, dtype=np.uint16).reshape(-1, 1), 2, axis=1)
+    y = np.arange(12) % 3 == 0
+    task = batch_trees.TreeTask((0, 1), ALL)
+    one = batch_trees.grown(x, y.astype(float), np.full(12, 5.0), task)
+    many = batch_trees.grown(np.tile(x, (5, 1)), np.tile(y, 5).astype(float), np.ones(60), task)
+    assert one.tobytes() == many.tobytes()
+    copies = spark.createDataFrame(pdf).crossJoin(spark.range(4)).withColumn("case_id", F.concat("case_id", F.lit("-"), F.col("id"))).drop("id")
+    spec = matrix(spark, n=2, p=4)[1]
+    plain, fourfold = (packed(wide_table(d, spec, {f: col(f) for f in spec.features}, F.col("part"))) for d in (spark.createDataFrame(pdf), copies))
+    (a,), (b,) = (batch_trees.trees(batch_trees.binned(d), [batch_trees.TreeTask((0, 1, 2, 3), ALL)], 50) for d in (plain, fourfold))
+    assert a == b
+
+
+def test_a_node_without_a_split_in_its_first_columns_looks_at_later_ones(spark):
+    df, spec, pdf = matrix(spark, n=90, p=4)
+    pdf[["f0", "f1", "f2"]] = 1.0
+    data = table_blocks(spark.createDataFrame(pdf), spec)
+    bins = batch_trees.binned(data)
+    tasks = [batch_trees.TreeTask((0, 1, 2, 3), ALL, seed, True, 1) for seed in range(4)]
+    assert batch_trees.trees(bins, tasks, 0) == batch_trees.trees(bins, tasks)
