@@ -7,17 +7,21 @@ Texts are cut there, the library encodes each distinct run once, and the ids are
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Sequence
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
 
 from tokenizers import Tokenizer  # noqa: E402
+from tokenizers.pre_tokenizers import ByteLevel  # noqa: E402
 
 #: Unicode's White_Space, as the split pattern's \s has it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -28,6 +32,8 @@ RUNS = re.compile(f"\\n(?=[^{SPACE}])|[{SPACE}]*+[{LATIN}]++(?=[{SPACE}{MARKS}]|
 #: Runs that may share one library call: a line feed between them stays a token of its own.
 PLAIN = re.compile(f" ?[^{SPACE}]+")
 TOGETHER = 256
+#: Runs that the usual split pattern leaves in one piece, which the library's model can take without the steps around it.
+WORD = re.compile(f" ?[{LATIN}]+")
 
 
 def load(tokenizer_json: str) -> Tokenizer:
@@ -37,12 +43,30 @@ def load(tokenizer_json: str) -> Tokenizer:
     return tokenizer
 
 
+def one_piece(tokenizer_json: str) -> bool:
+    """Whether the library does no more with a run of ``WORD`` than to split it into bytes and apply its merges."""
+    given = json.loads(tokenizer_json)
+    cut = given["pre_tokenizer"] or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    inside = re.compile(f" ?[{LATIN}]*")
+    added = any(inside.fullmatch(t["content"]) for t in given["added_tokens"])
+    return given["model"]["type"] == "BPE" and given["normalizer"] is None and plain and not added
+
+
+def byte_letters() -> dict[int, str]:
+    """For every character of ``WORD`` the letters that stand for its bytes in a byte-level vocabulary."""
+    split = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    return {ord(c): split(c)[0][0] for c in map(chr, range(256)) if c == " " or WORD.fullmatch(c)}
+
+
 class RunEncoder:
     """Token ids of whole texts; ``most`` bounds the runs remembered between texts."""
 
     def __init__(self, tokenizer_json: str, most: int = 400_000):
         self.tokenizer = load(tokenizer_json)
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.model = self.tokenizer.model if one_piece(tokenizer_json) else None
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {}  # ids of a run, four bytes each
         self.most = most
 
@@ -50,9 +74,13 @@ class RunEncoder:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _new(self, runs: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        if self.model is not None:
+            word, merged, letters = WORD.fullmatch, self.model.tokenize, self.letters
+            out = {run: array("I", [token.id for token in merged(run.translate(letters))]).tobytes() for run in runs if word(run)}
+            runs = [run for run in runs if run not in out]
         whole = PLAIN.fullmatch
         plain = [run for run in runs if whole(run)] if len(self.feed) == 1 else []
-        out: dict[str, bytes] = {}
         groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
         for i in range(0, len(groups), 64):
             part = groups[i : i + 64]
@@ -69,7 +97,7 @@ class RunEncoder:
     def _ids_of(self, runs: list[str]) -> list[bytes]:
         found = list(map(self.known.get, runs))
         if None in found:
-            fresh = self._new(list({run for run, ids in zip(runs, found) if ids is None}))
+            fresh = self._new(list(dict.fromkeys(run for run, ids in zip(runs, found) if ids is None)))
             found = [fresh[run] if ids is None else ids for run, ids in zip(runs, found)]
             if len(self.known) + len(fresh) > self.most:
                 self.known = {}
@@ -78,14 +106,19 @@ class RunEncoder:
         return found
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        """One array of ids (unsigned, 32 bits) a text."""
+        """One array of ids (unsigned, 32 bits) a text. Each run is looked up once, however often the texts have it."""
         runs = [RUNS.findall(text) for text in texts]
-        found = self._ids_of(list(chain.from_iterable(runs)))
-        out, at = [], 0
-        for own in runs:
-            out.append(np.frombuffer(b"".join(found[at : at + len(own)]), np.uint32))
-            at += len(own)
-        return out
+        ends = np.cumsum([0, *map(len, runs)])
+        coded = pa.array(list(chain.from_iterable(runs)), pa.large_string()).dictionary_encode()
+        del runs
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = pa.array(self._ids_of(distinct), pa.large_binary())
+        _, offsets, data = found.take(coded.indices).buffers()
+        if not data:
+            return [np.zeros(0, np.uint32) for _ in texts]
+        at = np.frombuffer(offsets, np.int64)[ends] // 4
+        ids = np.frombuffer(data, np.uint32, int(at[-1]))
+        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 @lru_cache(maxsize=2)

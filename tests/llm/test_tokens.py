@@ -1,6 +1,7 @@
 """Token store, packing, byte pairs and section counts against the library."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -8,9 +9,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from casebook.llm import bpe, packing, perfecthash, tokencount, tokenstore
-from casebook.llm.wordcodec import RunEncoder
+from casebook.llm.wordcodec import RunEncoder, one_piece
 from tests.llm import corpus
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -33,6 +35,38 @@ def test_run_encoder_is_the_library():
         assert [x.tolist() for x in got] == library_ids(BYTE, texts)
 
 
+def test_run_encoder_looks_up_a_run_once_and_merges_words_alone():
+    class Counted(RunEncoder):
+        asked, whole = [], []
+
+        def _ids_of(self, runs):
+            self.asked += runs
+            return super()._ids_of(runs)
+
+        def _library(self, texts):
+            self.whole += texts
+            return super()._library(texts)
+
+    texts = ["the cat, the cat\n" * 50, "Größe the cat", "", "x2 the"]
+    code = Counted(corpus.vocabulary(BYTE))
+    assert [x.tolist() for x in code.encode(texts)] == library_ids(BYTE, texts)
+    assert len(code.asked) == len(set(code.asked)) and {" the", " cat", "Größe"} <= set(code.asked)
+    assert not any("the" in t or "Größe" in t for t in code.whole) and any("x2" in t for t in code.whole)
+
+
+def test_words_go_through_the_whole_library_if_it_does_more_with_them():
+    given = json.loads(corpus.vocabulary(BYTE))
+    assert one_piece(json.dumps(given))
+    assert not one_piece(json.dumps(given | {"normalizer": {"type": "Lowercase"}}))
+    assert not one_piece(json.dumps(given | {"pre_tokenizer": given["pre_tokenizer"] | {"add_prefix_space": True}}))
+    added = given["added_tokens"] + [given["added_tokens"][0] | {"id": 50257, "content": "cat"}]
+    assert not one_piece(json.dumps(given | {"added_tokens": added}))
+    texts = ["the cat sat", "cats"]
+    own = json.dumps(given | {"added_tokens": added})
+    want = [x.ids for x in Tokenizer.from_str(own).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in RunEncoder(own).encode(texts)] == want
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000])
 def test_perfect_hash_is_minimal_and_knows_strangers(n):
     keys = np.random.default_rng(n).choice(10**12, n, replace=False).astype(np.int64) - 10**6
