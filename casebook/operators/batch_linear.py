@@ -2,8 +2,10 @@
 
 A model minimises the mean loss of its rows and columns plus penalties. A job returns, for each open model at its
 trial point, the sums of loss, gradient and curvature; the driver takes a Newton step (by coordinates under an
-absolute penalty), halves it where the objective rose, and drops models whose slope is gone. The hinge loss is
-rounded off over a width that shrinks whenever the rounded problem is solved.
+absolute penalty) and drops models whose slope is gone. Where the objective rose, the next job sums the losses of
+several halvings of the step at once. The hinge loss is rounded off over a width that shrinks whenever the rounded
+problem is solved. Steps are solved per unit of each column, so that their number does not grow with the cases when
+columns are divided by their length.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from casebook.operators.blocks import Block, Blocks, uniform
 CALIBRATION_SHARE, CELLS = 1 / 3, 4_000_000
 #: Widths over which the hinge is rounded, one after the other.
 WIDTHS = (4.0, 0.5, 0.05)
+#: Halvings of a step that a job tries together.
+HALVINGS = 10
 
 
 @dataclass(frozen=True)
@@ -65,10 +69,13 @@ def _loss(z: np.ndarray, width: float | None) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _evaluate(blocks: Blocks, work: list[tuple[int, Task, np.ndarray, float | None]]) -> dict[int, np.ndarray]:
-    """(cases, loss, gradient, squares of the columns, curvature) summed for every (id, task, coefficients, width)."""
+    """(cases, loss, gradient, squares of the columns, curvature) summed for every (id, task, coefficients, width).
+
+    Where the coefficients are a table of points, one a column, only the cases and the loss at each point.
+    """
 
     def total(each: Iterator[Block]) -> dict[int, np.ndarray]:
-        out = {i: np.zeros(2 + 2 * t.width + t.width**2) for i, t, _, _ in work}
+        out = {i: np.zeros(1 + at.shape[1] if at.ndim > 1 else 2 + 2 * t.width + t.width**2) for i, t, at, _ in work}
         for block in each:
             chosen: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
             for i, task, at, width in work:
@@ -82,9 +89,12 @@ def _evaluate(blocks: Blocks, work: list[tuple[int, Task, np.ndarray, float | No
                 if not len(x):
                     continue
                 design = task.design(x)
-                loss, slope, curve = _loss((design @ at) * sign, width)
                 cell, k = out[i], task.width
                 cell[0] += len(x)
+                if at.ndim > 1:
+                    cell[1:] += _loss((design @ at) * sign[:, None], width)[0].sum(axis=0)
+                    continue
+                loss, slope, curve = _loss((design @ at) * sign, width)
                 cell[1] += loss.sum()
                 cell[2 : 2 + k] += design.T @ (slope * sign)
                 cell[2 + k : 2 + 2 * k] += (design * design).sum(axis=0)
@@ -103,21 +113,39 @@ class _Descent:
         self.widths = (WIDTHS if task.start is None else WIDTHS[-1:]) if task.hinge else (None,)
         self.value: float | None = None
         self.step, self.scale, self.fall = np.zeros(task.width), 1.0, 0.0
+        self.shorter: np.ndarray | None = None  # scales of the step that the next job compares
         self.steps, self.open, self.converged = 0, True, False
 
+    def wanted(self) -> np.ndarray:
+        """The trial point, or a table of points on the way to it."""
+        return self.trial if self.shorter is None else self.at[:, None] + self.step[:, None] * self.shorter
+
+    def _fell(self, value, scale):
+        return value <= self.value + 1e-4 * scale * self.fall + 1e-12 * abs(self.value)
+
+    def _halve(self, scale: float) -> None:
+        self.shorter = scale * 0.5 ** np.arange(1, HALVINGS + 1)
+        self.open = bool(self.shorter[0] > 1e-9)
+
     def take(self, cell: np.ndarray) -> None:
         task, k = self.task, self.task.width
         n = max(cell[0], 1.0)
         ridge, lasso = np.full(k, task.l2 / n), np.full(k, task.l1 / n)
         ridge[-1] = lasso[-1] = 0.0  # the intercept is free
-        w = self.trial
+        w = self.wanted()
+        if self.shorter is not None:
+            scales, self.shorter = self.shorter, None
+            fell = self._fell(cell[1:] / n + 0.5 * ridge @ (w * w) + lasso @ np.abs(w), scales)
+            if fell.any():
+                self.scale, self.trial = float(scales[fell.argmax()]), w[:, fell.argmax()]
+            else:
+                self._halve(float(scales[-1]))
+            return
         value = cell[1] / n + 0.5 * ridge @ (w * w) + lasso @ np.abs(w)
         if self.value is None and not np.isfinite(value):
             raise ValueError("a column holds a null or infinite value")
-        if self.value is not None and not value <= self.value + 1e-4 * self.scale * self.fall + 1e-12 * abs(self.value):
-            self.scale /= 2
-            self.trial = self.at + self.scale * self.step
-            self.open = self.scale > 1e-9
+        if self.value is not None and not self._fell(value, self.scale):
+            self._halve(self.scale)
             return
         self.at, self.value = w, value
         slope = cell[2 : 2 + k] / n + ridge * w
@@ -134,11 +162,13 @@ class _Descent:
         if self.steps > task.max_iter:
             self.open = False
             return
+        unit = np.where(size > 0, size, 1.0)
+        curve = curve / np.outer(unit, unit)
         curve = curve + np.diag(1e-9 * np.diag(curve) + 1e-7 * np.diag(curve).max(initial=0) + 1e-12)
         if task.l1:
-            self.step = _by_coordinates(slope, curve, w, lasso)
+            self.step = _by_coordinates(slope / unit, curve, w * unit, lasso / unit) / unit
         else:
-            self.step = -np.linalg.lstsq(curve, slope, rcond=None)[0]
+            self.step = -np.linalg.lstsq(curve, slope / unit, rcond=None)[0] / unit
         self.fall = float(slope @ self.step + lasso @ (np.abs(w + self.step) - np.abs(w)))
         self.scale, self.trial = 1.0, w + self.step
 
@@ -176,7 +206,7 @@ def solve(blocks: Blocks, tasks: list[Task], cells: int = CELLS) -> list[Fit]:
         work, size = [], 0
         for i, m in enumerate(models):
             if m.open and size <= cells:
-                work.append((i, m.task, m.trial, m.widths[0]))
+                work.append((i, m.task, m.wanted(), m.widths[0]))
                 size += m.task.width**2
         for i, cell in _evaluate(blocks, work).items():
             models[i].take(cell)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casebook.operators import batch_linear, batch_networks, batch_trees, models, select
-from casebook.operators.blocks import ALL, MAIN, packed, table_blocks, wide_table
+from casebook.operators.blocks import ALL, MAIN, Block, packed, table_blocks, wide_table
 from casebook.functions.exprs import col
 from casebook.plans.exploration import Choices, explore
 from tests.util import matrix
@@ -59,6 +59,46 @@ def test_hinge_objective_is_near_its_least(spark):
     assert value(np.r_[fit.coef, fit.intercept]) <= least + 0.025 * len(x) * 0.05
 
 
+class _Copies:
+    """Sums over ``times`` copies of cases whose columns are divided by their length over all copies."""
+
+    def __init__(self, x, y, times):
+        x = x / np.sqrt(times * (x * x).sum(axis=0))
+        self.block = Block(x, y, np.full(len(y), MAIN, np.int32), np.arange(len(y)))
+        self.times, self.jobs = times, 0
+
+    def sums(self, task):
+        self.jobs += 1
+        return {i: self.times * cell for i, cell in task(iter([self.block])).items()}
+
+
+def test_jobs_do_not_grow_with_copies_of_the_cases():
+    rng = np.random.default_rng(4)
+    x = rng.random((500, 6)) * [1, 5, 50, 0.1, 1000, 8]
+    y = (x[:, 0] + x[:, 1] / 5 + rng.normal(0, 0.5, 500) > 1).astype(float)
+    jobs, orders = [], []
+    for times in (1, 100, 100_000):
+        blocks = _Copies(x, y, times)
+        (fit,) = batch_linear.solve(blocks, [batch_linear.Task(tuple(range(6)), MAIN, hinge=True, l2=1.0, tol=1e-3, max_iter=100)])
+        assert fit.converged
+        jobs.append(blocks.jobs)
+        orders.append(np.argsort(np.square(fit.coef)).tolist())
+    assert max(jobs) <= min(jobs) + 2, jobs
+    assert orders[0] == orders[1] == orders[2]
+
+
+def test_halvings_of_a_step_are_tried_together():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3))
+    y = (x @ [1.0, -2.0, 0.5] + rng.normal(0, 0.3, 400) > 0).astype(float)
+    blocks = _Copies(x, y, 1)
+    points = np.array([[0.0, 1.0], [0.0, -2.0], [0.0, 0.5], [0.0, 0.1]])
+    task = batch_linear.Task((0, 1, 2), MAIN, hinge=True, l2=1.0)
+    several = batch_linear._evaluate(blocks, [(0, task, points, 0.5)])[0]
+    single = [batch_linear._evaluate(blocks, [(0, task, p, 0.5)])[0] for p in points.T]
+    assert several.tolist() == pytest.approx([400.0, single[0][1], single[1][1]])
+
+
 def test_separable_and_constant_columns_end(spark):
     df, spec, pdf = matrix(spark, n=60, p=2)
     pdf["f0"], pdf["f1"] = np.where(pdf.label == 1, 1.0, -1.0), 3.0
