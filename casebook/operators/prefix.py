@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from casebook.functions.exprs import col
 
 SAMPLE_A_BUCKET = 100
+#: Rows of a bucket that is ordered row by row, if the session's number of shuffle partitions would leave it more.
+ROWS_A_BUCKET = 100_000
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -34,28 +36,28 @@ def bucket_count(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _sampled(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+def _sampled(df: DataFrame, keys: list[str], buckets: int, rows: int | None = None) -> DataFrame:
     """About ``SAMPLE_A_BUCKET`` rows a bucket. Cut points need no more: they only balance the buckets."""
     own = df.select(*[col(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    want, rows = SAMPLE_A_BUCKET * buckets, own.count()
+    want, rows = SAMPLE_A_BUCKET * buckets, own.count() if rows is None else rows
     return own if rows <= want else own.sample(want / rows, seed=17)
 
 
-def range_splits(df: DataFrame, key: str, buckets: int, isolate=False) -> list[float]:
+def range_splits(df: DataFrame, key: str, buckets: int, isolate=False, rows: int | None = None) -> list[float]:
     """Inner cut points of ``key``; a bounded list of at most 2 * buckets numbers.
 
     With ``isolate`` a value that fills more than one quantile gets a bucket of its own.
     """
     if buckets <= 1:
         return []
-    return splits_of(df, [key], buckets, isolate)[key]
+    return splits_of(df, [key], buckets, isolate, rows)[key]
 
 
-def splits_of(df: DataFrame, keys: list[str], buckets: int, isolate=False) -> dict[str, list[float]]:
+def splits_of(df: DataFrame, keys: list[str], buckets: int, isolate=False, rows: int | None = None) -> dict[str, list[float]]:
     """Cut points of several keys from one pass."""
     if buckets <= 1:
         return {k: [] for k in keys}
-    sample = _sampled(df, keys, buckets)
+    sample = _sampled(df, keys, buckets, rows)
     sample = sample.select(*[col(c).cast("double").alias(c) for c in sample.columns]).toPandas()
     out = {}
     for i, k in enumerate(keys):
@@ -69,11 +71,11 @@ def splits_of(df: DataFrame, keys: list[str], buckets: int, isolate=False) -> di
     return out
 
 
-def text_splits(df: DataFrame, key: str, buckets: int) -> list[str]:
+def text_splits(df: DataFrame, key: str, buckets: int, rows: int | None = None) -> list[str]:
     """Cut points of a unique text key from a bounded sample."""
     if buckets <= 1:
         return []
-    ids = sorted(r.k0 for r in _sampled(df, [key], buckets).collect() if r.k0 is not None)
+    ids = sorted(r.k0 for r in _sampled(df, [key], buckets, rows).collect() if r.k0 is not None)
     return sorted({ids[len(ids) * i // buckets] for i in range(1, buckets)}) if ids else []
 
 
@@ -154,12 +156,16 @@ def numbered(df: DataFrame, group: list[str], key: str, out="row_no", ties: list
     """1-based position within ``group`` by ``key`` (unique, or made unique by ``ties``), plus ``group_n``.
 
     Integer keys are expected to be hashes (see ``hashed``) or ids; text keys are
-    range-cut from a bounded sample.
+    range-cut from a bounded sample. There is a bucket and a task for at most about ``ROWS_A_BUCKET`` rows.
     """
-    n = bucket_count(df)
-    cuts = text_splits(df, key, n) if dict(df.dtypes)[key] == "string" else range_splits(df, key, n)
+    rows = df.count()
+    n = max(bucket_count(df), -(-rows // ROWS_A_BUCKET))
+    cuts = text_splits(df, key, n, rows) if dict(df.dtypes)[key] == "string" else range_splits(df, key, n, rows=rows)
     b = with_bucket(df, key, cuts)
+    # Offsets do not wait for the rows to move: they are known in time for a join that does not move the rows again.
     off = _offsets(b, group, {"n": F.count(F.lit(1))}, "_bucket")
+    if n > bucket_count(df):
+        b = b.repartition(n, *[col(g) for g in group], "_bucket")
     w = Window.partitionBy(*group, "_bucket").orderBy(key, *ties)
     ranked = join_groups(b.withColumn("_r", F.row_number().over(w)), off, [*group, "_bucket"])
     return ranked.select(*df.columns, (F.col("_r") + F.col("_o_n")).alias(out), F.col("total_n").alias("group_n"))

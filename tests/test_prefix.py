@@ -26,6 +26,21 @@ def test_running_totals_equal_a_plain_window(spark):
     pd.testing.assert_frame_equal(got[want.columns], want)
 
 
+def test_numbering_gives_a_task_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "ROWS_A_BUCKET", 50, raising=False)
+    ordered, join = [], prefix.join_groups
+    monkeypatch.setattr(prefix, "join_groups", lambda local, *rest: ordered.append(local) or join(local, *rest))
+    d = skewed(spark).withColumn("at", F.monotonically_increasing_id()).withColumn("id", F.col("at").cast("string"))
+    w = Window.partitionBy("g")
+    for key in ("id", "at"):
+        got = prefix.numbered(d, ["g"], key)
+        want = d.withColumn("row_no", F.row_number().over(w.orderBy(key)).cast("long")).withColumn("group_n", F.count("*").over(w))
+        columns = ["g", "id", "row_no", "group_n"]
+        assert sorted(got.select(columns).collect()) == sorted(want.select(columns).collect())
+        sizes = [r["count"] for r in ordered[-1].filter("_r > 0").groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) > prefix.bucket_count(d) and max(sizes) <= 8 * 50
+
+
 @pytest.mark.parametrize("parts", [1, 16])
 def test_min_rank_with_a_common_value(spark, parts):
     d = skewed(spark).repartition(parts)
