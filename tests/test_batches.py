@@ -316,3 +316,23 @@ def test_a_node_without_a_split_in_its_first_columns_looks_at_later_ones(spark):
     bins = batch_trees.binned(data)
     tasks = [batch_trees.TreeTask((0, 1, 2, 3), ALL, seed, True, 1) for seed in range(4)]
     assert batch_trees.trees(bins, tasks, 0) == batch_trees.trees(bins, tasks)
+
+
+def test_jobs_of_the_solvers_do_not_carry_the_preparation(spark, monkeypatch):
+    from casebook.operators import blocks
+
+    df, spec, _ = matrix(spark, n=120, p=3)
+    names = {f"m{i}": F.col("case_id") for i in range(20)}
+    df = df.join(df.select("case_id", *[c.alias(n) for n, c in names.items()]).hint("merge"), "case_id")  # some preparation
+    plans, packed_ = [], blocks.packed
+
+    def spied(wide, *a, **kw):
+        out = packed_(wide, *a, **kw)
+        plans.append(out.data._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(blocks, "packed", spied)
+    out = explore(df, spec, Choices(normalizers=("Zscore",), selectors=("ANOVA",), numbers=(1,), classifiers=("LDA",), folds=2))
+    assert out.metrics.count() == 3
+    for plan in plans:
+        assert "Join" not in plan and "Window" not in plan and "Scan parquet" in plan
