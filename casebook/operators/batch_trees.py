@@ -18,17 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.operators.blocks import SCHEMA, Block, Blocks, uniform, unpacked
+from casebook.operators.blocks import SCHEMA, Block, Blocks, Steps, unpacked
 from casebook.session import kept, opened, shared_folder
 
 #: Bins of a column, cases that one task grows a subtree from, and trees that travel together.
 BINS, SUBTREE, TOGETHER = 1024, 400_000, 16
-#: Tasks a core that sum a level, (case, column) cells that one step of a subtree holds at once, and the mark of a node to be asked again.
-TASKS_A_CORE, CELLS, MORE = 3, 200_000, -2
+#: Tasks a core that sum a level, and the mark of a node to be asked again.
+TASKS_A_CORE, MORE = 3, -2
 #: A node: column (-1 for a leaf), last bin on the left, children, the value between the bins, share of class 1 (of leaves).
 NODE = np.dtype([("column", "<i4"), ("bin", "<i4"), ("left", "<i4"), ("right", "<i4"), ("cut", "<f8"), ("share", "<f8")])
 #: Cumulative chances of a Poisson draw of mean one.
-_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+_POISSON = Steps(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)]))
 
 
 @dataclass(frozen=True)
@@ -46,10 +46,20 @@ class TreeTask:
     def weights(self, block: Block) -> np.ndarray:
         return block.taken(self.rows) * self.draws(block.key)
 
+    def drawn(self, block: Block, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of some cases of a block have weight, and their weights."""
+        some = some[block.taken(self.rows)[some]]
+        w = self.draws(block.key[some])
+        return some[w > 0], w[w > 0]
+
+    def of(self, block: Block) -> np.ndarray:
+        """The columns of the task."""
+        return block.x if self.columns == tuple(range(block.x.shape[1])) else block.x[:, self.columns]
+
     def draws(self, key: np.ndarray) -> np.ndarray:
         if not self.draw:
             return np.ones(len(key))
-        return np.searchsorted(_POISSON, uniform(key, self.seed + 1), side="right").astype(float)
+        return _POISSON.drawn(key, self.seed + 1).astype(float)
 
     def order(self, node: int) -> list[int]:
         """Columns in the order in which a node looks at them."""
@@ -204,72 +214,131 @@ def _choose(order: list[int], tried: int | None, best) -> tuple[int, int] | None
     return None if found is None else found[1:]
 
 
-def _splits(x: np.ndarray, w: np.ndarray, wy: np.ndarray, criterion: str) -> list[tuple[float, int] | None]:
-    """For every column the least impurity and the last bin on the left; None for a column of one bin."""
-    order = np.argsort(x, axis=0, kind="stable")
-    v = np.take_along_axis(x, order, 0)
-    past, ones = np.cumsum(w[order], axis=0), np.cumsum(wy[order], axis=0)
-    left, left_ones = past[:-1], ones[:-1]
-    cost = _impurity(left_ones, left, criterion) + _impurity(ones[-1] - left_ones, past[-1] - left, criterion)
-    cost[v[1:] == v[:-1]] = np.inf
-    at = cost.argmin(axis=0)
-    return [(float(cost[i, k]), int(v[i, k])) if np.isfinite(cost[i, k]) else None for k, i in enumerate(at.tolist())]
+def _splits(x: np.ndarray, w: np.ndarray, wy: np.ndarray, starts: np.ndarray, criterion: str) -> tuple[np.ndarray, np.ndarray]:
+    """For every node the least impurity and the last bin on the left, infinite for a column of one bin.
+
+    Cases lie node by node, from ``starts`` on; ``x`` is the bin of each in the column its node looks at.
+    """
+    sizes = np.diff(starts, append=len(x))
+    node = np.repeat(np.arange(len(starts)), sizes)
+    if len(starts) <= 1 << 16:  # two sorts of short numbers, which take no comparisons
+        order = np.argsort(x, kind="stable")
+        order = order[np.argsort(node.astype(np.uint16)[order], kind="stable")]
+    else:
+        order = np.argsort((node << 16) + x, kind="stable")
+    v = x[order]
+    past, ones = np.cumsum(w[order]), np.cumsum(wy[order])
+    ends = starts + sizes - 1
+    before = lambda c: np.r_[0.0, c[ends[:-1]]]  # weights are whole, so differences of sums are exact
+    past_before, ones_before = before(past), before(ones)
+    at = np.flatnonzero((node[1:] == node[:-1]) & (v[1:] != v[:-1]))
+    cost, bin_ = np.full(len(starts), np.inf), np.zeros(len(starts), np.int64)
+    if len(at):
+        own = node[at]
+        left, left_ones = past[at] - past_before[own], ones[at] - ones_before[own]
+        total, total_ones = (past[ends] - past_before)[own], (ones[ends] - ones_before)[own]
+        all_ = _impurity(left_ones, left, criterion) + _impurity(total_ones - left_ones, total - left, criterion)
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        least = np.minimum.reduceat(all_, first)
+        hits = np.flatnonzero(all_ == np.repeat(least, np.diff(first, append=len(own))))
+        hits = hits[np.r_[True, own[hits][1:] != own[hits][:-1]]]
+        cost[own[first]], bin_[own[first]] = least, v[at[hits]]
+    return cost, bin_
+
+
+def _best_splits(x: np.ndarray, rows: np.ndarray, w: np.ndarray, wy: np.ndarray, starts: np.ndarray, order: np.ndarray, task: TreeTask) -> tuple[np.ndarray, np.ndarray]:
+    """(column or -1, last bin on the left) of every node, as ``_choose`` finds them."""
+    count = len(starts)
+    sizes = np.diff(starts, append=len(rows))
+    column, bin_, least = np.full(count, -1), np.zeros(count, np.int64), np.full(count, np.inf)
+    tried = order.shape[1] if task.tried is None else task.tried
+    for k in range(order.shape[1]):
+        some = np.arange(count) if k < tried else np.flatnonzero(column < 0)
+        if not len(some):
+            break
+        if len(some) < count:
+            asked = np.zeros(count, bool)
+            asked[some] = True
+            at = np.flatnonzero(np.repeat(asked, sizes))
+        else:
+            at = slice(None)
+        own, looked = sizes[some], order[some, k]
+        cost, found = _splits(x[rows[at], np.repeat(looked, own)], w[rows[at]], wy[rows[at]], np.cumsum(own) - own, task.criterion)
+        better = np.isfinite(cost) & ((column[some] < 0) | (cost < least[some] - 1e-12))
+        column[some[better]], bin_[some[better]], least[some[better]] = looked[better], found[better], cost[better]
+    return column, bin_
 
 
 def grown(x: np.ndarray, y: np.ndarray, w: np.ndarray, task: TreeTask, node: int = 1, depth: int = 0) -> np.ndarray:
-    """The nodes of a whole (sub)tree from the bins of its cases; ``x`` has the task's columns."""
-    cells: list[list] = [[], [], [], [], []]
-    wy = w * y
+    """The nodes of a whole (sub)tree from the bins of its cases, level by level; ``x`` has the task's columns.
 
-    def best_of(rows: np.ndarray, order: list[int]) -> tuple[int, int] | None:
-        found: dict[int, tuple[float, int] | None] = {}
-
-        def best(j: int):
-            if j not in found:  # a few columns at once, as many as keep the arrays small
-                place = order.index(j)
-                some = order[place : place + max(1, CELLS // len(rows))]
-                if task.tried is not None:
-                    some = some[: max(1, task.tried - place)]
-                found.update(zip(some, _splits(x[rows[:, None], some], w[rows], wy[rows], task.criterion)))
-            return found[j]
-
-        return _choose(order, task.tried, best)
-
-    open_ = [(np.flatnonzero(w > 0), node, depth, None)]
-    while open_:
-        rows, node, depth, parent = open_.pop()
-        at = len(cells[0])
-        if parent is not None:
-            cells[parent[0]][parent[1]] = at
-        total, ones = w[rows].sum(), wy[rows].sum()
-        split = None
-        if 0 < ones < total and depth < task.depth:
-            split = best_of(rows, task.order(node))
-        leaf = (-1, 0, -1, -1, ones / total if total else 0.5)
-        for cell, v in zip(cells, leaf if split is None else (*split, -1, -1, 0.0)):
-            cell.append(v)
-        if split is not None:
-            low = x[rows, split[0]] <= split[1]
-            open_.append((rows[~low], 2 * node + 1, depth + 1, (3, at)))
-            open_.append((rows[low], 2 * node, depth + 1, (2, at)))
-    out = np.zeros(len(cells[0]), NODE)
-    for name, cell in zip(("column", "bin", "left", "right", "share"), cells):
-        out[name] = cell
-    return out
+    All nodes of a level are split together: deep levels have as many nodes as a few cases each.
+    """
+    wy = w * y
+    rows = np.flatnonzero(w > 0)
+    names, starts = [node], np.zeros(1, np.int64)
+    levels, known = [], 0
+    if not len(rows):
+        out = np.zeros(1, NODE)
+        out["column"], out["left"], out["right"], out["share"] = -1, -1, -1, 0.5
+        return out
+    while names:
+        sizes = np.diff(starts, append=len(rows))
+        total, ones = np.add.reduceat(w[rows], starts), np.add.reduceat(wy[rows], starts)
+        level = np.zeros(len(names), NODE)
+        level["column"], level["left"], level["right"] = -1, -1, -1
+        open_ = np.flatnonzero((ones > 0) & (ones < total)) if depth < task.depth else np.zeros(0, np.int64)
+        inside = np.zeros(len(names), bool)
+        inside[open_] = True
+        rows, sizes = rows[np.repeat(inside, sizes)], sizes[open_]
+        starts = np.cumsum(sizes) - sizes
+        if len(open_):
+            order = np.array([task.order(names[i]) for i in open_.tolist()])
+            column, bin_ = _best_splits(x, rows, w, wy, starts, order, task)
+            split = column >= 0
+            rows, sizes, open_, column, bin_ = rows[np.repeat(split, sizes)], sizes[split], open_[split], column[split], bin_[split]
+        level["share"] = ones / total
+        children = known + len(names) + 2 * np.arange(len(open_))
+        levels.append(level)
+        known += len(names)
+        if not len(open_):
+            break
+        level["column"][open_], level["bin"][open_], level["share"][open_] = column, bin_, 0.0
+        level["left"][open_], level["right"][open_] = children, children + 1
+        high = x[rows, np.repeat(column, sizes)] > np.repeat(bin_, sizes)
+        child = 2 * np.repeat(np.arange(len(open_)), sizes) + high
+        by = np.argsort(child, kind="stable")
+        rows = rows[by]
+        starts = np.flatnonzero(np.diff(child[by], prepend=-1))
+        names = [c for i in open_.tolist() for c in (2 * names[i], 2 * names[i] + 1)]
+        depth += 1
+    return np.concatenate(levels)
 
 
 def descended(nodes, limit, x: np.ndarray) -> np.ndarray:
     """The leaf of every case: ``nodes`` has column, left and right, a case goes left up to ``limit``."""
     at, open_ = np.zeros(len(x), np.int64), np.arange(len(x))
+    column, left, right, limit = (np.ascontiguousarray(c) for c in (nodes["column"], nodes["left"], nodes["right"], limit))
+    own = at
     while len(open_):
-        own = at[open_]
-        inner = nodes["column"][own] >= 0
+        inner = np.flatnonzero(column[own] >= 0)
         open_, own = open_[inner], own[inner]
-        low = x[open_, nodes["column"][own]] <= limit[own]
-        at[open_] = np.where(low, nodes["left"][own], nodes["right"][own])
+        own = np.where(x[open_, column[own]] <= limit[own], left[own], right[own])
+        at[open_] = own
     return at
 
 
+def _leading_to(nodes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The nodes with a leaf in place of every node that none of the wanted ones lies below, so that descents end there."""
+    kept_, out = np.array(wanted), nodes.copy()
+    for k in range(len(nodes) - 1, -1, -1):  # a node stands before those below it
+        if nodes["column"][k] >= 0:
+            kept_[k] = kept_[nodes["left"][k]] or kept_[nodes["right"][k]]
+            if not kept_[k]:
+                out["column"][k] = -1
+    return out
+
+
 class _Partial:
     """A tree of which only the top is known: splits and leaves by node number (children of n: 2 n and 2 n + 1)."""
 
@@ -397,17 +466,18 @@ def _level(data: Binned, tasks: list[TreeTask], partial: list[_Partial], nodes:
     for (i, every), own in by_task.items():
         top, numbers = partial[i].top()
         slots = {n: k for k, n in enumerate(own)}
-        plans[i, every] = top, np.array([slots.get(n, -1) for n in numbers]), np.array([looked(i, n, every) for n in own])
+        of = np.array([slots.get(n, -1) for n in numbers])
+        plans[i, every] = _leading_to(top, of >= 0), of, np.array([looked(i, n, every) for n in own])
 
     def histograms(blocks: Iterator[Block]) -> Iterator[pa.RecordBatch]:
         total = {k: np.zeros((own.shape[1], len(own), 2, bins)) for k, (_, _, own) in plans.items()}
         for block in _larger(blocks):
             y = block.y == 1
             for (i, every), (top, slots, columns) in plans.items():
-                w, x = tasks[i].weights(block), block.x[:, tasks[i].columns]
+                x = tasks[i].of(block)
                 slot = slots[descended(top, top["bin"], x)]
-                mine = np.flatnonzero((slot >= 0) & (w > 0))
-                slot, w, cell = slot[mine], w[mine], total[i, every]
+                mine, w = tasks[i].drawn(block, np.flatnonzero(slot >= 0))
+                slot, cell = slot[mine], total[i, every]
                 base = (2 * slot + y[mine]) * bins
                 for k in range(columns.shape[1]):
                     cell[k] += np.bincount(base + x[mine, columns[slot, k]], w, cell[k].size).reshape(cell[k].shape)
@@ -460,20 +530,23 @@ def _finish(data: Binned, tasks: list[TreeTask], partial: list[_Partial], small:
     plans = {}
     for i in {i for i, _ in number}:
         top, numbers = partial[i].top()
-        plans[i] = top, np.array([number.get((i, n), -1) for n in numbers])
+        of = np.array([number.get((i, n), -1) for n in numbers])
+        plans[i] = _leading_to(top, of >= 0), of
     sets = [(g, tasks[groups[g][0][0]].rows) for g in range(first_root, len(groups))]
 
     def send(blocks: Iterator[Block]) -> Iterator[pa.RecordBatch]:
         for block in _larger(blocks):
             for i, (top, of) in plans.items():
-                w, x = tasks[i].weights(block), block.x[:, tasks[i].columns]
+                x = tasks[i].of(block)
                 group = of[descended(top, top["bin"], x)]
-                mine = np.flatnonzero((group >= 0) & (w > 0))
-                mine = mine[np.argsort(group[mine], kind="stable")]
+                mine, w = tasks[i].drawn(block, np.flatnonzero(group >= 0))
+                by = np.argsort(group[mine], kind="stable")
+                mine, w = mine[by], w[by]
                 ends = np.flatnonzero(np.diff(group[mine], append=-1)) + 1
-                pieces = [mine[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+                spans = [slice(a, b) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+                pieces = [mine[s] for s in spans]
                 if pieces:
-                    cells = [[x[m].tobytes() for m in pieces], [block.y[m].astype(np.int8).tobytes() for m in pieces], [w[m].astype(np.uint8).tobytes() for m in pieces]]
+                    cells = [[x[m].tobytes() for m in pieces], [block.y[m].astype(np.int8).tobytes() for m in pieces], [w[s].astype(np.uint8).tobytes() for s in spans]]
                     yield pa.RecordBatch.from_arrays([pa.array([int(group[m[0]]) for m in pieces], pa.int64()), *[pa.array(c, pa.binary()) for c in cells]], ["g", "x", "y", "w"])
             for g, rows in sets:
                 mine = block.taken(rows)

@@ -12,6 +12,7 @@ from casebook.operators.stats import per_feature
 from casebook.plans import exploration
 from casebook.queries import query
 from casebook.queries.sql import DM, OM, r
+from casebook.session import kept
 from casebook.sources import kept_tables as t
 from casebook.streaming import scoring
 
@@ -25,7 +26,8 @@ def _standardised(spark, sf, features=None):
 
 def _quality(model, df):
     """One row: how well the fitted model separates the cases it was fitted on."""
-    preds = model.predict(df).select("case_id", "label", "pred", F.lit(model.name).alias("model"))
+    # the metrics pass over the scores several times, and a forest is read anew whenever it scores
+    preds = kept(model.predict(df).select("case_id", "label", "pred", F.lit(model.name).alias("model")))
     return evaluate.metric_rows(preds, ["model"]).select("model", "number", "auc", "std", "auc_pr", "acc")
 
 

@@ -336,3 +336,33 @@ def test_jobs_of_the_solvers_do_not_carry_the_preparation(spark, monkeypatch):
     assert out.metrics.count() == 3
     for plan in plans:
         assert "Join" not in plan and "Window" not in plan and "Scan parquet" in plan
+
+
+@pytest.mark.parametrize("tried, criterion", [(2, "gini"), (None, "entropy"), (1, "gini")])
+def test_a_subtree_grows_level_by_level(monkeypatch, tried, criterion):
+    """Few steps however many nodes there are, and every node is split where its own cases alone say."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 9, (900, 5)).astype(np.uint16)
+    y, w = (rng.random(900) < 0.5).astype(float), rng.poisson(1, 900).astype(float)
+    task = batch_trees.TreeTask(tuple(range(5)), ALL, 3, True, tried, 30, criterion)
+    calls, splits = [], batch_trees._splits
+    monkeypatch.setattr(batch_trees, "_splits", lambda *a: calls.append(1) or splits(*a))
+    nodes = batch_trees.grown(x, y, w, task, 5, 2)
+    assert len(nodes) > 200 and len(calls) <= 5 * 30
+    open_ = [(0, 5, np.flatnonzero(w > 0))]
+    while open_:
+        k, name, rows = open_.pop()
+        ones, all_ = (np.zeros((5, 9)) for _ in range(2))
+        for j in range(5):
+            np.add.at(ones[j], x[rows, j], w[rows] * y[rows])
+            np.add.at(all_[j], x[rows, j], w[rows])
+        best = None
+        if 0 < ones[0].sum() < all_[0].sum():
+            best = batch_trees._choose(task.order(name), tried, lambda j: batch_trees._best_of(ones[j], all_[j], criterion))
+        node = nodes[k]
+        if best is None:
+            assert node["column"] == -1 and node["share"] == ones[0].sum() / all_[0].sum()
+            continue
+        assert (node["column"], node["bin"]) == best
+        low = x[rows, best[0]] <= best[1]
+        open_ += [(int(node["left"]), 2 * name, rows[low]), (int(node["right"]), 2 * name + 1, rows[~low])]
