@@ -335,7 +335,7 @@ def test_jobs_of_the_solvers_do_not_carry_the_preparation(spark, monkeypatch):
     out = explore(df, spec, Choices(normalizers=("Zscore",), selectors=("ANOVA",), numbers=(1,), classifiers=("LDA",), folds=2))
     assert out.metrics.count() == 3
     for plan in plans:
-        assert "Join" not in plan and "Window" not in plan and "Scan parquet" in plan
+        assert "Join" not in plan and "Window" not in plan and "ExistingRDD" in plan
 
 
 @pytest.mark.parametrize("tried, criterion", [(2, "gini"), (None, "entropy"), (1, "gini")])
